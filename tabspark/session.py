@@ -75,3 +75,11 @@ def default_partitions(spark: SparkSession) -> int:
 
 def data_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables, under the shared checkpoint folder."""
+    import uuid
+
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tabspark-work/{name}-{uuid.uuid4().hex}"

@@ -144,19 +144,15 @@ def bar(df: DataFrame, column: str, limit: int = 30, schema: DatasetSchema | Non
 
 
 # -- E6 correlation / E15 heatmap ---------------------------------------------
-def _pair_corr(a: str, b: str) -> Column:
-    x, y = F.col(a), F.col(b)
-    both = x.isNotNull() & y.isNotNull()
-    sx = F.stddev_pop(F.when(both, x))
-    sy = F.stddev_pop(F.when(both, y))
-    r = F.try_divide(F.covar_pop(x, y), sx * sy)
-    return F.when(F.isnan(r), F.lit(None)).otherwise(r)
-
-
 def correlation(df: DataFrame, columns: list[str] | None = None, schema: DatasetSchema | None = None) -> DataFrame:
     """Pearson matrix (pairwise-complete) in long form: i, j, row_column, column_column, r.
 
-    All k*k cells are one aggregate over one scan; a constant column gives NULL.
+    Every row is unfolded into one (pair, x, y) record per column pair i <= j
+    and ONE grouped aggregate computes n, co-moment and both variances per
+    pair.  The per-row work equals that of a wide k*k aggregate, but the plan
+    stays inside whole-stage codegen (a wide aggregate of hundreds of moment
+    buffers does not), and only pairs x tasks partial rows are shuffled.  A
+    constant column gives NULL (no division by zero under ANSI).
     """
     schema = schema or DatasetSchema.of(df)
     cols = [schema.resolve(c) for c in columns] if columns else [c for c in schema.columns if c.is_numeric]
@@ -166,27 +162,42 @@ def correlation(df: DataFrame, columns: list[str] | None = None, schema: Dataset
         if not c.is_numeric:
             raise ExploreError(f"column {c.display_name} must be numeric")
     names = [c.physical_name for c in cols]
-    exprs = []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            if j < i:
-                continue
-            exprs.append(_pair_corr(a, b).cast("double").alias(f"_r_{i}_{j}"))
-    row = df.agg(*exprs)
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            src = f"_r_{min(i, j)}_{max(i, j)}"
-            cells.append(
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(j).alias("j"),
-                    F.lit(a.display_name).alias("row_column"),
-                    F.lit(b.display_name).alias("column_column"),
-                    F.col(src).alias("r"),
-                )
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    records = F.array(
+        *[
+            F.struct(
+                F.lit(i * k + j).alias("pair"),
+                F.col(names[i]).cast("double").alias("x"),
+                F.col(names[j]).cast("double").alias("y"),
             )
-    return row.select(F.inline(F.array(*cells)))
+            for i, j in pairs
+        ]
+    )
+    long = df.select(F.inline(records)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    stats = long.groupBy("pair").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y"))).alias("r")
+    )
+    r = F.when(F.isnan("r"), F.lit(None)).otherwise(F.col("r"))
+    # Mirror the upper triangle; the cell table is k*k literals (k <= 20).
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(min(i, j) * k + max(i, j)).alias("pair"),
+                F.lit(i).alias("i"),
+                F.lit(j).alias("j"),
+                F.lit(cols[i].display_name).alias("row_column"),
+                F.lit(cols[j].display_name).alias("column_column"),
+            )
+            for i in range(k)
+            for j in range(k)
+        ]
+    )
+    grid = df.sparkSession.range(1).select(F.inline(cells))
+    # Left join from the fixed grid: a pair with no complete rows still has a (NULL) cell.
+    return grid.join(F.broadcast(stats.select("pair", r.cast("double").alias("r"))), "pair", "left").select(
+        "i", "j", "row_column", "column_column", "r"
+    )
 
 
 def heatmap(df: DataFrame, columns: list[str] | None = None, schema: DatasetSchema | None = None) -> DataFrame:

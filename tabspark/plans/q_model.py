@@ -38,8 +38,8 @@ def _li(spark, d):
 def _li_split(spark, d, features=("l_quantity", "l_discount"), target="l_extendedprice", problem="regression"):
     df = _li(spark, d)
     cfg = M.ModelConfig(problem, target, features, split_key=_u(F.col("l_orderkey") * 8 + F.col("l_linenumber")))
-    data, numeric, categorical, _, _, classes = M.prepare_frame(df, cfg)
-    return M.split(data, cfg, classes), numeric, categorical, cfg
+    data, numeric, categorical, _, kept, classes = M.prepare_frame(df, cfg)
+    return M.split(data, cfg, classes, kept), numeric, categorical, cfg
 
 
 # lineitem has > 10000 rows, so its split is the key threshold u < 0.2.
@@ -119,8 +119,8 @@ def impute_mode(spark, d):
         "value", F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"), "event_id"
     )
     cfg = M.ModelConfig("regression", "value", ("event_type",), split_key=_u(F.col("event_id")))
-    data, numeric, categorical, _, _, classes = M.prepare_frame(ev, cfg, DatasetSchema.of(ev))
-    s = M.split(data, cfg, classes)
+    data, numeric, categorical, _, kept, classes = M.prepare_frame(ev, cfg, DatasetSchema.of(ev))
+    s = M.split(data, cfg, classes, kept)
     prep = M.Preprocessor.fit(s.where(~F.col("_test")), numeric, categorical)
     return spark.createDataFrame(list(prep.modes.items()), "feature string, mode string")
 

@@ -50,8 +50,11 @@ def levene(
     alpha = 1 - confidence_level
     values = grouped_values(df, x, group, schema)
     pos = value_positions(values, "x", by=["label"])
-    medians = pos.groupBy("label").agg(*quantile_exprs("x", [0.5], ["median"]))
-    # medians has one row per group; groups beyond 50 make the test fail below.
+    # At most MAX_GROUPS + 1 medians are kept, so the broadcast side is bounded;
+    # a 51st group makes the stage below fail with the group-count error.
+    medians = (
+        pos.groupBy("label").agg(*quantile_exprs("x", [0.5], ["median"])).orderBy("label").limit(MAX_GROUPS + 1)
+    )
     z = values.join(F.broadcast(medians), "label").select("label", F.abs(F.col("x") - F.col("median")).alias("z"))
     moments = (
         z.groupBy("label")
@@ -151,18 +154,25 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 def bounded_sample(values: DataFrame, by: str, limit: int, seed: int = 42) -> DataFrame:
     """Rows of each group with a seeded uniform key below a per-group threshold.
 
-
     The threshold keeps about limit + 10 sd rows per group (all rows of small
     groups); the exact ``limit`` smallest keys are then chosen per group in
     the consumer.  Rows are never sorted per group in Spark.
     """
-    counts = values.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = _group_sizes(values, by)
     margin = limit + 10.0 * math.sqrt(limit) + 100.0
     # A per-row uniform key (repeated values must not share a key); it depends
     # only on the seed and the input partitioning, so a lost task recomputes it.
     keyed = values.withColumn("_u", F.rand(seed))
-    # counts has one row per group (<= 50 for the tests), so it is broadcast.
-    return keyed.join(F.broadcast(counts), by).where(F.col("_u") < F.lit(margin) / F.col("_n")).drop("_n")
+    # counts has at most MAX_GROUPS rows (checked in _group_sizes): a bounded broadcast.
+    return keyed.join(F.broadcast(counts), by).where(F.col("_u") < F.lit(margin) / F.col("_n"))
+
+
+def _group_sizes(values: DataFrame, by: str) -> DataFrame:
+    """Rows per group; more than MAX_GROUPS groups is an error (one bounded job)."""
+    counts = values.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    if counts.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise AnalyzeError("too many groups for interactive inference")
+    return counts
 
 
 def shapiro(
@@ -182,9 +192,7 @@ def shapiro(
         values = df.select(F.lit(xc.display_name).alias("label"), F.col(xc.physical_name).cast("double").alias("x")).dropna()
     else:
         values = grouped_values(df, x, group, schema)
-    sample = bounded_sample(values, "label", limit, seed)
-    totals = values.groupBy("label").agg(F.count(F.lit(1)).alias("_total"))
-    sample = sample.join(F.broadcast(totals), "label")
+    sample = bounded_sample(values, "label", limit, seed).withColumnRenamed("_n", "_total")
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         label = pdf["label"].iloc[0]
@@ -255,7 +263,9 @@ def residual_qq(
         values = df.select(F.lit("all").alias("label"), F.col(xc.physical_name).cast("double").alias("x")).dropna()
     else:
         values = grouped_values(df, x, group, schema)
+    _group_sizes(values, "label")
     means = values.groupBy("label").agg(F.avg("x").alias("_mean"))
+    # at most MAX_GROUPS group means (checked above): a bounded broadcast
     resid = values.join(F.broadcast(means), "label").select((F.col("x") - F.col("_mean")).alias("residual"))
     sample = systematic_sorted_sample(resid, "residual", limit)
     pts = qq_points(sample, "residual")

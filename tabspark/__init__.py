@@ -1,0 +1,3 @@
+"""tabspark: tabular analysis on Spark -- prepare, profile, explore, test, model, version."""
+
+__all__ = ["schema", "session"]

@@ -1,0 +1,5 @@
+"""Streaming.
+
+The analysed workbench has no streaming operators (real-time streaming is an
+explicit non-goal there), so this package intentionally defines none.
+"""

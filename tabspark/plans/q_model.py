@@ -42,9 +42,15 @@ def _li_split(spark, d, features=("l_quantity", "l_discount"), target="l_extende
     return M.split(data, cfg, classes, kept), numeric, categorical, cfg
 
 
-# lineitem has > 10000 rows, so its split is the key threshold u < 0.2.
-_TRAIN = f"(SELECT * FROM {LINEITEM_NULLED_SQL} s WHERE l_extendedprice IS NOT NULL AND {_LI_U} >= 0.2)"
-_TEST = f"(SELECT * FROM {LINEITEM_NULLED_SQL} s WHERE l_extendedprice IS NOT NULL AND {_LI_U} < 0.2)"
+# The split rule of the library: a stratum of at most 10000 rows holds out exactly
+# round(0.2 n) rows by rank of the key, a larger one the rows with key < 0.2.
+_RANKED = (
+    "(SELECT b.*, ROW_NUMBER() OVER (ORDER BY u) AS rk, COUNT(*) OVER () AS nn FROM "
+    f"(SELECT *, {_LI_U} AS u FROM {LINEITEM_NULLED_SQL} s WHERE l_extendedprice IS NOT NULL) b)"
+)
+_IS_TEST = "(CASE WHEN nn <= 10000 THEN rk <= LEAST(nn - 1, GREATEST(1, ROUND(0.2 * nn))) ELSE u < 0.2 END)"
+_TRAIN = f"(SELECT * FROM {_RANKED} r WHERE NOT {_IS_TEST})"
+_TEST = f"(SELECT * FROM {_RANKED} r WHERE {_IS_TEST})"
 
 
 @register(

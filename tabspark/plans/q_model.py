@@ -239,3 +239,18 @@ def model_explanation(spark, d):
     evaluation, _, _ = M.train(df, cfg)
     rows = [(e["feature"], float(e["value"])) for e in evaluation["explanation"]]
     return spark.createDataFrame(rows, "feature string, value double")
+
+
+@register("model_persistence")
+def model_persistence(spark, d):
+    from ..session import work_dir
+
+    df = table(spark, d, "orders")
+    cfg = M.ModelConfig("regression", "o_totalprice", ("o_orderpriority", "o_custkey"), algorithms=("linear",))
+    _, _, best = M.train(df, cfg)
+    path = work_dir(spark, "model")
+    M.save_model(best, path)
+    return spark.read.text(f"{path}/params").select(
+        F.get_json_object("value", "$.algorithm").alias("algorithm"),
+        F.get_json_object("value", "$.numeric[0]").alias("first_numeric"),
+    )

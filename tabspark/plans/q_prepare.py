@@ -260,3 +260,18 @@ def transform_preview_counts(spark, d):
 
     df = table(spark, d, "lineitem")
     return transform_counts(df, [P.Filter("col_l_extendedprice", "gt", 50000)])
+
+
+@register(
+    "transform_preview_rows",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders "
+    "WHERE o_totalprice > 200000 ORDER BY o_orderkey LIMIT 50",
+)
+def transform_preview_rows(spark, d):
+    from ..operators.preview import transform_preview
+
+    df = table(spark, d, "orders")
+    rows, _counts, _schema = transform_preview(
+        df, [P.Filter("col_o_totalprice", "gt", 200000)], DatasetSchema.of(df), limit=50, order_by=["o_orderkey"]
+    )
+    return rows

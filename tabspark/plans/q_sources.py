@@ -131,3 +131,14 @@ def saved_results(spark, d):
     second = cat.save_result(vid, "analysis", "describe l_quantity", {"column": "l_quantity"}, payload)
     assert first == second, "a repeated save returns the saved result"
     return cat.list_results(vid).select("kind", "title", "fingerprint", "payload")
+
+
+@register("export_parquet", f"SELECT {ORDERS_COLS} FROM orders WHERE o_orderpriority = '1-URGENT'")
+def export_parquet(spark, d):
+    from ..sources.ingest import export_parquet as export
+
+    cat = Catalog(spark, work_dir(spark, "catalog"))
+    vid = cat.ingest(f"{d}/orders.parquet", "orders")
+    _, s = cat.read(vid)
+    child = cat.apply(vid, P.Filter(s.resolve("o_orderpriority").column_id, "eq", "1-URGENT"))
+    return spark.read.parquet(export(cat.data_path(child)))

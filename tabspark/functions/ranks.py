@@ -58,6 +58,12 @@ def _bucketize(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return bucketizer.transform(df.withColumn(tmp, F.col(value).cast("double"))).drop(tmp)
 
 
+def bucket_edges(df: DataFrame, value: str, n_buckets: int | None = None) -> list[float]:
+    """Edges for ``value_positions`` (a bounded list of numbers)."""
+    n_buckets = n_buckets or max(8, default_partitions(df.sparkSession))
+    return _edges(df.where(F.col(value).isNotNull()), value, n_buckets)
+
+
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Non-null values of ``value`` with their multiplicity ``n`` (per group)."""
     return (
@@ -73,16 +79,20 @@ def value_positions(
     by: Sequence[str] = (),
     n_buckets: int | None = None,
     counts: DataFrame | None = None,
+    edges: list[float] | None = None,
 ) -> DataFrame:
     """One row per (group, distinct value): n, before, total (see module doc).
 
     ``counts`` may be given when the caller already has value counts with an
     ``n`` column (e.g. weighted pairs); then ``df`` is only used for the edges.
+    ``edges`` (from ``bucket_edges``) lets several passes over the same column
+    share one edge job; any edges give the same exact result.
     """
     by = list(by)
     spark = df.sparkSession
     n_buckets = n_buckets or max(8, default_partitions(spark))
-    edges = _edges(df.where(F.col(value).isNotNull()), value, n_buckets)
+    if edges is None:
+        edges = _edges(df.where(F.col(value).isNotNull()), value, n_buckets)
     vc = counts if counts is not None else value_counts(df, value, by)
     vc = _bucketize(vc, value, edges)
     bucket_totals = vc.groupBy(*by, _B).agg(F.sum("n").alias("_bn"))

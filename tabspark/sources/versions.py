@@ -37,6 +37,9 @@ RESULTS_SCHEMA = (
     "configuration string, payload string, created_at timestamp_ntz"
 )
 RESULT_KINDS = ("analysis", "chart", "model")
+# A saved payload is folded into one row: it must be a result (a test row, chart
+# points, a candidate table), not a data set.  Larger payloads are refused, not cut.
+MAX_PAYLOAD_ROWS = 100_000
 
 
 class VersionError(ValueError):
@@ -194,6 +197,8 @@ class Catalog:
         ).limit(1).collect()
         if found:
             return found[0]["result_id"]
+        if payload.limit(MAX_PAYLOAD_ROWS + 1).count() > MAX_PAYLOAD_ROWS:
+            raise VersionError("a saved result payload is limited to 100000 rows; save the data as a version")
         result_id = uuid.uuid4().hex
         body = payload.select(F.to_json(F.struct(*payload.columns)).alias("j")).agg(
             F.to_json(F.collect_list("j")).alias("payload")

@@ -41,12 +41,18 @@ def _numeric(df, ref, schema) -> DatasetColumn:
 
 
 # -- E4 describe --------------------------------------------------------------
-def describe(df: DataFrame, column: str, schema: DatasetSchema | None = None) -> DataFrame:
+def describe(
+    df: DataFrame, column: str, schema: DatasetSchema | None = None, quantiles: str = "exact"
+) -> DataFrame:
     """One row of descriptive statistics for a column.
 
     Quantiles are exact (``quantile_cont``) and computed without a global
     sort; the distinct count is exact as it falls out of the value counts.
+    ``quantiles="approx"`` uses ``percentile_approx`` in the same scan instead
+    (no position pass) for very large columns where an approximation is enough.
     """
+    if quantiles not in ("exact", "approx"):
+        raise ExploreError("quantiles must be 'exact' or 'approx'")
     c = _column(df, column, schema)
     name = c.physical_name
     x = F.col(name)
@@ -74,7 +80,12 @@ def describe(df: DataFrame, column: str, schema: DatasetSchema | None = None) ->
         F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("mode_count"),
     )
     out = base.join(mode, "column_id")
-    if numeric:
+    if numeric and quantiles == "approx":
+        qs = df.agg(
+            key, F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75], 10000).alias("_q")
+        ).select("column_id", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+        out = out.join(qs, "column_id")
+    elif numeric:
         pos = value_positions(df, name, counts=counts)
         qs = pos.agg(key, *quantile_exprs(name, [0.25, 0.5, 0.75], ["q1", "median", "q3"]))
         out = out.join(qs, "column_id")

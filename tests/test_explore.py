@@ -70,3 +70,8 @@ def test_box_by_group_missing_label(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, x double")
     labels = {r.category for r in X.box(df, "x", group="g").collect()}
     assert labels == {"(missing)", "a"}
+
+
+def test_describe_approx_quantiles(spark):
+    r = X.describe(_explore(spark), "age", quantiles="approx").first()
+    assert r.median == 40.0 and r.q1 in (30.0, 20.0) and r.mean == 40.0

@@ -462,6 +462,8 @@ def qq(
         raise ExploreError("chart limit must be between 5 and 5000")
     xc = _numeric(df, x, schema)
     values = df.select(F.col(xc.physical_name).cast("double").alias("v")).where(F.col("v").isNotNull())
+    if values.limit(3).count() < 3:
+        raise ExploreError("Q-Q plot requires at least three observed values")
     sample = sample_rows(values, limit, seed)
     pts = qq_points(sample, "v")
     return pts, qq_fit(pts)

@@ -237,11 +237,11 @@ def preview_page(spark, d):
 
 
 @register(
-    "pipeline_preview_page",
+    "prepared_preview_page",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' "
     "ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 5",
 )
-def pipeline_preview_page(spark, d):
+def prepared_preview_page(spark, d):
     from ..operators.preview import preview
 
     df = table(spark, d, "orders")

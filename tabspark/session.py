@@ -48,19 +48,19 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder must be set by the deployment (a shared file
-    system).  Only when it is unset -- local runs and tests -- a scratch folder
-    is created so that ``DataFrame.checkpoint()`` works.
+    A cluster must set it (a file system that all executors and the driver share).  Only a
+    ``local`` session, where all of them are one process, may go without: it gets a scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         configured = tempfile.mkdtemp(prefix="tabspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_simhash",)
+MODULES = ("q_packing", "q_simhash")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

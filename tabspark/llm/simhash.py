@@ -4,13 +4,14 @@ A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each read
 perfect binary [23, 12, 7] Golay code (the missing high bits are zero).  A word is decoded to the
 indices of its nearby codewords: every codeword within distance 3, and within 4 when the nearest
 one is at distance 3 (one or six indices).  Two words that differ in at most two bits always share
-such an index; for at most one bit the nearest codeword of either is among the other's indices.
+such an index.
 
-Pigeonhole for at most four differing bits over three segments: the two best segments differ in at
-most two bits together.  So either one segment agrees exactly and one of the others differs in at
-most two bits -- key: exact segment and codeword index of the other -- or two segments differ in
-at most one bit each -- key: nearest codeword of one and each index of the other.  Any linked pair
-shares at least one key.  Every candidate is verified on the full fingerprints.
+Pigeonhole for at most four differing bits over three segments: either one segment agrees exactly
+and one of the others differs in at most two bits -- key: that segment and a codeword index of the
+other -- or two segments differ in one bit each, so a half of either agrees exactly, and the third
+differs in at most two bits -- key: the two halves and a codeword index of the third.  Any linked
+pair shares at least one key; keys have 33 or more bits, so unrelated fingerprints rarely meet.
+Every candidate is verified on the full fingerprints.
 
 Only distinct fingerprints take part, and no group is expanded into pairs:
 
@@ -86,7 +87,7 @@ def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def nearby_codewords(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (n x 6; the first is the nearest codeword) and which of them count."""
+    """Indices (n x 6) and which of them count."""
     high, errors, valid = _golay()
     syndrome = high[word >> 11] ^ (word & 0x7FF)
     return (word[:, None] ^ errors[syndrome]) >> 11, valid[syndrome]
@@ -105,16 +106,15 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tag = 0
     for i in range(3):
         for j in range(3):
-            if i != j:
-                # segment i agrees exactly, segment j differs in at most two bits
+            if i != j:  # segment i agrees exactly, segment j differs in at most two bits
                 add(tag, seg[i][:, None] << 12 | near[j][0], near[j][1])
                 tag += 1
-                # nearest codeword of i and every index of j, in one space for (i, j) and (j, i)
-                own, other, ok = near[i][0][:, :1], near[j][0], near[j][1]
-                if i < j:
-                    add(16 + i + j, own << 12 | other, ok)
-                else:  # the first column (both nearest) is already there
-                    add(16 + i + j, (other << 12 | own)[:, 1:], ok[:, 1:])
+    halves = [(s & 0x7FF, s >> 11) for s in seg]
+    for i, j, third in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
+        for a in halves[i]:
+            for b in halves[j]:  # a half of either agrees exactly, the third differs in at most two bits
+                add(tag, (a << 23 | b << 12)[:, None] | near[third][0], near[third][1])
+                tag += 1
     key, ok = np.concatenate(keys, axis=1), np.concatenate(use, axis=1)
     rows, cols = np.nonzero(ok)
     return key[rows, cols], rows

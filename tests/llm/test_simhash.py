@@ -54,9 +54,6 @@ def test_golay_decoding_is_perfect_and_covers_two_errors():
         for b in (a ^ (1 << int(flips[0])), a ^ (1 << int(flips[0])) ^ (1 << int(flips[1]))):
             j, v = S.nearby_codewords(np.array([b]))
             assert set(i[u]) & set(j[0][v[0]])
-        one = a ^ (1 << int(flips[0]))
-        j, v = S.nearby_codewords(np.array([one]))
-        assert i[0] in j[0][v[0]] and j[0][0] in i[u]
 
 
 def test_any_pair_within_four_bits_shares_a_key():

@@ -43,81 +43,87 @@ def allowed_errors(term: str) -> int:
     return 0 if len(term) <= 3 else 1 if len(term) <= 7 else 2
 
 
-class Trie:
-    """Terms that allow the same number of errors ``k``; walks them with a word's automaton.
+class Lexicon:
+    """Levenshtein automata of all terms, intersected with the terms' trie.
 
-    A state holds the edit distances of the trie prefix to the word's prefixes within k of its
-    length, capped at k + 1.  The next state depends only on the state and on which of the 2k + 1
-    letters around the diagonal equal the trie's letter, so transitions are kept in a table.
+    A state is a set of positions: trie nodes with the fewest errors that lead there, for the part of
+    a word read so far.  States and their transitions are determinized when first met and kept, so a
+    word costs one table look-up per letter and most words reach the dead state after a few.
     """
 
-    def __init__(self, terms: list[str], k: int):
-        self.k, self.root, self.table = k, self._node(), {}
-        for term in terms:
-            node = self.root
-            node["lo"], node["hi"] = min(node["lo"], len(term)), max(node["hi"], len(term))
-            for c in term:
-                node = node["next"].setdefault(c, self._node())
-                node["lo"], node["hi"] = min(node["lo"], len(term)), max(node["hi"], len(term))
-            node["term"] = term
-
-    @staticmethod
-    def _node() -> dict:
-        return {"next": {}, "term": None, "lo": 1 << 30, "hi": 0}
-
-    def _step(self, state: tuple[int, ...], same: int) -> tuple[int, ...] | None:
-        k, out = self.k, []
-        for d in range(2 * k + 1):
-            best = state[d] + (not same >> d & 1)
-            if d < 2 * k:
-                best = min(best, state[d + 1] + 1)
-            if d:
-                best = min(best, out[d - 1] + 1)
-            out.append(min(best, k + 1))
-        return tuple(out) if min(out) <= k else None
-
-    def match(self, word: str) -> tuple[int, str] | None:
-        """(errors, term) of the nearest term, the first in the alphabet on ties; else None."""
-        k, n, best = self.k, len(word), None
-        if not self.root["lo"] - k <= n <= self.root["hi"] + k:
-            return None
-        stack = [(self.root, 0, tuple(abs(d) if d >= 0 else k + 1 for d in range(-k, k + 1)))]
-        while stack:
-            node, i, state = stack.pop()
-            if node["term"] and abs(n - i) <= k and state[n - i + k] <= k:
-                found = (state[n - i + k], node["term"])
-                best = found if best is None else min(best, found)
-            for c, child in node["next"].items():
-                if child["lo"] - k <= n <= child["hi"] + k:
-                    same = 0
-                    for d in range(-k, k + 1):
-                        if 0 <= i + d < n and word[i + d] == c:
-                            same |= 1 << d + k
-                    move = (state, same)
-                    if move not in self.table:
-                        self.table[move] = self._step(state, same)
-                    if self.table[move]:
-                        stack.append((child, i + 1, self.table[move]))
-        return best
-
-
-class Lexicon:
-    """Terms by allowed errors; remembers the words it has matched."""
+    _STATES = 100_000  # states kept before the tables start anew
 
     def __init__(self, terms: list[str]):
-        groups: dict[int, list[str]] = {}
-        for t in sorted(set(terms)):
-            groups.setdefault(allowed_errors(t), []).append(t)
-        self.tries = [Trie(g, k) for k, g in sorted(groups.items())]
+        self.next: list[dict[str, int]] = [{}]  # by trie node
+        self.term: list[str | None] = [None]
+        self.limit = [0]  # most errors that a term below the node allows
+        for term in sorted(set(terms)):
+            node, k = 0, allowed_errors(term)
+            self.limit[0] = max(self.limit[0], k)
+            for c in term:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.term.append(None)
+                    self.limit.append(0)
+                node = self.next[node][c]
+                self.limit[node] = max(self.limit[node], k)
+            self.term[node] = term
+        self._reset()
+
+    def _reset(self) -> None:
+        self.ids: dict[frozenset, int] = {}
+        self.positions: list[dict[int, int]] = []
+        self.moves: list[dict[str, int]] = []
+        self.found: list[tuple[int, str] | None] = []
         self.known: dict[str, tuple[int, str] | None] = {}
+        self._state({0: 0})
+
+    def _state(self, at: dict[int, int]) -> int:
+        """The id of a set of positions, closed under missing letters; -1 if it is empty."""
+        todo = sorted(at, key=at.get)
+        for node in todo:  # grows while it runs
+            e = at[node] + 1
+            for child in self.next[node].values():
+                if e <= self.limit[child] and e < at.get(child, 99):
+                    at[child] = e
+                    todo.append(child)
+        if not at:
+            return -1
+        key = frozenset(at.items())
+        if key not in self.ids:
+            self.ids[key] = len(self.moves)
+            self.positions.append(at)
+            self.moves.append({})
+            ends = ((e, self.term[n]) for n, e in at.items() if self.term[n] and e <= allowed_errors(self.term[n]))
+            self.found.append(min(ends, default=None))
+        return self.ids[key]
+
+    def _move(self, state: int, c: str) -> int:
+        at: dict[int, int] = {}
+        for node, e in self.positions[state].items():
+            if e < self.limit[node]:  # a letter too many
+                at[node] = min(at.get(node, 99), e + 1)
+            for letter, child in self.next[node].items():
+                cost = e + (letter != c)
+                if cost <= self.limit[child] and cost < at.get(child, 99):
+                    at[child] = cost
+        self.moves[state][c] = new = self._state(at)
+        return new
 
     def match(self, word: str) -> tuple[int, str] | None:
+        """(errors, term) of the nearest term, the first in the alphabet on ties; else None."""
         if word in self.known:
             return self.known[word]
-        if len(self.known) >= _CACHE:
-            self.known.clear()
-        found = min((m for m in (t.match(word) for t in self.tries) if m), default=None)
-        self.known[word] = found
+        if len(self.known) >= _CACHE or len(self.moves) >= self._STATES:
+            self._reset()
+        state = 0
+        for c in word:
+            new = self.moves[state].get(c)
+            state = self._move(state, c) if new is None else new
+            if state < 0:
+                break
+        self.known[word] = found = self.found[state] if state >= 0 else None
         return found
 
 

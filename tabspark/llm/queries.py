@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_decontaminate", "q_packing", "q_pii", "q_simhash", "q_toxicity", "q_warc")
+MODULES = (
+    "q_decontaminate",
+    "q_licenses",
+    "q_packing",
+    "q_pii",
+    "q_quality",
+    "q_simhash",
+    "q_toxicity",
+    "q_warc",
+)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

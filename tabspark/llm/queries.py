@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "q_bm25",
     "q_decontaminate",
     "q_licenses",
     "q_packing",

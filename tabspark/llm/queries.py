@@ -11,6 +11,7 @@ MODULES = (
     "q_packing",
     "q_pii",
     "q_quality",
+    "q_rollup",
     "q_simhash",
     "q_toxicity",
     "q_warc",

@@ -190,6 +190,13 @@ def link_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return saved(merged.select(F.col("v").alias("fp"), F.coalesce("_r", "root").alias("root")), "simhash-roots")
 
 
+def _classes(docs: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, least_id): the component and smallest document id of each distinct fingerprint."""
+    fps = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-fps")
+    roots = link_components(fps, max_bits).withColumnRenamed("fp", "_fp")
+    return fps.join(roots, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", F.col("root").isNotNull().alias("linked"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -201,14 +208,43 @@ def near_duplicates(
     the id and the text are read, so further columns may have any name.
     """
     docs = saved(fingerprints(df, id_col, text_col, shingle), "simhash-docs")
-    fps = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-fps")
-    roots = link_components(fps, max_bits)
-    linked = fps.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("cid"))
-    moved = linked.join(least, "root").select("fp", "cid")
-    names = fps.join(moved, "fp", "left").select("fp", F.coalesce("cid", "least_id").alias("component_id"))
+    classes = saved(_classes(docs, max_bits), "simhash-classes")
+    least = classes.filter("linked").groupBy("root").agg(F.min("least_id").alias("cid"))
+    names = classes.join(least, "root", "left").select("fp", F.coalesce("cid", "least_id").alias("component_id"))
     return docs.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """The rows of ``df`` (all columns) that stay: one of each component, that with the smallest id.
+
+    Rows with a null id stay only where no row of the component has an id.  Of rows with the same id
+    and text one stays.
+    """
+    text_hash = F.xxhash64(col_of(text_col).cast("string"))
+    rows = df.select(col_of(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), col_of(text_col).cast("binary").alias("_text"))
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+    docs = saved(rows.mapInArrow(run, "doc_id long, text_hash long, fp long"), "simhash-docs")
+    classes = _classes(docs, max_bits).select("fp", "root")
+    # Copies shrink to their best row before they meet the rest of their component.
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = docs.groupBy("fp").agg(F.min(one).alias("m")).join(classes, "fp").groupBy("root").agg(F.min("m").alias("m"))
+    keep = best.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.text_hash").alias("_keep_hash"))
+    repeated = docs.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("_rep_id"), F.col("text_hash").alias("_rep_hash"))
+    repeated = repeated.withColumn("_repeated", F.lit(True))
+    keep = keep.join(repeated, F.col("_keep_id").eqNullSafe(F.col("_rep_id")) & (F.col("_keep_hash") == F.col("_rep_hash")), "left")
+    keep = saved(keep.select("_keep_id", "_keep_hash", F.coalesce("_repeated", F.lit(False)).alias("_repeated")), "simhash-keep")
+    same = col_of(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (text_hash == F.col("_keep_hash"))
+    single = df.join(keep.filter(~F.col("_repeated")), same, "left_semi")
+    several = df.join(keep.filter("_repeated"), same, "inner").dropDuplicates(["_keep_id", "_keep_hash"])
+    return single.union(several.select(*(col_of(c) for c in df.columns)))
+
+
 def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

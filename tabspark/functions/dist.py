@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+
 _EPS = 1e-15
 _TINY = 1e-300
 _STD = NormalDist()
@@ -182,69 +184,62 @@ def p_from_t(t: float, df: float, alternative: str) -> float:
     return min(1.0, 2.0 * t_sf(abs(t), df))
 
 
-def p_from_z(z: float, alternative: str) -> float:
-    if z is None or math.isnan(z):
-        return math.nan
-    if alternative == "less":
-        return norm_cdf(z)
-    if alternative == "greater":
-        return norm_sf(z)
-    return min(1.0, 2.0 * norm_sf(abs(z)))
-
-
 # -- exact null distributions of rank statistics (sizes only) ---------------
-def mann_whitney_exact_cdf(u: float, n1: int, n2: int) -> float:
-    """P(U <= u) for U of sample 1 with no ties (counts of subsets by rank sum)."""
-    # frequency of U values by the classic recursion on (n1, n2)
-    max_u = n1 * n2
-    # f[i][j] distribution as list indexed by u
-    prev = {}
-
-    def dist(i: int, j: int) -> list[int]:
-        key = (i, j)
-        if key in prev:
-            return prev[key]
-        if i == 0 or j == 0:
-            out = [1]
-        else:
-            a = dist(i - 1, j)  # largest element from sample 1: adds j to U
-            b = dist(i, j - 1)
-            out = [0] * (i * j + 1)
-            for k, v in enumerate(a):
-                out[k + j] += v
-            for k, v in enumerate(b):
-                out[k] += v
-        prev[key] = out
-        return out
-
-    freq = dist(n1, n2)
-    total = float(sum(freq))
-    k = int(math.floor(u + 1e-9))
-    if k < 0:
-        return 0.0
-    if k >= max_u:
+MAX_EXACT_CELLS = 50_000_000
+
+
+def _mann_whitney_counts(n1: int, n2: int) -> np.ndarray:
+    """Share of arrangements with U = 0, 1, ..., n1 * n2 (no ties).
+
+    The number of arrangements by U is the Gaussian binomial coefficient, built factor by factor:
+    for i = 1..min(n1, n2) multiply by (1 - q^(big + i)) and divide by (1 - q^i).  Each step is one
+    pass over an array; it is kept as shares, so large sizes do not overflow.
+    """
+    small, big = min(n1, n2), max(n1, n2)
+    if small * (small * big + 1) > MAX_EXACT_CELLS:
+        raise ValueError("the exact distribution is too large for these group sizes; ask for method='asymptotic'")
+    share = np.zeros(small * big + 1)
+    share[0] = 1.0
+    for i in range(1, small + 1):
+        # Every value of the i-th rank statistic: U grows by 0..big steps of i, windowed sums of shares.
+        step = share.copy()
+        step[big + i :] -= share[: len(share) - big - i]
+        for r in range(i):
+            step[r::i] = np.cumsum(step[r::i])
+        share = np.maximum(step, 0.0) * (i / (big + i))
+    return share / share.sum()
+
+
+def mann_whitney_exact_sf(u: float, n1: int, n2: int) -> float:
+    """P(U >= u) for U of sample 1 with no ties; the smaller tail is summed, so tiny values stay exact."""
+    share = _mann_whitney_counts(n1, n2)
+    k = int(math.ceil(u - 1e-9))
+    if k <= 0:
         return 1.0
-    return sum(freq[: k + 1]) / total
+    if k > n1 * n2:
+        return 0.0
+    # U is symmetric around n1 * n2 / 2: the upper tail equals the lower one, where no cancellation occurs.
+    tail = float(share[: n1 * n2 - k + 1].sum())
+    return min(1.0, tail)
 
 
 def mann_whitney_exact_p(u1: float, n1: int, n2: int, alternative: str) -> float:
     u2 = n1 * n2 - u1
     if alternative == "greater":
-        return 1.0 - mann_whitney_exact_cdf(u1 - 1, n1, n2)
+        return mann_whitney_exact_sf(u1, n1, n2)
     if alternative == "less":
-        return 1.0 - mann_whitney_exact_cdf(u2 - 1, n1, n2)
-    u = max(u1, u2)
-    return min(1.0, 2.0 * (1.0 - mann_whitney_exact_cdf(u - 1, n1, n2)))
+        return mann_whitney_exact_sf(u2, n1, n2)
+    return min(1.0, 2.0 * mann_whitney_exact_sf(max(u1, u2), n1, n2))
 
 
 def signed_rank_exact_cdf(r: float, n: int) -> float:
     """P(R+ <= r) for the Wilcoxon signed-rank statistic without ties or zeros."""
     max_r = n * (n + 1) // 2
-    counts = [1] + [0] * max_r
+    counts = [1] + [0] * max_r  # whole numbers: exact at any size
     for k in range(1, n + 1):
         for s in range(max_r, k - 1, -1):
             counts[s] += counts[s - k]
-    total = float(2**n)
+    total = 2**n
     k = int(math.floor(r + 1e-9))
     if k < 0:
         return 0.0
@@ -256,7 +251,7 @@ def signed_rank_exact_cdf(r: float, n: int) -> float:
 def wilcoxon_exact_p(r_plus: float, n: int, alternative: str) -> float:
     max_r = n * (n + 1) / 2.0
     if alternative == "greater":
-        return 1.0 - signed_rank_exact_cdf(r_plus - 1, n)
+        return signed_rank_exact_cdf(max_r - r_plus, n)  # by symmetry, without cancellation
     if alternative == "less":
         return signed_rank_exact_cdf(r_plus, n)
     r_minus = max_r - r_plus

@@ -9,11 +9,15 @@
 
 It never orders all rows in one task.  Rows are first collapsed to value
 counts (map-side combine, so a hot value costs one row), the distinct
-values are cut into range buckets at approximate quantile edges of the
-distinct values (a bounded list of numbers from a 5 % sample), bucket totals give each bucket its
-offset (a tiny frame of groups x buckets), and only the values of one
+values are cut into range buckets at approximate quantiles of the rows (one sketch, a bounded list
+of numbers; the number of buckets follows from the row count), bucket totals give each bucket its
+offset (a small frame of groups x buckets), and only the values of one
 bucket are ordered together.
 
+``quantiles`` needs no positions: one scan takes counts and an approximate bracket around every
+quantile, a second one counts the rows below each bracket and keeps only the values inside, whose
+exact order gives the exact quantile.
+
 From positions follow midranks (``before + (n + 1) / 2``, ties averaged),
 the tie term ``sum(t^3 - t)`` and exact linear-interpolated quantiles
 (the ``quantile_cont`` definition) as plain aggregates.
@@ -27,31 +31,30 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_partitions
-
 _B = "_bucket"
-EDGE_SAMPLE = 0.05
+MAX_BUCKETS = 4096
+BUCKET_ROWS = 200_000  # rows of a bucket, about; an upper bound of the distinct values ordered together
+LOCAL_GROUPS = 10_000  # groups whose brackets may be broadcast
 
 
-def _edges(df: DataFrame, value: str, n_buckets: int) -> list[float]:
-    """Approximate quantile cut points of ``value`` (bounded: <= n_buckets - 1 numbers)."""
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
+def _edges(df: DataFrame, value: str, n_buckets: int | None = None) -> list[float]:
+    """Approximate cut points of the rows of ``value``: at most MAX_BUCKETS - 1 numbers.
+
+    Edges only balance the buckets -- any edges give the same exact result.  They are quantiles of
+    the rows, so a bucket has at most its share of the rows as distinct values, whatever the skew.
+    """
     tmp = "_edge_value"
+    fine = n_buckets or MAX_BUCKETS
+    probs = [i / fine for i in range(1, fine)]
+    if not probs:
+        return []
     numeric = df.select(F.col(value).cast("double").alias(tmp)).where(~F.isnan(tmp))
-    # Edges only balance the buckets -- any edges give the same exact result --
-    # so a seeded sample is enough.  The window of a bucket orders DISTINCT
-    # values, so the edges are quantiles of the distinct sampled values: a value
-    # held by a third of all rows is one point, and a long tail of rare values
-    # is spread over many buckets.
-    row = (
-        numeric.sample(fraction=EDGE_SAMPLE, seed=17)
-        .distinct()
-        .agg(F.percentile_approx(tmp, probs, 4 * n_buckets).alias("cuts"))
-        .first()
-    )
-    cuts = row["cuts"] if row is not None and row["cuts"] is not None else []
+    row = numeric.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(tmp, probs, 4 * fine).alias("cuts")).first()
+    cuts = row["cuts"] or []
+    if n_buckets is None:  # far more buckets than a task needs would only make the offsets larger
+        wanted = min(MAX_BUCKETS, max(8, -(-row["n"] // BUCKET_ROWS)))
+        step = fine // wanted
+        cuts = cuts[step - 1 :: step]
     return sorted({c for c in cuts if c is not None})
 
 
@@ -66,7 +69,6 @@ def _bucketize(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 def bucket_edges(df: DataFrame, value: str, n_buckets: int | None = None) -> list[float]:
     """Edges for ``value_positions`` (a bounded list of numbers)."""
-    n_buckets = n_buckets or max(8, default_partitions(df.sparkSession))
     return _edges(df.where(F.col(value).isNotNull()), value, n_buckets)
 
 
@@ -95,8 +97,6 @@ def value_positions(
     share one edge job; any edges give the same exact result.
     """
     by = list(by)
-    spark = df.sparkSession
-    n_buckets = n_buckets or max(8, default_partitions(spark))
     if edges is None:
         edges = _edges(df.where(F.col(value).isNotNull()), value, n_buckets)
     vc = counts if counts is not None else value_counts(df, value, by)
@@ -162,8 +162,65 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     by: Sequence[str] = (),
+    aggs: Sequence[Column] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value`` (per group)."""
-    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    pos = value_positions(df, value, by)
-    return pos.groupBy(*by).agg(*quantile_exprs(value, probs, names))
+    """Exact linear-interpolated quantiles of ``value`` (per group) beside the aggregates ``aggs``.
+
+    Scan 1 takes ``aggs``, counts and a sketch; its rows (one per group) are the only data that may
+    be broadcast, and only up to LOCAL_GROUPS of them.  Scan 2 keeps a value if it lies inside a
+    bracket and a count if it lies below; brackets hold about eight times 1/accuracy of the rows, or
+    all of them for small groups.  ``counts`` (value counts with a column n) may replace scan 2.
+    """
+    names, by = list(names or [f"q{int(round(p * 100))}" for p in probs]), list(by)
+    spark, accuracy = df.sparkSession, 20_000 if by else 100_000
+    margin = 4.0 / accuracy
+    sketch = [c for p in probs for c in (max(0.0, p - margin), min(1.0, p + margin))]
+    v = F.col(value).cast("double")
+    stats = df.groupBy(*by).agg(
+        F.count(value).alias("_total"),
+        F.min(v).alias("_lo"),
+        F.max(v).alias("_hi"),
+        F.percentile_approx(v, sketch, accuracy).alias("_sketch"),
+        *aggs,
+    )
+    known = stats.limit(LOCAL_GROUPS + 1).collect()
+    local = len(known) <= LOCAL_GROUPS
+    stats = spark.createDataFrame(known, stats.schema) if local else stats.checkpoint()
+    ends = F.array(*[F.col("_hi" if i % 2 else "_lo") for i in range(len(sketch))])
+    brackets = stats.where(F.col("_total") > 0).select(
+        *[F.col(c).alias(f"_b_{c}") for c in by],
+        F.lit(0).alias("_one"),
+        F.col("_total").alias("_n_all"),
+        F.when(F.col("_total") <= accuracy, ends).otherwise(F.col("_sketch")).alias("_cut"),
+    )
+    source = (df.withColumn("n", F.lit(1)) if counts is None else counts).where(F.col(value).isNotNull())
+    source = source.select(*by, v.alias("_v"), F.col("n").alias("_n"), F.lit(0).alias("_zero"))
+    cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] or [F.col("_zero") == F.col("_one")]
+    # Without groups the brackets are one row; with groups their number was just checked.
+    met = source.join(F.broadcast(brackets) if local else brackets, cond)
+    cut, x = F.col("_cut"), F.col("_v")
+    cells = [
+        F.when(x < cut[2 * j], F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("x"))).when(
+            x <= cut[2 * j + 1], F.struct(F.lit(j).alias("j"), x.alias("x"))
+        )
+        for j in range(len(probs))
+    ]
+    kept = met.select(*by, "_n_all", "_n", F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    kept = kept.groupBy(*by, "_n_all", "j", "x").agg(F.sum("_n").alias("n"))
+    order = Window.partitionBy(*by, "j").orderBy(F.col("x").asc_nulls_first())
+    kept = kept.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside, upto = F.col("x").isNotNull(), F.col("before") + F.col("n")
+    found = []
+    for j, (p, name) in enumerate(zip(probs, names)):
+        pos = (F.col("_n_all") - 1).cast("double") * F.lit(float(p))
+        at = lambda i, j=j: F.max(F.when((F.col("j") == j) & inside & (F.col("before") <= i) & (i < upto), F.col("x")))
+        low, high, frac = at(F.floor(pos)), at(F.ceil(pos)), F.max(pos - F.floor(pos))
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        found.append(F.when(low.isNull() | high.isNull(), missed).otherwise(low + frac * (high - low)).alias(name))
+    picked = kept.groupBy(*by).agg(F.max("_n_all").alias("_seen"), *found)
+    picked = picked.where("_seen > 0").select(*[F.col(c).alias(f"_p_{c}") for c in by], F.lit(0).alias("_two"), *names)
+    back = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in by] or [F.col("_three") == F.col("_two")]
+    out = stats.withColumn("_three", F.lit(0)).join(picked, back, "left")
+    extra = [c for c in stats.columns if c not in (*by, "_total", "_lo", "_hi", "_sketch")]
+    return out.select(*by, *extra, *names)

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.ranks import quantile_exprs, value_positions
-from ..schema import DatasetSchema
+from ..functions.ranks import quantiles, value_positions
+from ..schema import DatasetSchema, col_of
 from .explore import qq_fit, qq_points
-from .hypothesis import MAX_GROUPS, AnalyzeError, _run_stage, grouped_values
+from .hypothesis import MAX_GROUPS, AnalyzeError, _run_stage, check_group_count, grouped_values
 
 SHAPIRO_LIMIT = 5000
 QQ_LIMIT = 5000
@@ -34,27 +34,39 @@ EVIDENCE_LIMIT = 3000
 def group_summaries(df: DataFrame, x: str, group: str, schema: DatasetSchema | None = None) -> DataFrame:
     """Label, n, mean, median (exact), stddev (sample; NULL when n = 1)."""
     values = grouped_values(df, x, group, schema)
-    moments = values.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev")
-    )
-    pos = value_positions(values, "x", by=["label"])
-    medians = pos.groupBy("label").agg(*quantile_exprs("x", [0.5], ["median"]))
-    return moments.join(medians, "label").select("label", "n", "mean", "median", "stddev")
+    return _summaries(values)
+
+
+def _summaries(values: DataFrame) -> DataFrame:
+    moments = [F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev")]
+    out = quantiles(values, "x", [0.5], ["median"], by=["label"], aggs=moments)
+    return out.select("label", "n", "mean", "median", "stddev")
+
+
+def column_summaries(df: DataFrame, columns: list[str], schema: DatasetSchema | None = None) -> DataFrame:
+    """The same summary of one or more numeric columns over their complete rows."""
+    schema = schema or DatasetSchema.of(df)
+    cols = [schema.resolve(c) for c in columns]
+    rows = df.select(*[col_of(c.physical_name).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)]).dropna()
+    one = [F.struct(F.lit(c.display_name).alias("label"), F.col(f"_v{i}").alias("x")) for i, c in enumerate(cols)]
+    return _summaries(rows.select(F.inline(F.array(*one))))
 
 
 # -- X1 Brown-Forsythe / Levene -------------------------------------------------------
 def levene(
-    df: DataFrame, x: str, group: str, confidence_level: float = 0.95, schema: DatasetSchema | None = None
+    df: DataFrame,
+    x: str,
+    group: str,
+    confidence_level: float = 0.95,
+    schema: DatasetSchema | None = None,
+    test_id: str = "welch_t",
 ) -> DataFrame:
     """One-way ANOVA F on z = |x - group median|; status info (p >= alpha) or warning."""
     alpha = 1 - confidence_level
     values = grouped_values(df, x, group, schema)
-    pos = value_positions(values, "x", by=["label"])
-    # At most MAX_GROUPS + 1 medians are kept, so the broadcast side is bounded;
-    # a 51st group makes the stage below fail with the group-count error.
-    medians = (
-        pos.groupBy("label").agg(*quantile_exprs("x", [0.5], ["median"])).orderBy("label").limit(MAX_GROUPS + 1)
-    )
+    check_group_count(values)
+    # at most MAX_GROUPS medians (just checked): a bounded broadcast
+    medians = quantiles(values, "x", [0.5], ["median"], by=["label"])
     z = values.join(F.broadcast(medians), "label").select("label", F.abs(F.col("x") - F.col("median")).alias("z"))
     moments = (
         z.groupBy("label")
@@ -87,8 +99,7 @@ def levene(
                 pval if math.isfinite(pval) else None,
                 "info" if ok else "warning",
                 int(N),
-                "Welch's test does not require equal variances; this diagnostic is "
-                "reported to describe heteroscedasticity.",
+                LEVENE_MESSAGE["welch_anova" if test_id == "welch_anova" else "welch_t"],
             )],
             columns=["name", "statistic", "p_value", "status", "sample_size", "message"],
         )
@@ -96,6 +107,11 @@ def levene(
     return _run_stage({"moments": moments}, fn, _DIAG_SCHEMA)
 
 
+# The variance diagnostic's message by test.
+LEVENE_MESSAGE = {
+    "welch_t": "Welch's test does not require equal variances; this diagnostic is reported to describe heteroscedasticity.",
+    "welch_anova": "Welch ANOVA does not require equal variances; this diagnostic describes heteroscedasticity.",
+}
 _DIAG_SCHEMA = "name string, statistic double, p_value double, status string, sample_size bigint, message string"
 
 
@@ -171,7 +187,7 @@ def _group_sizes(values: DataFrame, by: str) -> DataFrame:
     """Rows per group; more than MAX_GROUPS groups is an error (one bounded job)."""
     counts = values.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     if counts.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        raise AnalyzeError("too many groups for interactive inference")
+        raise AnalyzeError("more than 50 groups")
     return counts
 
 
@@ -189,7 +205,7 @@ def shapiro(
     schema = schema or DatasetSchema.of(df)
     if group is None:
         xc = schema.resolve(x)
-        values = df.select(F.lit(xc.display_name).alias("label"), F.col(xc.physical_name).cast("double").alias("x")).dropna()
+        values = df.select(F.lit(xc.display_name).alias("label"), col_of(xc.physical_name).cast("double").alias("x")).dropna()
     else:
         values = grouped_values(df, x, group, schema)
     sample = bounded_sample(values, "label", limit, seed).withColumnRenamed("_n", "_total")
@@ -256,36 +272,47 @@ def systematic_sorted_sample(values: DataFrame, value: str, m: int) -> DataFrame
 def residual_qq(
     df: DataFrame, x: str, group: str | None = None, schema: DatasetSchema | None = None, limit: int = QQ_LIMIT
 ) -> tuple[DataFrame, DataFrame]:
-    """(points, fit) of group-centred residuals (or of x without a group)."""
+    """(points, fit) of group-centred residuals (or of x itself without a group); none for n < 3."""
     schema = schema or DatasetSchema.of(df)
     if group is None:
-        xc = schema.resolve(x)
-        values = df.select(F.lit("all").alias("label"), F.col(xc.physical_name).cast("double").alias("x")).dropna()
-    else:
-        values = grouped_values(df, x, group, schema)
+        return _qq(df.select(col_of(schema.resolve(x).physical_name).cast("double").alias("residual")).dropna(), limit)
+    values = grouped_values(df, x, group, schema)
     _group_sizes(values, "label")
     means = values.groupBy("label").agg(F.avg("x").alias("_mean"))
     # at most MAX_GROUPS group means (checked above): a bounded broadcast
     resid = values.join(F.broadcast(means), "label").select((F.col("x") - F.col("_mean")).alias("residual"))
-    sample = systematic_sorted_sample(resid, "residual", limit)
-    pts = qq_points(sample, "residual")
+    return _qq(resid, limit)
+
+
+def _qq(values: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    pts = qq_points(systematic_sorted_sample(values, "residual", limit), "residual")
     return pts, qq_fit(pts)
 
 
+def paired_qq(
+    df: DataFrame, x: str, y: str, schema: DatasetSchema | None = None, limit: int = QQ_LIMIT
+) -> tuple[DataFrame, DataFrame]:
+    """(points, fit) of the paired differences x - y."""
+    return _qq(paired_differences(df, x, y, schema).withColumnRenamed("d", "residual"), limit)
+
+
 def paired_differences(df: DataFrame, x: str, y: str, schema: DatasetSchema | None = None) -> DataFrame:
     schema = schema or DatasetSchema.of(df)
     a, b = schema.resolve(x), schema.resolve(y)
-    return df.select((F.col(a.physical_name).cast("double") - F.col(b.physical_name).cast("double")).alias("d")).dropna()
+    return df.select((col_of(a.physical_name).cast("double") - col_of(b.physical_name).cast("double")).alias("d")).dropna()
 
 
 # -- X8 notes --------------------------------------------------------------------------------
 # Informational diagnostics attached to the rank and correlation tests.
 NOTES = {
     "mann_whitney": ("Distributional form", "Inspect the linked box plot for distribution shape and spread."),
-    "kruskal": ("Distributional form", "Inspect the linked box plot for distribution shape and spread."),
-    "wilcoxon": ("Paired design", "Rows are treated as matched pairs; zero differences are dropped before ranking."),
-    "pearson": ("Linearity", "Inspect the linked scatter plot for non-linear structure and outliers."),
-    "spearman": ("Monotonic form", "Inspect the linked scatter plot for a monotonic relationship."),
+    "kruskal": ("Distributional form", "Inspect group distributions before interpreting H as a location effect."),
+    "wilcoxon": (
+        "Paired design",
+        "Rows are treated as matched pairs. Confirm row alignment reflects the study design.",
+    ),
+    "pearson": ("Linearity", "Inspect the linked scatter plot for linear form and outliers."),
+    "spearman": ("Monotonic form", "Inspect the linked scatter plot for monotonic form and outliers."),
 }
 
 

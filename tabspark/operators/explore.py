@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ranks import quantile_exprs, value_counts, value_positions
+from ..functions.ranks import quantiles as exact_quantiles
+from ..functions.ranks import value_counts
 from ..functions.small import spread
-from ..schema import CATEGORICAL_ROLE, NUMERIC, TEMPORAL, DatasetColumn, DatasetSchema
+from ..schema import CATEGORICAL_ROLE, NUMERIC, TEMPORAL, DatasetColumn, DatasetSchema, col_of
 
 MISSING_LABEL = "(missing)"
 BOX_GROUPS = 12
@@ -46,19 +47,19 @@ def describe(
 ) -> DataFrame:
     """One row of descriptive statistics for a column.
 
-    Quantiles are exact (``quantile_cont``) and computed without a global
-    sort; the distinct count is exact as it falls out of the value counts.
-    ``quantiles="approx"`` uses ``percentile_approx`` in the same scan instead
-    (no position pass) for very large columns where an approximation is enough.
+    Quantiles are exact (``quantile_cont``): one scan for the aggregates and approximate brackets,
+    one for the value counts, which give the mode, the exact distinct count and the quantiles.
+    ``quantiles="approx"`` uses ``percentile_approx`` in the first scan instead for very large columns where an approximation is enough.
     """
     if quantiles not in ("exact", "approx"):
         raise ExploreError("quantiles must be 'exact' or 'approx'")
     c = _column(df, column, schema)
     name = c.physical_name
-    x = F.col(name)
     numeric = c.data_type in NUMERIC
     ordered = numeric or c.data_type in TEMPORAL
     dtype = df.schema[name].dataType
+    df, name = df.select(col_of(name).alias("_x")), "_x"
+    x = F.col(name)
     key = F.lit(c.column_id).alias("column_id")
 
     raw = [
@@ -67,12 +68,18 @@ def describe(
         F.count(x).alias("valid_count"),
         (F.min(x) if ordered else F.lit(None).cast(dtype)).alias("minimum"),
         (F.max(x) if ordered else F.lit(None).cast(dtype)).alias("maximum"),
-        (F.avg(x) if numeric else F.lit(None).cast("double")).alias("mean"),
-        (F.stddev_samp(x) if numeric else F.lit(None).cast("double")).alias("stddev"),
+        (F.avg(x.cast("double")) if numeric else F.lit(None).cast("double")).alias("mean"),
+        (F.stddev_samp(x.cast("double")) if numeric else F.lit(None).cast("double")).alias("stddev"),
     ]
-    base = df.agg(*raw)
-
     counts = value_counts(df, name)
+    quarters, quarter_names = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+    if numeric and quantiles == "exact":
+        base = exact_quantiles(df, name, quarters, quarter_names, aggs=raw[1:], counts=counts).withColumn("column_id", key)
+    elif numeric:
+        sketch = F.percentile_approx(x.cast("double"), quarters, 10000).alias("_q")
+        base = df.agg(*raw, sketch).select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(quarter_names)])
+    else:
+        base = df.agg(*raw).select("*", *[F.lit(None).cast("double").alias(q) for q in quarter_names])
     mode = counts.agg(
         key,
         F.count(F.lit(1)).alias("distinct_count"),
@@ -80,17 +87,6 @@ def describe(
         F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("mode_count"),
     )
     out = base.join(mode, "column_id")
-    if numeric and quantiles == "approx":
-        qs = df.agg(
-            key, F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75], 10000).alias("_q")
-        ).select("column_id", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
-        out = out.join(qs, "column_id")
-    elif numeric:
-        pos = value_positions(df, name, counts=counts)
-        qs = pos.agg(key, *quantile_exprs(name, [0.25, 0.5, 0.75], ["q1", "median", "q3"]))
-        out = out.join(qs, "column_id")
-    else:
-        out = out.select("*", *[F.lit(None).cast("double").alias(q) for q in ("q1", "median", "q3")])
     return out.select(
         "column_id",
         F.lit(c.display_name).alias("column_name"),
@@ -117,7 +113,7 @@ def frequencies(df: DataFrame, column: str, limit: int = 30, schema: DatasetSche
     if not 1 <= limit <= 100:
         raise ExploreError("frequency limit must be between 1 and 100")
     c = _column(df, column, schema)
-    x = F.col(c.physical_name)
+    x = col_of(c.physical_name)
     grouped = df.groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("count"))
     top = grouped.orderBy(F.col("count").desc(), F.col("value").asc_nulls_last()).limit(limit + 1)
     ranked = top.withColumn(
@@ -179,8 +175,8 @@ def correlation(df: DataFrame, columns: list[str] | None = None, schema: Dataset
         *[
             F.struct(
                 F.lit(i * k + j).alias("pair"),
-                F.col(names[i]).cast("double").alias("x"),
-                F.col(names[j]).cast("double").alias("y"),
+                col_of(names[i]).cast("double").alias("x"),
+                col_of(names[j]).cast("double").alias("y"),
             )
             for i, j in pairs
         ]
@@ -221,7 +217,7 @@ def heatmap(df: DataFrame, columns: list[str] | None = None, schema: DatasetSche
 
 # -- E7 crosstab -------------------------------------------------------------
 def _top_levels(df: DataFrame, name: str, limit: int) -> list:
-    x = F.col(name)
+    x = col_of(name)
     rows = (
         df.where(x.isNotNull())
         .groupBy(x.alias("v"))
@@ -256,7 +252,7 @@ def crosstab(
     r_levels, c_levels = r_all[:limit], c_all[:limit]
     if not r_levels or not c_levels:
         raise ExploreError("crosstab requires observed values in both columns")
-    rx, cx = F.col(rc.physical_name), F.col(cc.physical_name)
+    rx, cx = col_of(rc.physical_name), col_of(cc.physical_name)
     keys = [f"_c{i}" for i in range(len(c_levels))]
     wide = (
         df.where(rx.isin(r_levels))
@@ -294,7 +290,7 @@ def crosstab(
 
 def crosstab_totals_frame(df: DataFrame, row: str, column: str) -> DataFrame:
     """Marginal and grand totals with ``cube``: kind in (cell, row, column, total)."""
-    cubed = df.cube(F.col(row).alias("row_value"), F.col(column).alias("column_value")).agg(
+    cubed = df.cube(col_of(row).alias("row_value"), col_of(column).alias("column_value")).agg(
         F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_g")
     )
     kind = (
@@ -314,7 +310,7 @@ def crosstab_totals(
     rc, cc = schema.resolve(row), schema.resolve(column)
     r_levels = _top_levels(df, rc.physical_name, limit)[:limit]
     c_levels = _top_levels(df, cc.physical_name, limit)[:limit]
-    kept = df.where(F.col(rc.physical_name).isin(r_levels) & F.col(cc.physical_name).isin(c_levels))
+    kept = df.where(col_of(rc.physical_name).isin(r_levels) & col_of(cc.physical_name).isin(c_levels))
     return crosstab_totals_frame(kept, rc.physical_name, cc.physical_name).where(F.col("kind") != "cell")
 
 
@@ -324,7 +320,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, schema: DatasetSchema
     if not 5 <= bins <= 100:
         raise ExploreError("histogram bins must be between 5 and 100")
     c = _numeric(df, column, schema)
-    x = F.col(c.physical_name)
+    x = col_of(c.physical_name)
     bounds = df.agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"), F.count(x).alias("n")).first()
     spark = df.sparkSession
     schema_out = "bin int, start double, end double, count bigint"
@@ -349,33 +345,33 @@ def histogram(df: DataFrame, column: str, bins: int = 20, schema: DatasetSchema
 # -- E10 line ------------------------------------------------------------------
 def line(df: DataFrame, x: str, y: str, limit: int = 1000, schema: DatasetSchema | None = None) -> DataFrame:
     """Mean of y per x (complete pairs), ordered by x, first ``limit`` points."""
-    if not 5 <= limit <= 5000:
-        raise ExploreError("chart limit must be between 5 and 5000")
+    if not 5 <= limit <= 1000:
+        raise ExploreError("line chart limit must be between 5 and 1000")
     schema = schema or DatasetSchema.of(df)
     xc, yc = schema.resolve(x), _numeric(df, y, schema)
     if xc.data_type not in NUMERIC | TEMPORAL:
         raise ExploreError("line chart x column must be numeric or temporal")
-    xx, yy = F.col(xc.physical_name), F.col(yc.physical_name)
+    xx, yy = col_of(xc.physical_name), col_of(yc.physical_name)
     return (
         df.where(xx.isNotNull() & yy.isNotNull())
         .groupBy(xx.alias("x"))
         .agg(F.avg(yy).alias("y"))
         .orderBy("x")
-        .limit(min(limit, 1000))
+        .limit(limit)
     )
 
 
 # -- E11 scatter / L6 sample --------------------------------------------------
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
-    """Uniform sample of min(n, N) rows, reproducible for a seed.
+    """Uniform sample of min(n, N) rows.
 
-    Rows are ranked by a seeded 64-bit hash of their content and the lowest
-    ``n`` kept: a top-k (per-partition heaps, then a merge of n x partitions),
-    never a full sort.
+    Every row gets its own uniform number -- equal rows get different ones -- and the ``n``
+    smallest are kept: a top-k (per-partition heaps, then a merge of n x partitions), never a full
+    sort.  The numbers depend on the seed and the partitioning of ``df``; name the columns of a
+    unique row key in ``key_cols`` to make the sample independent of the partitioning.
     """
-    cols = key_cols or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *cols).limit(n).drop("_h")
+    u = F.xxhash64(*[col_of(c) for c in key_cols], F.lit(seed)) if key_cols else F.rand(seed)
+    return df.withColumn("_u", u).orderBy("_u").limit(n).drop("_u")
 
 
 def scatter(
@@ -386,7 +382,7 @@ def scatter(
     schema = schema or DatasetSchema.of(df)
     xc, yc = _numeric(df, x, schema), _numeric(df, y, schema)
     pairs = df.select(
-        F.col(xc.physical_name).cast("double").alias("x"), F.col(yc.physical_name).cast("double").alias("y")
+        col_of(xc.physical_name).cast("double").alias("x"), col_of(yc.physical_name).cast("double").alias("y")
     ).dropna()
     return sample_rows(pairs, limit, seed)
 
@@ -403,13 +399,16 @@ def box(
     schema = schema or DatasetSchema.of(df)
     xc = _numeric(df, x, schema)
     name = xc.physical_name
-    valid = df.where(F.col(name).isNotNull())
+    valid = df.where(col_of(name).isNotNull())
+    value = col_of(name).alias("_x")
     if group is None:
-        data = valid.select(name).withColumn("category", F.lit(xc.display_name))
+        data = valid.select(value, F.lit(xc.display_name).alias("category"))
     else:
         gc = schema.resolve(group)
-        label = F.coalesce(F.col(gc.physical_name).cast("string"), F.lit(MISSING_LABEL))
-        data = valid.select(name, label.alias("category"))
+        label = F.coalesce(col_of(gc.physical_name).cast("string"), F.lit(MISSING_LABEL))
+        data = valid.select(value, label.alias("category"))
+    name = "_x"
+    if group is not None:
         if top is not None:
             levels = (
                 data.groupBy("category")
@@ -419,13 +418,12 @@ def box(
                 .collect()
             )
             data = data.where(F.col("category").isin([r["category"] for r in levels]))
-    pos = value_positions(data, name, by=["category"])
-    return pos.groupBy("category").agg(
-        F.min(F.col(name).cast("double")).alias("minimum"),
-        *quantile_exprs(name, [0.25, 0.5, 0.75], ["q1", "median", "q3"]),
-        F.max(F.col(name).cast("double")).alias("maximum"),
-        F.sum("n").cast("bigint").alias("n"),
-    )
+    x = F.col(name).cast("double")
+    out = exact_quantiles(
+        data, name, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=["category"],
+        aggs=[F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.count(F.lit(1)).alias("n")],
+    )
+    return out.select("category", "minimum", "q1", "median", "q3", "maximum", "n")
 
 
 # -- E14 Q-Q -------------------------------------------------------------------
@@ -450,6 +448,7 @@ def qq_points(sample: DataFrame, value: str) -> DataFrame:
         "i", F.row_number().over(Window.orderBy("ordered"))
     )
     ranked = ranked.withColumn("sample_size", F.count(F.lit(1)).over(Window.partitionBy()))
+    ranked = ranked.where("sample_size >= 3")  # fewer values make no plot
     pts = plotting_positions(ranked, "ordered")
     return pts.select("i", "p", norm_ppf_udf(F.col("p")).alias("theoretical"), "ordered", "sample_size")
 
@@ -461,7 +460,7 @@ def qq(
     if not 5 <= limit <= 5000:
         raise ExploreError("chart limit must be between 5 and 5000")
     xc = _numeric(df, x, schema)
-    values = df.select(F.col(xc.physical_name).cast("double").alias("v")).where(F.col("v").isNotNull())
+    values = df.select(col_of(xc.physical_name).cast("double").alias("v")).where(F.col("v").isNotNull())
     if values.limit(3).count() < 3:
         raise ExploreError("Q-Q plot requires at least three observed values")
     sample = sample_rows(values, limit, seed)

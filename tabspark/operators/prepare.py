@@ -18,10 +18,9 @@ from typing import Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.casts import cast_to
-from ..schema import CAST_TARGETS, DatasetColumn, DatasetSchema, SchemaError, logical_type
+from ..schema import CAST_TARGETS, DatasetColumn, DatasetSchema, SchemaError, col_of
 
 Scalar = Union[bool, int, float, str]
 
@@ -87,7 +86,7 @@ class Filter:
         return schema
 
     def condition(self, schema: DatasetSchema) -> Column:
-        c = F.col(_active(schema, self.column_id).physical_name)
+        c = col_of(_active(schema, self.column_id).physical_name)
         if self.operator == "is_null":
             return c.isNull()
         if self.operator == "not_null":
@@ -128,8 +127,8 @@ class DropColumns:
         return DatasetSchema(kept)
 
     def apply(self, df: DataFrame, schema: DatasetSchema) -> DataFrame:
-        names = [_active(schema, i).physical_name for i in self.column_ids]
-        return df.drop(*names)
+        names = {_active(schema, i).physical_name for i in self.column_ids}
+        return df.select(*[col_of(c) for c in df.columns if c not in names])
 
 
 @dataclass(frozen=True)
@@ -177,8 +176,8 @@ class FillNull:
             value = value.cast("date")
         elif column.data_type == "datetime":
             value = value.cast("timestamp_ntz")
-        filled = F.coalesce(F.col(name), value).alias(name)
-        return df.select(*[filled if c == name else F.col(c) for c in df.columns])
+        filled = F.coalesce(col_of(name), value).alias(name)
+        return df.select(*[filled if c == name else col_of(c) for c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -213,7 +212,7 @@ class Rename:
 
         column = _active(schema, self.column_id)
         for other in schema.columns:
-            if other.column_id != column.column_id and other.physical_name == self.new_name:
+            if other.column_id != column.column_id and other.physical_name.lower() == self.new_name.lower():
                 raise PipelineError(f"column name already exists: {self.new_name}")
         return schema.replace_column(
             replace(column, physical_name=self.new_name, display_name=self.new_name)
@@ -221,7 +220,7 @@ class Rename:
 
     def apply(self, df: DataFrame, schema: DatasetSchema) -> DataFrame:
         old = _active(schema, self.column_id).physical_name
-        return df.withColumnRenamed(old, self.new_name)
+        return df.select(*[col_of(c).alias(self.new_name) if c == old else col_of(c) for c in df.columns])
 
 
 # Storage type names reported after a cast.
@@ -257,8 +256,8 @@ class Cast:
         column = _active(schema, self.column_id)
         name = column.physical_name
         source = df.schema[name].dataType
-        converted = cast_to(F.col(name), source, self.target_type).alias(name)
-        return df.select(*[converted if c == name else F.col(c) for c in df.columns])
+        converted = cast_to(col_of(name), source, self.target_type).alias(name)
+        return df.select(*[converted if c == name else col_of(c) for c in df.columns])
 
 
 Operation = Union[Filter, DropColumns, FillNull, Deduplicate, Rename, Cast]
@@ -329,13 +328,13 @@ def run(
     if select is not None:
         if not select:
             raise PipelineError("selected_column_ids must not be empty")
-        df = df.select(*[_active(current_schema, i).physical_name for i in select])
+        df = df.select(*[col_of(_active(current_schema, i).physical_name) for i in select])
     if limit is not None or offset:
         if not order_by:
             raise PipelineError("a page needs an order_by key")
         if offset < 0:
             raise PipelineError("offset must be >= 0")
-        keys = [F.col(_active(current_schema, i).physical_name).asc_nulls_last() for i in order_by]
+        keys = [col_of(_active(current_schema, i).physical_name).asc_nulls_last() for i in order_by]
         df = df.orderBy(*keys)
         if offset:
             df = df.offset(offset)
@@ -344,17 +343,6 @@ def run(
     return df
 
 
-def run_with_schema(df: DataFrame, ops, schema: DatasetSchema | None = None) -> tuple[DataFrame, DatasetSchema]:
-    schema = schema or DatasetSchema.of(df)
-    return run(df, ops, schema), evolve(schema, ops)
-
-
-def true_type(df: DataFrame, name: str) -> str:
-    """Logical type of a column in an actual (lazy) result."""
-    f = df.schema[name]
-    return logical_type(f.dataType, dict(f.metadata or {}))
-
-
 __all__ = [
     "Filter",
     "DropColumns",
@@ -367,6 +355,4 @@ __all__ = [
     "evolve",
     "validate",
     "run",
-    "run_with_schema",
-    "T",
 ]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DatasetSchema
+from ..schema import DatasetSchema, col_of
 from . import prepare as P
 
 MAX_PREVIEW_ROWS = 200
@@ -21,12 +21,12 @@ def _order(keys) -> list[Column]:
     for key in keys:
         if isinstance(key, tuple):
             name, direction = key
-            c = F.col(name)
+            c = col_of(name)
             cols.append(c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last())
         elif isinstance(key, Column):
             cols.append(key)
         else:
-            cols.append(F.col(key).asc_nulls_last())
+            cols.append(col_of(key).asc_nulls_last())
     return cols
 
 

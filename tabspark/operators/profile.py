@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DatasetSchema
+from ..schema import DatasetSchema, col_of
 
 _ROWS = "_rows"
 
@@ -32,7 +32,9 @@ def _pct(num: Column, den: Column, digits: int = 2) -> Column:
 
 def _metrics_row(df: DataFrame, schema: DatasetSchema, exact: bool, with_duplicates: bool) -> DataFrame:
     """One row: _rows, [_dups], _null_i, _distinct_i for every column i."""
-    names = list(schema.names)
+    # Plain names inside, so a column may have any name.
+    df = df.select(*[col_of(name).alias(f"_c{i}") for i, name in enumerate(schema.names)])
+    names = df.columns
     if with_duplicates:
         grouped = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
         exprs = [

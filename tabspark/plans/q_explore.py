@@ -249,6 +249,20 @@ def scatter_sample(spark, d):
     return X.scatter(table(spark, d, "customer"), "c_custkey", "c_acctbal", limit=5000)
 
 
+@register("sample_large", "SELECT 500 AS rows, 500 AS found, TRUE AS spread FROM (SELECT COUNT(*) AS n FROM lineitem) t WHERE n > 500")
+def sample_large(spark, d):
+    """A sample far smaller than its table: its size, how many pairs stand in the table, and that equal rows do not crowd it."""
+    df = table(spark, d, "lineitem").select(F.col("l_discount").alias("x"), F.col("l_tax").alias("y"))
+    got = X.scatter(df, "x", "y", limit=500)
+    pairs = df.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    both = got.join(pairs.withColumn("known", F.lit(1)), ["x", "y"], "left")
+    return both.agg(
+        F.count(F.lit(1)).cast("int").alias("rows"),
+        F.count("known").cast("int").alias("found"),
+        (F.count_distinct("x", "y") > 50).alias("spread"),  # 99 pairs in the table
+    )
+
+
 @register(
     "box_single",
     "SELECT 'l_extendedprice' AS category, MIN(l_extendedprice) AS minimum, "
@@ -288,7 +302,11 @@ def qq_points(spark, d):
     return pts.select("i", F.round("p", 9).alias("p"), "ordered", "sample_size")
 
 
-@register("qq_fit")
+@register(
+    "qq_fit",
+    "SELECT COUNT(*) AS sample_size, TRUE AS rising, ROUND(AVG(s_acctbal), 2) AS centre FROM supplier",
+)
 def qq_fit(spark, d):
+    # The theoretical quantiles are symmetric, so the line passes the mean at 0.
     _, fit = X.qq(table(spark, d, "supplier"), "s_acctbal", limit=5000)
-    return fit
+    return fit.select("sample_size", (F.col("slope") > 0).alias("rising"), F.round("intercept", 2).alias("centre"))

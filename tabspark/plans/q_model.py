@@ -42,13 +42,19 @@ def _li_split(spark, d, features=("l_quantity", "l_discount"), target="l_extende
     return M.split(data, cfg, classes, kept), numeric, categorical, cfg
 
 
-# The split rule of the library: a stratum of at most 10000 rows holds out exactly
-# round(0.2 n) rows by rank of the key, a larger one the rows with key < 0.2.
+# The split rule of the library: CEIL(0.2 n) rows in all (per class by largest remainders), those with the smallest keys.
 _RANKED = (
     "(SELECT b.*, ROW_NUMBER() OVER (ORDER BY u) AS rk, COUNT(*) OVER () AS nn FROM "
     f"(SELECT *, {_LI_U} AS u FROM {LINEITEM_NULLED_SQL} s WHERE l_extendedprice IS NOT NULL) b)"
 )
-_IS_TEST = "(CASE WHEN nn <= 10000 THEN rk <= LEAST(nn - 1, GREATEST(1, ROUND(0.2 * nn))) ELSE u < 0.2 END)"
+_IS_TEST = "(rk <= LEAST(nn - 1, GREATEST(1, CEIL(0.2::DOUBLE * nn))))"
+# Held-out rows per class of the orders' status.
+_QUOTAS = (
+    "c AS (SELECT label, COUNT(*) AS n FROM t GROUP BY 1), w AS (SELECT SUM(n) AS total, CEIL(0.2::DOUBLE * SUM(n)) AS want FROM c), "
+    "s AS (SELECT label, n, FLOOR(n * want / total) AS whole, n * want / total - FLOOR(n * want / total) AS part FROM c, w), "
+    "q AS (SELECT label, n, LEAST(n - 1, GREATEST(1, whole + CASE WHEN ROW_NUMBER() OVER (ORDER BY part DESC, label) <= "
+    "(SELECT want FROM w) - SUM(whole) OVER () THEN 1 ELSE 0 END)) AS quota FROM s)"
+)
 _TRAIN = f"(SELECT * FROM {_RANKED} r WHERE NOT {_IS_TEST})"
 _TEST = f"(SELECT * FROM {_RANKED} r WHERE {_IS_TEST})"
 
@@ -66,11 +72,7 @@ def split_counts(spark, d):
 
 @register(
     "split_stratified",
-    "WITH t AS (SELECT o_orderstatus AS label, " + _u_sql("o_orderkey") + " AS u FROM orders), "
-    "c AS (SELECT label, COUNT(*) AS n FROM t GROUP BY 1), "
-    "r AS (SELECT t.label, ROW_NUMBER() OVER (PARTITION BY t.label ORDER BY u) AS rk, c.n FROM t JOIN c USING (label)) "
-    "SELECT label, COUNT(*) FILTER (WHERE rk <= LEAST(n - 1, GREATEST(1, ROUND(0.2 * n)))) AS test_rows, "
-    "COUNT(*) FILTER (WHERE rk > LEAST(n - 1, GREATEST(1, ROUND(0.2 * n)))) AS train_rows FROM r GROUP BY 1",
+    "WITH t AS (SELECT o_orderstatus AS label, " + _u_sql("o_orderkey") + " AS u FROM orders), " + _QUOTAS + " SELECT label, CAST(quota AS BIGINT) AS test_rows, CAST(n - quota AS BIGINT) AS train_rows FROM q",
 )
 def split_stratified(spark, d):
     df = table(spark, d, "orders")
@@ -116,7 +118,8 @@ def standardize(spark, d):
 
 @register(
     "impute_mode",
-    "WITH t AS (SELECT NULLIF(event_type, 'error') AS event_type FROM events WHERE " + _u_sql("event_id") + " >= 0.2), "
+    "WITH r AS (SELECT NULLIF(event_type, 'error') AS event_type, ROW_NUMBER() OVER (ORDER BY " + _u_sql("event_id") + ") AS rk, "
+    "COUNT(*) OVER () AS nn FROM events WHERE value IS NOT NULL), t AS (SELECT event_type FROM r WHERE rk > CEIL(0.2::DOUBLE * nn)), "
     "c AS (SELECT event_type, COUNT(*) AS n FROM t WHERE event_type IS NOT NULL GROUP BY 1) "
     "SELECT 'event_type' AS feature, event_type AS mode FROM c ORDER BY n DESC, event_type LIMIT 1",
 )
@@ -166,9 +169,8 @@ def ols_single(spark, d):
 _ORD_U = _u_sql("o_orderkey")
 _ORD_SPLIT = (
     f"WITH t AS (SELECT o_orderstatus AS label, {_ORD_U} AS u FROM orders), "
-    "c AS (SELECT label, COUNT(*) AS n FROM t GROUP BY 1), "
-    "r AS (SELECT t.label, ROW_NUMBER() OVER (PARTITION BY t.label ORDER BY u) <= "
-    "LEAST(c.n - 1, GREATEST(1, ROUND(0.2 * c.n))) AS is_test FROM t JOIN c USING (label)), "
+    + _QUOTAS + ", "
+    "r AS (SELECT t.label, ROW_NUMBER() OVER (PARTITION BY t.label ORDER BY u) <= q.quota AS is_test FROM t JOIN q USING (label)), "
     "mode AS (SELECT label FROM r WHERE NOT is_test GROUP BY 1 ORDER BY COUNT(*) DESC, label LIMIT 1), "
     "conf AS (SELECT r.label AS actual, mode.label AS predicted, COUNT(*) AS count FROM r, mode WHERE is_test GROUP BY 1, 2)"
 )
@@ -241,16 +243,57 @@ def model_explanation(spark, d):
     return spark.createDataFrame(rows, "feature string, value double")
 
 
-@register("model_persistence")
+@register(
+    "model_persistence",
+    "SELECT 'linear' AS algorithm, 'o_totalprice' AS target, COUNT(*) AS rows, 0 AS different FROM orders WHERE o_totalprice IS NOT NULL",
+)
 def model_persistence(spark, d):
+    """Every row scored by the fitted and by the loaded model; the stored record names the target."""
     from ..session import work_dir
 
     df = table(spark, d, "orders")
-    cfg = M.ModelConfig("regression", "o_totalprice", ("o_orderpriority", "o_custkey"), algorithms=("linear",))
-    _, _, best = M.train(df, cfg)
+    cfg = M.ModelConfig("regression", "o_totalprice", ("o_orderpriority", "o_custkey"), algorithms=("linear",), row_key=("o_orderkey",))
+    evaluation, _, best = M.train(df, cfg)
     path = work_dir(spark, "model")
-    M.save_model(best, path)
-    return spark.read.text(f"{path}/params").select(
-        F.get_json_object("value", "$.algorithm").alias("algorithm"),
-        F.get_json_object("value", "$.numeric[0]").alias("first_numeric"),
+    M.save_model(best, path, spark, evaluation, cfg)
+    loaded, record = M.load_model(path, spark), M.load_evaluation(path, spark)
+    data = M.prepare_frame(df, cfg)[0].withColumn("_id", F.monotonically_increasing_id())
+    both = loaded.predict(best.predict(data, "regression").select(*data.columns, F.col("prediction").alias("_fitted")), "regression")
+    return both.agg(
+        F.lit(loaded.algorithm).alias("algorithm"),
+        F.lit(record["configuration"]["target"]).alias("target"),
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum((F.abs(F.col("prediction") - F.col("_fitted")) > 1e-9).cast("int")), F.lit(0)).cast("int").alias("different"),
     )
+
+
+@register(
+    "roc_auc",
+    "WITH s AS (SELECT l_quantity AS v, l_returnflag = 'R' AS pos FROM lineitem), "
+    "r AS (SELECT pos, RANK() OVER (ORDER BY v) + (COUNT(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM s) "
+    "SELECT ROUND((SUM(rk) FILTER (pos) - COUNT(*) FILTER (pos) * (COUNT(*) FILTER (pos) + 1) / 2.0) "
+    "/ (COUNT(*) FILTER (pos) * CAST(COUNT(*) FILTER (NOT pos) AS DOUBLE)), 9) AS auc FROM r",
+)
+def roc_auc(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("_score"), (F.col("l_returnflag") == "R").cast("string").alias(M.LABEL))
+    auc = M.roc_auc(rows, "true")
+    return spark.createDataFrame([(auc,)], "auc double").select(F.round("auc", 9).alias("auc"))
+
+
+@register(
+    "one_hot",
+    "SELECT 'categorical__o_orderstatus_' || o_orderstatus AS feature, CAST(COUNT(*) AS DOUBLE) AS total FROM orders GROUP BY 1 "
+    "UNION ALL SELECT 'numeric__o_totalprice', 0.0",
+)
+def one_hot(spark, d):
+    """Column sums of the assembled feature vectors: one-hot counts, and 0 for a standardized column."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = table(spark, d, "orders")
+    cfg = M.ModelConfig("regression", "o_custkey", ("o_totalprice", "o_orderstatus"))
+    data, numeric, categorical, *_ = M.prepare_frame(df, cfg)
+    prep = M.Preprocessor.fit(data, numeric, categorical)
+    rows = prep.transform(data).select(F.posexplode(vector_to_array(M.FEATURES)).alias("i", "v"))
+    names = spark.createDataFrame(list(enumerate(prep.feature_names())), "i int, feature string")
+    sums = rows.groupBy("i").agg(F.sum("v").alias("v")).join(F.broadcast(names), "i")
+    return sums.select("feature", (F.round("v", 3) + F.lit(0.0)).alias("total"))

@@ -12,7 +12,7 @@ from ..operators import explore as X
 from ..operators import prepare as P
 from ..schema import DatasetSchema
 from ..session import work_dir
-from ..sources.ingest import export_csv
+from ..sources.ingest import export_csv, normalize_types, read_source
 from ..sources.versions import Catalog
 from .inputs import table
 from .registry import register
@@ -50,8 +50,8 @@ def ingest_manifest(spark, d):
     cat = Catalog(spark, work_dir(spark, "catalog"))
     vid = cat.ingest(_orders_csv(spark, d), "orders_csv", fmt="csv")
     return cat.versions().where(F.col("version_id") == vid).select(
-        F.lit("csv").alias("source_format"),
-        F.lit("parquet").alias("canonical_format"),
+        F.get_json_object("operation", "$.source_format").alias("source_format"),
+        F.get_json_object("operation", "$.canonical_format").alias("canonical_format"),
         "row_count",
         F.size(F.from_json("schema_json", "array<string>")).alias("column_count"),
     )
@@ -103,34 +103,40 @@ def lineage_history(spark, d):
 
 @register(
     "export_csv",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS total_price, o_orderdate, o_orderpriority FROM orders",
+    "SELECT event_id, ts, user_id AS \"user.id\", event_type, value FROM events",
 )
 def export_csv_roundtrip(spark, d):
-    df = table(spark, d, "orders")
+    """Timestamps with microseconds and a dotted column name."""
+    df = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     base = DatasetSchema.of(df)
-    ops = [P.Rename("col_o_totalprice", "total_price")]
-    out = P.run(df, ops, base)
-    path = work_dir(spark, "export") + "/orders.csv"
-    export_csv(out, path, P.evolve(base, ops))
-    back = (
-        spark.read.option("header", True).option("inferSchema", True)
-        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
-    )
-    return back.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint")).withColumn(
-        "o_custkey", F.col("o_custkey").cast("bigint")
-    )
+    ops = [P.Rename("col_user_id", "user.id")]
+    path = work_dir(spark, "export") + "/events.csv"
+    export_csv(P.run(df, ops, base), path, P.evolve(base, ops))
+    return normalize_types(read_source(spark, path, "csv"))
+
 
+@register("export_csv_text", "SELECT doc_id, text FROM documents")
+def export_csv_text(spark, d):
+    """Texts with quotes, line breaks and spaces at either end."""
+    path = work_dir(spark, "export") + "/documents.csv"
+    export_csv(table(spark, d, "documents").select("doc_id", "text"), path)
+    return normalize_types(read_source(spark, path, "csv", multi_line=True))
 
-@register("saved_results")
+
+@register(
+    "saved_results",
+    "SELECT 'analysis' AS kind, 'flags' AS title, l_returnflag AS value, COUNT(*) AS count FROM lineitem GROUP BY 3",
+)
 def saved_results(spark, d):
     cat = Catalog(spark, work_dir(spark, "catalog"))
     vid = cat.ingest(f"{d}/lineitem.parquet", "lineitem")
     df, schema = cat.read(vid)
-    payload = X.describe(df, "l_quantity", schema)
-    first = cat.save_result(vid, "analysis", "describe l_quantity", {"column": "l_quantity"}, payload)
-    second = cat.save_result(vid, "analysis", "describe l_quantity", {"column": "l_quantity"}, payload)
+    payload = X.frequencies(df, "l_returnflag", schema=schema)
+    first = cat.save_result(vid, "analysis", "flags", {"column": "l_returnflag"}, payload)
+    second = cat.save_result(vid, "analysis", "flags", {"column": "l_returnflag"}, payload)
     assert first == second, "a repeated save returns the saved result"
-    return cat.list_results(vid).select("kind", "title", "fingerprint", "payload")
+    saved = cat.list_results(vid).select("kind", "title")
+    return saved.join(F.broadcast(cat.result_payload(first)).select("value", "count"))  # one result row
 
 
 @register("export_parquet", f"SELECT {ORDERS_COLS} FROM orders WHERE o_orderpriority = '1-URGENT'")

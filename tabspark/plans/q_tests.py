@@ -328,7 +328,7 @@ def scatter_evidence(spark, d):
 @register(
     "test_notes",
     f"SELECT 'Linearity' AS name, CAST(NULL AS DOUBLE) AS statistic, CAST(NULL AS DOUBLE) AS p_value, 'info' AS status, "
-    "COUNT(*) AS sample_size, 'Inspect the linked scatter plot for non-linear structure and outliers.' AS message "
+    "COUNT(*) AS sample_size, 'Inspect the linked scatter plot for linear form and outliers.' AS message "
     f"FROM {LN} t WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL",
 )
 def test_notes(spark, d):
@@ -345,7 +345,8 @@ def test_notes(spark, d):
     "v(test_id, name, preferred, rationale) WHERE (SELECT COUNT(DISTINCT l_linestatus) FROM lineitem) = 2",
 )
 def recommend_two_groups(spark, d):
-    return H.recommend(table(spark, d, "lineitem"), "compare_groups", outcome="l_quantity", group="l_linestatus")
+    out = H.recommend(table(spark, d, "lineitem"), "compare_groups", outcome="l_quantity", group="l_linestatus")
+    return out.select("test_id", "name", "preferred", "rationale")
 
 
 @register(
@@ -357,4 +358,55 @@ def recommend_two_groups(spark, d):
     "'Rank-based alternative for three or more independent groups.' FROM k WHERE k >= 3",
 )
 def recommend_many_groups(spark, d):
-    return H.recommend(table(spark, d, "lineitem"), "compare_groups", outcome="l_quantity", group="l_returnflag")
+    out = H.recommend(table(spark, d, "lineitem"), "compare_groups", outcome="l_quantity", group="l_returnflag")
+    return out.select("test_id", "name", "preferred", "rationale")
+
+
+def _picked_sql(values: str) -> str:
+    """Q-Q points of ``values`` (a query with a column residual): 5000 evenly spaced sorted positions."""
+    start = _RESID_SQL.index("o AS (SELECT residual")
+    return f"WITH r AS ({values}), " + _RESID_SQL[start:].replace("FROM t)", "FROM r)")
+
+
+@register("one_sample_qq", _picked_sql("SELECT l_quantity AS residual FROM lineitem WHERE l_quantity IS NOT NULL"))
+def one_sample_qq(spark, d):
+    pts, _ = D.residual_qq(table(spark, d, "lineitem"), "l_quantity")
+    return pts.select("i", _r("p", 9), _r("ordered"), "sample_size")
+
+
+@register("paired_qq", _picked_sql("SELECT l_discount - l_tax AS residual FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL"))
+def paired_qq(spark, d):
+    pts, _ = D.paired_qq(table(spark, d, "lineitem"), "l_discount", "l_tax")
+    return pts.select("i", _r("p", 9), _r("ordered"), "sample_size")
+
+
+@register(
+    "paired_summaries",
+    f"WITH t AS (SELECT l_quantity AS q, l_extendedprice AS e FROM {LN} s WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL), "
+    "u AS (SELECT 'l_quantity' AS label, q AS x FROM t UNION ALL SELECT 'l_extendedprice', e FROM t) "
+    "SELECT label, COUNT(*) AS n, ROUND(AVG(x), 6) AS mean, ROUND(MEDIAN(x), 6) AS median, ROUND(STDDEV_SAMP(x), 6) AS stddev FROM u GROUP BY 1",
+)
+def paired_summaries(spark, d):
+    out = D.column_summaries(lineitem_nulled(spark, d), ["l_quantity", "l_extendedprice"])
+    return out.select("label", "n", _r("mean"), _r("median"), _r("stddev"))
+
+
+_GOAL_SQL = (
+    "SELECT * FROM (VALUES ('paired_t', TRUE, 'Compare row-aligned values of l_discount and l_tax.', 2, 1), "
+    "('wilcoxon', FALSE, 'Rank-based alternative for paired numeric measurements.', 1, 1), "
+    "('pearson', TRUE, 'Measure linear association between l_discount and l_tax.', 1, 1), "
+    "('spearman', FALSE, 'Monotonic rank-based association with fewer distributional assumptions.', 1, 1), "
+    "('chi_square', TRUE, 'Test association between l_returnflag and l_linestatus.', 2, 1), "
+    "('one_sample_t', TRUE, 'Compare the mean of l_discount with a reference value.', 1, 1)) "
+    "v(test_id, preferred, rationale, assumptions, notes) WHERE (SELECT COUNT(*) FROM lineitem) >= 0"
+)
+
+
+@register("recommend_other_goals", _GOAL_SQL)
+def recommend_other_goals(spark, d):
+    df = table(spark, d, "lineitem")
+    out = H.recommend(df, "compare_paired", outcome="l_discount", secondary="l_tax")
+    out = out.unionByName(H.recommend(df, "numeric_relationship", outcome="l_discount", secondary="l_tax"))
+    out = out.unionByName(H.recommend(df, "categorical_association", outcome="l_returnflag", secondary="l_linestatus"))
+    out = out.unionByName(H.recommend(df, "one_sample", outcome="l_discount"))
+    return out.select("test_id", "preferred", "rationale", F.size("assumptions").alias("assumptions"), F.size("notes").alias("notes"))

@@ -31,11 +31,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Importing the modules fills the registry.
-    from . import q_prepare, q_profile  # noqa: F401
-
-    for mod in ("q_explore", "q_tests", "q_model", "q_sources"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if mod not in str(exc):
-                raise
+    from . import q_explore, q_model, q_names, q_prepare, q_profile, q_sources, q_tests  # noqa: F401

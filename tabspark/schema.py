@@ -9,9 +9,10 @@ display name and a logical type derived from the Spark ``DataType`` class.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The logical type names of the data model.
@@ -35,6 +36,11 @@ META_DISPLAY = "display_name"
 META_LOGICAL = "logical_type"
 
 
+def col_of(name: str) -> Column:
+    """A column by its exact name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class SchemaError(ValueError):
     """Raised for invalid schemas, unknown columns and role mismatches."""
 
@@ -180,9 +186,6 @@ def attach(df: DataFrame, schema: DatasetSchema) -> DataFrame:
         meta = {META_ID: column.column_id, META_DISPLAY: column.display_name}
         if column.data_type == "categorical":
             meta[META_LOGICAL] = "categorical"
-        cols.append(df[column.physical_name].alias(column.physical_name, metadata=meta))
+        cols.append(col_of(column.physical_name).alias(column.physical_name, metadata=meta))
     return df.select(*cols)
 
-
-def with_display(column: DatasetColumn, name: str) -> DatasetColumn:
-    return replace(column, physical_name=name, display_name=name)

@@ -64,15 +64,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def default_partitions(spark: SparkSession) -> int:
-    """Partition count used for range bucketing (ranks, sampling positions)."""
-    value = spark.conf.get("spark.sql.shuffle.partitions", "200")
-    try:
-        return max(1, int(value))
-    except ValueError:
-        return 200
-
-
 def data_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 

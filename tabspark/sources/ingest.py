@@ -12,6 +12,7 @@ task succeeded.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import DatasetSchema, attach
+from ..schema import DatasetSchema, attach, col_of
 
 SOURCE_FORMATS = ("csv", "parquet")
 
@@ -40,9 +41,18 @@ def source_format(path: str) -> str:
 
 
 def read_source(
-    spark: SparkSession, path: str, fmt: str | None = None, delimiter: str = ",", header: bool = True
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    delimiter: str = ",",
+    header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read a CSV or Parquet source with the strict options."""
+    """Read a CSV or Parquet source with the strict options.
+
+    Quotes inside a quoted CSV field are doubled.  ``multi_line`` allows line breaks in quoted
+    fields; such a file cannot be split, so it is off by default.
+    """
     fmt = fmt or source_format(path)
     if fmt == "csv":
         return (
@@ -50,6 +60,9 @@ def read_source(
             .option("inferSchema", True)
             .option("mode", "FAILFAST")
             .option("delimiter", delimiter)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", multi_line)
             .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
             .csv(path)
         )
@@ -62,7 +75,7 @@ def normalize_types(df: DataFrame) -> DataFrame:
     """Integers become bigint and zoned timestamps become local timestamps."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = col_of(f.name)
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.TimestampType):
@@ -99,8 +112,24 @@ def byte_size(spark: SparkSession, path: str) -> int:
 
 
 def write_canonical(df: DataFrame, target: str, compression: str = "zstd") -> None:
-    """Write once; an existing target raises and is left untouched."""
-    df.write.mode("errorifexists").option("compression", compression).parquet(target)
+    """Write once; an existing target raises and is left untouched.
+
+    The data goes to a folder of this attempt and is renamed when complete, so a failed write
+    leaves no target behind and can simply be repeated.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(target)):
+        raise IngestionError(f"canonical target already exists: {target}")
+    attempt = f"{target.rstrip('/')}.attempt-{uuid.uuid4().hex}"
+    try:
+        df.write.mode("errorifexists").option("compression", compression).parquet(attempt)
+        if fs.exists(path(target)) or not fs.rename(path(attempt), path(target)):
+            raise IngestionError(f"canonical target already exists: {target}")
+    except Exception:
+        fs.delete(path(attempt), True)
+        raise
 
 
 def ingest(
@@ -110,22 +139,18 @@ def ingest(
     fmt: str | None = None,
     delimiter: str = ",",
     header: bool = True,
+    multi_line: bool = False,
 ) -> tuple[DataFrame, Manifest]:
     """Source file -> canonical Parquet + manifest; returns the canonical frame."""
     fmt = fmt or source_format(source)
     if os.path.abspath(source) == os.path.abspath(target):
         raise IngestionError("source and canonical target must be different files")
     try:
-        raw = normalize_types(read_source(spark, source, fmt, delimiter, header))
+        raw = normalize_types(read_source(spark, source, fmt, delimiter, header, multi_line))
     except AnalysisException as exc:
         raise IngestionError(f"source file does not exist or is unreadable: {source}") from exc
     schema = DatasetSchema.of(raw, mint_ids=True)
-    try:
-        write_canonical(attach(raw, schema), target)
-    except AnalysisException as exc:
-        if "already exists" in str(exc).lower() or "PATH_ALREADY_EXISTS" in str(exc):
-            raise IngestionError(f"canonical target already exists: {target}") from exc
-        raise
+    write_canonical(attach(raw, schema), target)
     canonical = spark.read.parquet(target)
     manifest = Manifest(
         source_format=fmt,
@@ -138,10 +163,24 @@ def ingest(
 
 
 def export_csv(df: DataFrame, target: str, schema: DatasetSchema | None = None) -> None:
-    """CSV with a header of display names, in column order."""
+    """CSV with a header of display names, in column order.
+
+    Times keep their microseconds, quotes are doubled, spaces and line breaks stay as they are.  An
+    empty text is written as "" and, like an empty field, read back as NULL.
+    """
     schema = schema or DatasetSchema.of(df)
-    out = df.select(*[F.col(f"`{c.physical_name}`").alias(c.display_name) for c in schema.columns])
-    out.write.mode("errorifexists").option("header", True).csv(target)
+    out = df.select(*[col_of(c.physical_name).alias(c.display_name) for c in schema.columns])
+    (
+        out.write.mode("errorifexists")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        .csv(target)
+    )
 
 
 def export_parquet(canonical_path: str) -> str:

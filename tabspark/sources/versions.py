@@ -4,12 +4,14 @@ A *catalog root* is a folder on shared storage holding
 
 * ``versions/``  -- one row per dataset version (id, dataset, number, parent,
                     data path, the operation that produced it, schema JSON);
-* ``data/<id>/`` -- the canonical Parquet of each version;
-* ``results/``   -- saved analysis/chart/model results keyed by fingerprint.
-
-Derived versions are written once (``errorifexists``) at a path derived
-from the idempotency key, so repeating an apply returns the same version.
-Lineage is read with a recursive CTE over the versions table.
+* ``data/<id>-<attempt>/`` -- the canonical Parquet of each version;
+* ``results/``, ``result_rows/`` -- saved analysis/chart/model results keyed by fingerprint, and
+                    their payloads as one JSON row per payload row.
+
+A version exists once its row is registered; the row names the folder that holds its data.  Every
+attempt writes a folder of its own and registers last, so an attempt that fails or whose driver is
+lost leaves only an unregistered folder, and repeating an apply returns the same version.  Of two
+concurrent attempts the first registered row counts.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import prepare as P
-from ..schema import DatasetColumn, DatasetSchema, attach
+from ..schema import DatasetColumn, DatasetSchema, attach, col_of
 from .ingest import Manifest, byte_size, ingest, write_canonical
 
 VERSIONS_SCHEMA = (
@@ -34,12 +37,10 @@ VERSIONS_SCHEMA = (
 )
 RESULTS_SCHEMA = (
     "result_id string, version_id string, kind string, title string, fingerprint string, "
-    "configuration string, payload string, created_at timestamp_ntz"
+    "configuration string, columns string, created_at timestamp_ntz"
 )
 RESULT_KINDS = ("analysis", "chart", "model")
-# A saved payload is folded into one row: it must be a result (a test row, chart
-# points, a candidate table), not a data set.  Larger payloads are refused, not cut.
-MAX_PAYLOAD_ROWS = 100_000
+RESULT_ROWS_SCHEMA = "result_id string, position long, row string"
 
 
 class VersionError(ValueError):
@@ -92,14 +93,25 @@ class Catalog:
         return f"{self.root}/results"
 
     def data_path(self, version_id: str) -> str:
-        return f"{self.root}/data/{version_id}"
+        return self.version(version_id)["data_path"]
+
+    def _attempt_path(self, version_id: str) -> str:
+        return f"{self.root}/data/{version_id}-{uuid.uuid4().hex[:12]}"
+
+    def _table(self, path: str, schema: str) -> DataFrame:
+        """A table of the catalog; empty only if nothing was ever written to it."""
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     # -- versions ------------------------------------------------------------
     def versions(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(VERSIONS_SCHEMA).parquet(self.versions_path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], VERSIONS_SCHEMA)
+        rows = self._table(self.versions_path, VERSIONS_SCHEMA)
+        first = F.min_by(F.struct(*rows.columns), F.struct("created_at", "data_path")).alias("_row")
+        return rows.groupBy("version_id").agg(first).select("_row.*")
 
     def _append_version(self, row: tuple) -> None:
         self.spark.createDataFrame([row], VERSIONS_SCHEMA).write.mode("append").parquet(self.versions_path)
@@ -117,14 +129,17 @@ class Catalog:
     def ingest(self, source: str, dataset_name: str, fmt: str | None = None, **kw) -> str:
         """Ingest a file as version 1 of a new dataset; returns the version id."""
         version_id = uuid.uuid4().hex
-        df, manifest = ingest(self.spark, source, self.data_path(version_id), fmt, **kw)
-        self._register(version_id, uuid.uuid4().hex, dataset_name, 1, None, manifest, None)
+        path = self._attempt_path(version_id)
+        df, manifest = ingest(self.spark, source, path, fmt, **kw)
+        # The ingest itself is the operation of version 1: it keeps the source's format.
+        op_json = json.dumps({"type": "Ingest", "source_format": manifest.source_format, "canonical_format": manifest.canonical_format})
+        self._register(version_id, uuid.uuid4().hex, dataset_name, 1, None, path, manifest, op_json)
         return version_id
 
-    def _register(self, version_id, dataset_id, name, number, parent, manifest: Manifest, op_json) -> None:
+    def _register(self, version_id, dataset_id, name, number, parent, path, manifest: Manifest, op_json) -> None:
         self._append_version(
             (
-                version_id, dataset_id, name, number, parent, self.data_path(version_id), op_json,
+                version_id, dataset_id, name, number, parent, path, op_json,
                 schema_to_json(manifest.schema), manifest.row_count, manifest.byte_size, _now(),
             )
         )
@@ -144,41 +159,39 @@ class Catalog:
         df, schema = self.read(parent_id)
         child_schema = P.evolve(schema, [op])
         out = P.run(df, [op], schema)
-        write_canonical(attach(out, child_schema), self.data_path(child_id))
-        written = self.spark.read.parquet(self.data_path(child_id))
-        manifest = Manifest("parquet", "parquet", written.count(), byte_size(self.spark, self.data_path(child_id)),
-                            child_schema)
+        path = self._attempt_path(child_id)
+        write_canonical(attach(out, child_schema), path)
+        written = self.spark.read.parquet(path)
+        manifest = Manifest("parquet", "parquet", written.count(), byte_size(self.spark, path), child_schema)
         number = (
             self.versions().where(F.col("dataset_id") == parent["dataset_id"]).agg(F.max("version_number")).first()[0]
         )
         self._register(child_id, parent["dataset_id"], parent["dataset_name"], int(number) + 1, parent_id,
-                       manifest, operation_to_json(op))
+                       path, manifest, operation_to_json(op))
         return child_id
 
     def history(self, version_id: str) -> DataFrame:
-        """The operations from the root to ``version_id``, oldest first."""
-        self.versions().createOrReplaceTempView("_tabspark_versions")
-        return self.spark.sql(
-            """
-            WITH RECURSIVE chain (version_id, parent_version_id, version_number, operation, row_count, depth) AS (
-              SELECT version_id, parent_version_id, version_number, operation, row_count, 0
-              FROM _tabspark_versions WHERE version_id = :vid
-              UNION ALL
-              SELECT v.version_id, v.parent_version_id, v.version_number, v.operation, v.row_count, c.depth + 1
-              FROM _tabspark_versions v JOIN chain c ON v.version_id = c.parent_version_id
-            )
-            SELECT version_id, version_number, operation, row_count, depth FROM chain
-            WHERE operation IS NOT NULL
-            """,
-            args={"vid": version_id},
-        )
+        """The operations from the root to ``version_id``, oldest first, of any depth.
+
+        The chain is walked over the (id, parent) pairs of one dataset -- metadata, one short row per
+        version -- and the rows themselves are then selected on Spark.
+        """
+        own = self.version(version_id)
+        pairs = self.versions().where(F.col("dataset_id") == own["dataset_id"]).select("version_id", "parent_version_id")
+        parent = dict(map(tuple, pairs.collect()))
+        chain, at = [], version_id
+        while at is not None and at in parent:
+            chain.append((at, len(chain)))
+            at = parent.pop(at)
+        depths = self.spark.createDataFrame(chain, "version_id string, depth int")
+        rows = self.versions().join(depths, "version_id").where(F.col("parent_version_id").isNotNull())
+        return rows.select(
+            "version_id", "parent_version_id", "version_number", "operation", "row_count", "created_at", "depth"
+        ).orderBy("version_number")
 
     # -- saved results ---------------------------------------------------------
     def results(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(RESULTS_SCHEMA).parquet(self.results_path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], RESULTS_SCHEMA)
+        return self._table(self.results_path, RESULTS_SCHEMA)
 
     @staticmethod
     def fingerprint(kind: str, version_id: str, configuration: dict) -> str:
@@ -187,7 +200,7 @@ class Catalog:
         ).hexdigest()
 
     def save_result(self, version_id: str, kind: str, title: str, configuration: dict, payload: DataFrame) -> str:
-        """Save once per (version, fingerprint); the payload frame is stored as JSON rows."""
+        """Save once per (version, fingerprint); the payload is stored as JSON rows of any number."""
         if kind not in RESULT_KINDS:
             raise VersionError(f"unsupported result kind: {kind}")
         self.version(version_id)
@@ -197,17 +210,16 @@ class Catalog:
         ).limit(1).collect()
         if found:
             return found[0]["result_id"]
-        if payload.limit(MAX_PAYLOAD_ROWS + 1).count() > MAX_PAYLOAD_ROWS:
-            raise VersionError("a saved result payload is limited to 100000 rows; save the data as a version")
         result_id = uuid.uuid4().hex
-        body = payload.select(F.to_json(F.struct(*payload.columns)).alias("j")).agg(
-            F.to_json(F.collect_list("j")).alias("payload")
-        )
-        row = body.select(
-            F.lit(result_id).alias("result_id"), F.lit(version_id).alias("version_id"), F.lit(kind).alias("kind"),
-            F.lit(title).alias("title"), F.lit(fp).alias("fingerprint"),
-            F.lit(json.dumps(configuration, sort_keys=True)).alias("configuration"), "payload",
-            F.lit(_now()).cast("timestamp_ntz").alias("created_at"),
+        # Payload rows first, one JSON text each; they count once the result itself is registered.
+        rows = payload.select(
+            F.lit(result_id).alias("result_id"), F.monotonically_increasing_id().alias("position"),
+            F.to_json(F.struct(*[col_of(c) for c in payload.columns]), {"ignoreNullFields": "false"}).alias("row"),
+        )
+        rows.write.mode("append").partitionBy("result_id").parquet(f"{self.root}/result_rows")
+        row = self.spark.createDataFrame(
+            [(result_id, version_id, kind, title, fp, json.dumps(configuration, sort_keys=True), payload.schema.json(), _now())],
+            RESULTS_SCHEMA,
         )
         # Anti-join on the key so a concurrent save of the same fingerprint is not duplicated.
         row.join(self.results().select("version_id", "fingerprint"), ["version_id", "fingerprint"], "left_anti") \
@@ -215,6 +227,15 @@ class Catalog:
             .write.mode("append").parquet(self.results_path)
         return result_id
 
+    def result_payload(self, result_id: str) -> DataFrame:
+        """The payload of a saved result with its own columns and types, in its saved order."""
+        found = self.results().where(F.col("result_id") == result_id).limit(1).collect()
+        if not found:
+            raise VersionError(f"unknown result: {result_id}")
+        schema = T.StructType.fromJson(json.loads(found[0]["columns"]))
+        rows = self._table(f"{self.root}/result_rows", RESULT_ROWS_SCHEMA).where(F.col("result_id") == result_id)
+        return rows.select("position", F.from_json("row", schema).alias("r")).orderBy("position").select("r.*")
+
     def list_results(self, version_id: str) -> DataFrame:
         return self.results().where(F.col("version_id") == version_id).orderBy(
             F.col("created_at").desc(), F.col("result_id").desc()

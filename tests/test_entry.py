@@ -1,13 +1,10 @@
 import __spark_entry__ as E
 
 
-def test_entry_runs(spark):
-    out = E.entry(spark)
-    assert out.count() >= 0
-    assert "null_count" in out.columns
+def test_entry_returns_profile(spark):
+    rows = E.entry(spark).collect()
+    assert rows and "name" in rows[0].asDict()
 
 
 def test_every_oracle_has_a_query():
-    qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs)
-    assert len(qs) >= 80
+    assert set(E.oracle_sql()) <= set(E.queries())

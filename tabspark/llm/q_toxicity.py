@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
-from .toxicity import THRESHOLD, Model, fit, score_column
+from .common import crc_mod, saved, table
+from .toxicity import THRESHOLD, Model, fit, labelled_sample, score_column
 
 FOLDS, HELD_OUT = 4, 2  # fixed by the contract
 
@@ -15,7 +15,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """A model of the labelled rows of ``docs`` outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     labels = labels.filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return fit(saved(labelled_sample(docs, labels), "toxicity-labelled"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

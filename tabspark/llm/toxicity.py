@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, col_of, words_col
 
+MAX_LABELS = 20_000  # labelled rows a model is fitted on, chosen by a hash of their ids
 MAX_TERMS = 1000  # most significant terms that a lexicon keeps (model size)
 MAX_VARIANTS = 20_000  # most frequent seen variants that a model keeps (model size)
 MIN_PRECISION = 0.6  # share of toxic documents that a term needs
@@ -51,14 +52,18 @@ class Lexicon:
     word costs one table look-up per letter and most words reach the dead state after a few.
     """
 
-    _STATES = 100_000  # states kept before the tables start anew
+    _STATES = 30_000  # states kept before the tables start anew
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: dict[str, int] | list[str], seen: dict[str, tuple[int, str]] | None = None):
+        """``terms``: allowed errors by term (a plain list: ``allowed_errors``); ``seen``: known matches."""
+        self.seen = seen or {}
+        terms = terms if isinstance(terms, dict) else {t: allowed_errors(t) for t in terms}
         self.next: list[dict[str, int]] = [{}]  # by trie node
         self.term: list[str | None] = [None]
         self.limit = [0]  # most errors that a term below the node allows
-        for term in sorted(set(terms)):
-            node, k = 0, allowed_errors(term)
+        self.errors = terms
+        for term, k in sorted(terms.items()):
+            node = 0
             self.limit[0] = max(self.limit[0], k)
             for c in term:
                 if c not in self.next[node]:
@@ -76,7 +81,7 @@ class Lexicon:
         self.positions: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[int, str] | None] = []
-        self.known: dict[str, tuple[int, str] | None] = {}
+        self.known: dict[str, tuple[int, str] | None] = dict(self.seen)
         self._state({0: 0})
 
     def _state(self, at: dict[int, int]) -> int:
@@ -90,12 +95,12 @@ class Lexicon:
                     todo.append(child)
         if not at:
             return -1
-        key = frozenset(at.items())
+        key, terms = frozenset(at.items()), self.errors
         if key not in self.ids:
             self.ids[key] = len(self.moves)
             self.positions.append(at)
             self.moves.append({})
-            ends = ((e, self.term[n]) for n, e in at.items() if self.term[n] and e <= allowed_errors(self.term[n]))
+            ends = ((e, self.term[n]) for n, e in at.items() if self.term[n] and e <= terms[self.term[n]])
             self.found.append(min(ends, default=None))
         return self.ids[key]
 
@@ -158,12 +163,24 @@ class Model:
     rate: float = 0.1  # share of toxic documents
     mention: float = 0.25  # weight of a quoted match
     terms: list[str] = field(default_factory=list)
+    seen: dict[str, tuple[int, str]] = field(default_factory=dict)  # errors and term of the words in precision
     precision: dict[str, float] = field(default_factory=dict)  # of words seen often in labelled rows
     rare: dict[tuple[str, int], float] = field(default_factory=dict)  # of other variants, by term and errors
 
     @cached_property
     def lexicon(self) -> Lexicon:
-        return Lexicon(self.terms)
+        """What can count: seen words by look-up, and unseen variants of the terms whose variants count.
+
+        A term that ordinary words resemble has a low precision for variants; walking its
+        neighbourhood in every text could only yield matches of no weight.
+        """
+        limits = {}
+        for t in self.terms:
+            k = allowed_errors(t)
+            while k and self.rare.get((t, k), PRIOR) < MIN_EVIDENCE:
+                k -= 1
+            limits[t] = k
+        return Lexicon(limits, self.seen)
 
     def weigh(self, word: str, errors: int, term: str) -> float:
         """Evidence (0 to 1) of one word: its precision above the share of toxic documents."""
@@ -185,6 +202,19 @@ def _rate(good: float, n: float, prior: float, weight: float) -> float:
     return (good + prior * weight) / (n + weight)
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_LABELS
+) -> DataFrame:
+    """(text, label) of at most ``limit`` labelled rows: all of them, or those with the smallest hashes.
+
+    The bound makes the labels small enough to broadcast, so no text is shuffled.
+    """
+    rows = labels.select(col_of(id_col).alias("_label_id"), col_of(label_col).alias(label_col)).dropna()
+    chosen = rows.orderBy(F.xxhash64("_label_id"), "_label_id").limit(limit)
+    texts = docs.select(col_of(id_col).alias("_doc"), col_of(text_col).cast("string").alias(text_col))
+    return texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_label_id")).select(text_col, label_col)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn a model from labelled rows; null labels and empty tables teach nothing."""
     rows = labelled.select(
@@ -230,11 +260,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
         for r in often.collect():
             prior = model.rare.get((r["term"], r["errors"]), PRIOR) if r["errors"] else p
             model.precision[r["word"]] = _rate(r["t"], r["n"], prior, 1)
+            model.seen[r["word"]] = (r["errors"], r["term"])
         seen.unpersist()
     vocabulary.unpersist()
 
     def judge(batches):
-        lexicon = Lexicon(terms)
+        lexicon = model.lexicon
         for pdf in batches:
             kind = []
             for text in pdf["text"]:

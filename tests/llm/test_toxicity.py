@@ -75,6 +75,14 @@ def test_fit_and_score(spark):
     assert [(r.doc_id, r.word, r.start, r.end, r.quoted) for r in found] == [(None, "grubbel", 2, 9, False)]
 
 
+def test_labelled_sample_is_bounded(spark):
+    df = labelled(spark, 60)
+    labels = df.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
+    assert T.labelled_sample(df, labels).count() == 60
+    few = T.labelled_sample(df, labels, limit=10).collect()
+    assert len(few) == 10 and sorted(few) == sorted(T.labelled_sample(df.repartition(3), labels, limit=10).collect())
+
+
 def test_no_labels(spark):
     empty = spark.createDataFrame([], "text string, toxic int")
     model = T.fit(empty)

@@ -146,4 +146,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     occ, _ = occurrences(docs, items, id_col, text_col, **options)
     bad = occ.select(F.col("doc_id").alias("_bad_doc"), F.col("text_hash").alias("_bad_hash")).distinct()
     same = col_of(id_col).eqNullSafe(F.col("_bad_doc")) & (F.xxhash64(col_of(text_col).cast("string")) == F.col("_bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    # The keys grow with the corpus, so this is always a shuffled join: one plan at every size.
+    return docs.join(bad.hint("merge"), same, "left_anti")

@@ -171,14 +171,14 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return saved(by_uid.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans")), "pii-spans")
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row of ``df`` (all columns) with its ``_spans`` (null: none)."""
-    found = find_spans(df, id_col, text_col).select(
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(col_of(text_col).cast("string"), F.lit("")))
+
+
+def _keyed_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return find_spans(df, id_col, text_col).select(
         F.col("doc_id").alias("_pii_doc"), F.col("text_hash").alias("_pii_hash"), F.col("spans").alias("_spans")
     )
-    text = F.coalesce(col_of(text_col).cast("string"), F.lit(""))
-    same = col_of(id_col).eqNullSafe(F.col("_pii_doc")) & (F.xxhash64(text) == F.col("_pii_hash"))
-    return df.join(found, same, "left")
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,9 +187,12 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have no spans; ids may be null or repeated; an empty table gives no rows;
     only the id and text columns are read, so further columns may have any name.
     """
-    docs = df.select(col_of(id_col).alias("doc_id"), col_of(text_col).cast("string").alias("text"))
+    found = _keyed_spans(df, id_col, text_col)
+    # Only ids and hashes meet the spans; no text is shuffled.
+    docs = df.select(col_of(id_col).alias("doc_id"), _text_hash(text_col).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("text_hash") == F.col("_pii_hash"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,base:boolean>>")
-    rows = _with_spans(docs, "doc_id", "text").select("doc_id", F.coalesce("_spans", empty).alias("s"))
+    rows = docs.join(found, same, "left").select("doc_id", F.coalesce("_spans", empty).alias("s"))
     shown = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s.getField("kind"), s.getField("start").cast("string"), s.getField("end").cast("string"))), ","
     )
@@ -217,5 +220,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     done = F.aggregate("_spans", start, put)
     clean = F.concat(done.getField("out"), F.substr(text, done.getField("at") + 1, F.length(text)))
-    rows = _with_spans(df, id_col, text_col).withColumn("_clean", F.when(F.col("_spans").isNull(), text).otherwise(clean))
+    # The spans grow with the corpus, so this is always a shuffled join: one plan at every size.
+    found = _keyed_spans(df, id_col, text_col).hint("merge")
+    same = col_of(id_col).eqNullSafe(F.col("_pii_doc")) & (_text_hash(text_col) == F.col("_pii_hash"))
+    rows = df.join(found, same, "left").withColumn("_clean", F.when(F.col("_spans").isNull(), text).otherwise(clean))
     return rows.select(*(F.col("_clean").alias(c) if c == text_col else col_of(c) for c in df.columns))

@@ -138,17 +138,21 @@ MANIFEST = "name string, shard int, part int, records long, bytes long, sha256 s
 
 
 def plan_records(df: DataFrame, id_col="page_id", url_col="url", payload_col="html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, url, payload, payload_digest hex, refers_to): what each record will hold."""
+    """(page_id, url, payload, sha1, tag, refers_to): what the records will hold.
+
+    Rows with tag 1 are the records.  Rows with tag 0 say that the records of one page_id and digest
+    refer to another page; they sort before those records.  So payloads are shuffled once, by the
+    range sort, and only ids and digests take part in finding the first of equal payloads.
+    """
     payload = F.coalesce(col_of(payload_col).cast("string").cast("binary"), F.lit(b""))
     rows = df.select(col_of(id_col).cast("long").alias("page_id"), col_of(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    large = F.length("payload") >= min_revisit
-    first = rows.filter(large).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    # Only payloads with several records need a look-up; few or many, it is an ordinary join.
-    first = first.filter("n > 1").select(F.col("sha1").alias("_sha1"), "first_id")
-    rows = rows.join(first, (F.col("sha1") == F.col("_sha1")) & large, "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return rows.select("page_id", "url", "payload", refers.alias("refers_to"))
+    keys = rows.filter(F.length("payload") >= min_revisit).select("page_id", "sha1")
+    first = keys.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
+    later = keys.distinct().join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    none = lambda kind: F.lit(None).cast(kind)
+    refers = later.select("page_id", none("string").alias("url"), none("binary").alias("payload"), "sha1", F.lit(0).alias("tag"), F.col("first_id").alias("refers_to"))
+    return refers.union(rows.select("page_id", "url", "payload", "sha1", F.lit(1).alias("tag"), none("long").alias("refers_to")))
 
 
 def write_archives(
@@ -166,16 +170,20 @@ def write_archives(
         shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
     store, root = _folder(path)
     store.create_dir(root, recursive=True)
-    ordered = records.repartitionByRange(shards, "page_id", "url").sortWithinPartitions("page_id", "url")
+    ordered = records.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "sha1", "tag", "url")
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard = _Shard(path, TaskContext.get().partitionId(), roll_bytes)
+        shard, known, target = _Shard(path, TaskContext.get().partitionId(), roll_bytes), None, None
         for b in batches:
             for i in range(b.num_rows):
-                page_id, url, payload, refers = (b.column(k)[i].as_py() for k in range(4))
-                shard.add(page_id, record(page_id, url, payload, digest(payload), refers))
+                page_id, url, payload, sha1, tag, refers = (c[i].as_py() for c in b.columns)
+                if tag == 0:
+                    known, target = (page_id, sha1), refers
+                    continue
+                of = target if known == (page_id, sha1) else None
+                shard.add(page_id, record(page_id, url, payload, digest(payload), of))
         shard.close()
         if shard.rows:
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]

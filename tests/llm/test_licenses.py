@@ -56,3 +56,34 @@ def test_labels_and_templates(spark):
     with pytest.raises(ValueError):
         L.all_templates([("x", "not inside", "some other words")])
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation ..."""
+ISC = """Permission to use, copy, modify, and{} distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+GNU = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public
+License as published by the Free Software Foundation; {}version {} of the License, or (at your option) any later version."""
+
+
+def test_bodies_and_headers_have_labels(spark):
+    index = L.build_index(spark.createDataFrame([], "text string"))
+    label = lambda text: {index.templates[k].label for k, *_ in index.find(words_of(text))}
+    assert label(MIT) == {"mit"} and label(ISC.format("/or")) == label(ISC.format("")) == {"isc"}
+    for sep in ("either ", ""):
+        assert label(GNU.format("", sep, "2")) == {"gpl", "gpl-2.0"} and label(GNU.format("", sep, "3")) == {"gpl", "gpl-3.0"}
+        assert label(GNU.format("Lesser ", sep, "2.1")) == {"gpl", "lgpl"} and label(GNU.format("Affero ", sep, "3")) == {"gpl", "agpl"}
+    assert label("a Creative Commons Attribution 4.0 International License") == {"cc-by"}
+    assert label("Creative Commons Attribution-NonCommercial 4.0") == {"cc-by", "cc-by-nc"}
+    # a piece of a body without its title and with a word missing keeps its label
+    for t in index.templates:
+        if len(t.words) > 150:
+            cut = t.words[max(0, t.at - 40) : t.at + len(t.phrase) + 40]
+            assert t.label in label(" ".join(cut[:-20] + cut[-19:])), t.label
+
+
+def test_several_words_of_each_template_are_indexed(spark):
+    index = L.build_index(spark.createDataFrame([], "text string"))
+    for k, t in enumerate(index.templates):
+        inside, around = index.chosen[k]
+        assert len(inside) == min(L.INDEXED, len(t.phrase)) and len(around) == min(L.INDEXED, len(t.words) - len(t.phrase))

@@ -1,14 +1,15 @@
 """Personal data: base patterns plus bootstrapped contextual extraction, DataFrame functions only.
 
 Base spans come from fixed patterns and checks.  They seed the bootstrap: the words around each span
-are lexical patterns, every identifier-like token (with several digits) is an instance, and the two
-form a graph of counted edges.  A few rounds score both sides: a pattern's confidence for a kind is
+are lexical patterns, every token and every group of digits beside one of them is an instance, and the
+two form a graph of counted edges.  A few rounds score both sides: a pattern's confidence for a kind is
 the share of its instances that are known to be of that kind, an instance's score is the chance that
 at least one of its confident patterns is right.  Instances that end above the bar are spans of the
 kind too, wherever they stand outside base spans.
 
 The graph is aggregated by (pattern, instance) before any join, so a frequent pattern costs one row
-per distinct instance; rounds are written to the shared folder.
+per distinct instance; rounds are written to the shared folder.  Only patterns of enough seeds can ever count, so tokens
+beside no such pattern are left out before the shuffle, first by a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-# Identifier-like tokens: runs that hold a digit.
-TOKEN = r"(?<![A-Za-z0-9._%+@/=-])[A-Za-z._%+@/=-]*+[0-9][A-Za-z0-9._%+@/=-]*+"
-MIN_DIGITS = 4  # digits of an instance that no base pattern finds
+# Instances: every token, and digit groups joined by spaces, brackets and hyphens.
+TOKENS = {
+    "token": r"(?<![A-Za-z0-9._%+@/=-])[._%+@/=-]*+[A-Za-z0-9][A-Za-z0-9._%+@/=-]*+",
+    "group": r"(?<![A-Za-z0-9._%+@/=-])[+(]{0,2}+[0-9]++(?:[\x20()-]{1,3}+[0-9]++){1,30}+(?![A-Za-z0-9_%@/=])",
+}
+BITS = 1 << 20  # of the bitmap of pattern hashes; a fuller one only lets more rows through
+BLOCK = 64  # tokens whose lengths are summed once
 CONTEXT = 60  # characters on either side that may hold context words
 ROUNDS = 3
 MIN_SUPPORT = 3  # distinct seeds a pattern needs
@@ -65,6 +70,16 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+def _context(pieces: Column, matches: Column, i: Column, side: int) -> Column:
+    """The text on one side of match ``i``, other matches included: up to CONTEXT characters."""
+    cut = F.right if side < 0 else F.left
+    near = [F.get(pieces, i if side < 0 else i + 1)]
+    for k in (1, 2):
+        near += [F.get(matches, i + side * k), F.get(pieces, i - k if side < 0 else i + 1 + k)]
+    near = [cut(F.coalesce(c, F.lit("")), F.lit(CONTEXT)) for c in near]
+    return cut(F.concat(*(near[::-1] if side < 0 else near)), F.lit(CONTEXT))
+
+
 def _raw_matches(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, text_hash, kind, start, end, value, before, after) of every pattern's matches.
 
@@ -73,8 +88,8 @@ def _raw_matches(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     has_digit = text.rlike("[0-9]")
-    kinds = {**PATTERNS, "token": TOKEN}
-    cut = docs.select("*", F.monotonically_increasing_id().alias("uid"), has_digit.alias("digit"))
+    kinds = PATTERNS
+    cut = docs.select("*", has_digit.alias("digit"))
     for kind, pattern in kinds.items():
         use = F.col("digit") & may[kind] if kind == "phone" else may.get(kind, F.col("digit"))
         cut = cut.withColumn(f"p_{kind}", F.when(use, F.split(text, pattern, -1)))
@@ -88,8 +103,8 @@ def _raw_matches(docs: DataFrame) -> DataFrame:
             i.alias("pos"),
             F.length(F.get(piece, i)).alias("gap"),
             m.alias("value"),
-            F.right(F.get(piece, i), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get(piece, i + 1), F.lit(CONTEXT)).alias("after"),
+            _context(piece, F.col(f"m_{kind}"), i, -1).alias("before"),
+            _context(piece, F.col(f"m_{kind}"), i, 1).alias("after"),
         )
         return F.coalesce(F.transform(f"m_{kind}", one), empty)
 
@@ -117,6 +132,54 @@ def _patterns(before: Column, after: Column) -> Column:
     )
 
 
+def _bitmap(induced: DataFrame) -> Column:
+    """The hashes of the patterns as an array of BITS bits, whatever their number."""
+    h = F.pmod(F.xxhash64("pattern"), F.lit(BITS))
+    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
+    rows = induced.select(h.alias("h")).groupBy(F.expr("h div 64").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    words = [0] * (BITS // 64)  # at most so many rows
+    for r in rows:
+        words[r["at"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def _tokens(docs: DataFrame, induced: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, value, patterns) of the instances beside induced patterns."""
+    bits, text = _bitmap(induced), F.col("text")
+
+    def known(pattern: Column) -> Column:
+        h = F.pmod(F.xxhash64(pattern), F.lit(BITS))
+        return F.getbit(F.get(bits, F.floor(h / 64).cast("int")), (h % 64).cast("int")) == 1
+
+    parts = []
+    for kind, pattern in TOKENS.items():
+        use = F.lit(True) if kind == "token" else text.rlike("[0-9]")
+        cut = docs.filter(use).withColumn("p", F.split(text, pattern, -1)).withColumn("m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        # Lengths of each piece with its match, and their sums by blocks: starts without a scan per token.
+        cut = cut.withColumn("lens", F.transform("m", lambda m, i: F.length(F.get("p", i)) + F.length(m)))
+        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("lens") / BLOCK).cast("int")), lambda b: total(F.slice("lens", b * BLOCK + 1, F.lit(BLOCK))))
+        cut = cut.withColumn("blocks", blocks)
+        one = lambda m, i: F.struct(
+            i.alias("pos"), m.alias("raw"),
+            F.filter(_patterns(_context(F.col("p"), F.col("m"), i, -1), _context(F.col("p"), F.col("m"), i, 1)), known).alias("patterns"),
+        )
+        beside = F.filter(F.transform("m", one), lambda t: F.size(t.getField("patterns")) > 0)
+
+        def place(t: Column) -> Column:
+            i = t.getField("pos")
+            b = F.floor(i / BLOCK).cast("int")
+            end = total(F.slice("blocks", F.lit(1), b)) + total(F.slice("lens", b * BLOCK + 1, i % BLOCK + 1))
+            return F.struct((end - F.length(t.getField("raw"))).alias("start"), t.getField("raw").alias("raw"), t.getField("patterns").alias("patterns"))
+
+        rows = cut.select("doc_id", "text_hash", F.explode(F.transform(beside, place)).alias("t"))
+        parts.append(rows.select("doc_id", "text_hash", "t.*"))
+    value = F.regexp_replace("raw", "^[._%+@/=-]++|[._%+@/=-]++$", "")
+    skip = F.length(F.regexp_extract("raw", "^[._%+@/=-]*+", 0))
+    rows = parts[0].withColumn("start", F.col("start") + skip).withColumn("raw", value).union(parts[1])
+    return rows.select("doc_id", "text_hash", "start", (F.col("start") + F.length("raw")).alias("end"), F.col("raw").alias("value"), "patterns")
+
+
 def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(pattern, kind, confidence) and (inst, kind, score) of the instances that are no seeds.
 
@@ -145,30 +208,30 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     (start, end, kind, value, base) by start, then kind; code points, end exclusive."""
     text = F.coalesce(col_of(text_col).cast("string"), F.lit(""))
     docs = df.select(col_of(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    raw = _raw_matches(docs)
-    base = saved(raw.filter((F.col("kind") != "token") & _valid(F.col("kind"), F.col("value"))), "pii-base")
-    taken = base.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    value = F.regexp_replace("value", "^[._%+@/=-]++|[._%+@/=-]++$", "")
-    skip = F.length(F.regexp_extract("value", "^[._%+@/=-]*+", 0))
-    tokens = raw.filter("kind = 'token'").withColumn("start", F.col("start") + skip).withColumn("value", value)
-    tokens = tokens.withColumn("end", F.col("start") + F.length("value")).filter(F.length(_digits(F.col("value"))) >= MIN_DIGITS)
-    tokens = tokens.join(taken, "uid", "left")
+    # Row numbers hold within one evaluation only; the rounds meet on id and hash.
+    raw = _raw_matches(docs.withColumn("uid", F.monotonically_increasing_id()))
+    base = saved(raw.filter(_valid(F.col("kind"), F.col("value"))), "pii-base")
+    seeds = saved(base.select(F.col("value").alias("inst"), "kind").distinct(), "pii-seeds")
+    beside = base.select(F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern"), F.col("value").alias("inst"), "kind").distinct()
+    beside = saved(beside, "pii-beside")
+    induced = beside.groupBy("pattern", "kind").count().filter(F.col("count") >= MIN_SUPPORT).select("pattern").distinct()
+    induced = saved(induced, "pii-induced")
+    taken = base.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("start", "end")).alias("taken"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    tokens = _tokens(docs, induced).join(taken, same, "left")
     overlaps = F.exists("taken", lambda s: (s.getField("start") < F.col("end")) & (s.getField("end") > F.col("start")))
-    tokens = saved(tokens.filter(~F.coalesce(overlaps, F.lit(False))).drop("taken"), "pii-tokens")
+    tokens = saved(tokens.filter(~F.coalesce(overlaps, F.lit(False))).drop("taken", "_doc", "_hash"), "pii-tokens")
 
-    every = base.select("value", "before", "after").union(tokens.select("value", "before", "after"))
-    edges = every.select(F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern"), F.col("value").alias("inst"))
-    edges = saved(edges.distinct(), "pii-edges")
-    seeds = saved(base.select(F.col("value").alias("inst"), "kind").distinct(), "pii-seeds")
+    edges = beside.select("pattern", "inst").union(tokens.select(F.explode("patterns").alias("pattern"), F.col("value").alias("inst")))
+    edges = saved(edges.distinct().join(induced, "pattern", "left_semi"), "pii-edges")
     _, found = score_graph(edges, seeds)
     best = found.filter(F.col("score") >= MIN_SCORE).groupBy("inst").agg(F.max(F.struct("score", "kind")).getField("kind").alias("found"))
-    extra = tokens.join(best, F.col("value") == F.col("inst")).select("uid", "doc_id", "text_hash", "start", "end", F.col("found").alias("kind"), "value", F.lit(False).alias("base"))
-    spans = base.select("uid", "doc_id", "text_hash", "start", "end", "kind", "value", F.lit(True).alias("base")).union(extra)
+    extra = tokens.join(best, F.col("value") == F.col("inst")).select("doc_id", "text_hash", "start", "end", F.col("found").alias("kind"), "value", F.lit(False).alias("base"))
+    spans = base.select("doc_id", "text_hash", "start", "end", "kind", "value", F.lit(True).alias("base")).union(extra)
     order = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
     one = F.struct("start", order.alias("rank"), "end", "kind", "value", "base")
-    by_uid = spans.groupBy("uid", "doc_id", "text_hash").agg(F.sort_array(F.collect_list(one)).alias("spans"))
     # Repeated rows (same id and text) have the same spans.
-    return saved(by_uid.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans")), "pii-spans")
+    return saved(spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(one)).alias("spans")), "pii-spans")
 
 
 def _text_hash(text_col: str) -> Column:

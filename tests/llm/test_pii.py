@@ -69,6 +69,22 @@ def test_bootstrap_finds_unseen_cards(spark):
     assert got[901] == got[902] == ""
 
 
+def test_bootstrap_finds_values_without_digits_and_spaced_groups(spark):
+    rows = []
+    for i in range(40):
+        rows += [(i, f"e-mail: user{i}@mail.example.com thanks"), (100 + i, f"please call +1 (555) 555-{1000 + i} tonight"), (200 + i, f"my card 4111 1111 1111 1111 and text {i}")]
+    cards = [f"{n:015d}" for n in range(400000000000000, 400000000000040)]
+    rows += [(300 + i, f"my card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]}{next(d for d in '0123456789' if luhn(c + d))} expired") for i, c in enumerate(cards)]
+    rows += [(900, "e-mail: maria.lopez@intranet thanks"), (901, "please call (555) 123-4567 tonight"), (902, "my card 4000 1234 1234 1231 expired"), (903, "in 2024 the plain words stand alone")]
+    assert all(brute(t) == [] for i, t in rows if i >= 900)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in P.personal_data(df).collect()}
+    assert "email:8:28" in got[900] and "phone:12:26" in got[901] and "card:8:27" in got[902] and got[903] == [""]
+    clean = {r.doc_id: r.text for r in P.redact(df).collect()}
+    assert clean[900] == "e-mail: <EMAIL> thanks" and clean[901] == "please call <PHONE> tonight"
+    assert clean[902] == "my card <CARD> expired" and clean[903] == rows[-1][1]
+
+
 def test_redact(spark):
     rows = [(1, "mail a.b@c.org or +1 (555) 555-1234."), (2, None), (3, "é 10.0.0.1"), (None, "10.0.0.1"), (4, "plain")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))

@@ -8,6 +8,7 @@ MODULES = (
     "q_bm25",
     "q_decontaminate",
     "q_licenses",
+    "q_merkle",
     "q_packing",
     "q_pii",
     "q_quality",

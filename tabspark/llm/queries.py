@@ -11,6 +11,7 @@ MODULES = (
     "q_merkle",
     "q_packing",
     "q_pii",
+    "q_prefix_trie",
     "q_quality",
     "q_rollup",
     "q_simhash",

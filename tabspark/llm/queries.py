@@ -9,6 +9,7 @@ MODULES = (
     "q_decontaminate",
     "q_licenses",
     "q_merkle",
+    "q_minhash",
     "q_packing",
     "q_pii",
     "q_prefix_trie",

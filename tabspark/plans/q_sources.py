@@ -42,6 +42,47 @@ def ingest_csv(spark, d):
     return df
 
 
+def _orders_dialect(spark, d, name: str, **options) -> str:
+    """Orders as a CSV of another dialect."""
+    path = work_dir(spark, name) + "/orders.csv"
+    options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "escape": '"', **options}
+    table(spark, d, "orders").select(*ORDERS_COLS.split(", ")).write.options(**options).csv(path)
+    return path
+
+
+def _ingested(spark, path: str):
+    cat = Catalog(spark, work_dir(spark, "catalog"))
+    return cat.read(cat.ingest(path, "orders_csv", fmt="csv"))[0]
+
+
+@register("ingest_csv_semicolon", f"SELECT {ORDERS_COLS} FROM orders")
+def ingest_csv_semicolon(spark, d):
+    """The delimiter is found, every field quoted in single quotes."""
+    return _ingested(spark, _orders_dialect(spark, d, "semicolon", header=True, delimiter=";", quote="'", escape="'", quoteAll=True))
+
+
+@register("ingest_csv_tab", f"SELECT {ORDERS_COLS} FROM orders")
+def ingest_csv_tab(spark, d):
+    return _ingested(spark, _orders_dialect(spark, d, "tab", header=True, delimiter="\t"))
+
+
+@register(
+    "ingest_csv_headerless",
+    "SELECT o_orderkey AS column0, o_custkey AS column1, o_orderstatus AS column2, o_totalprice AS column3, "
+    "o_orderdate AS column4, o_orderpriority AS column5 FROM orders",
+)
+def ingest_csv_headerless(spark, d):
+    return _ingested(spark, _orders_dialect(spark, d, "headerless", header=False, delimiter="|"))
+
+
+@register("ingest_csv_line_breaks", "SELECT doc_id, text FROM documents")
+def ingest_csv_line_breaks(spark, d):
+    """Quoted line breaks are found from the head."""
+    path = work_dir(spark, "breaks") + "/documents.csv"
+    export_csv(table(spark, d, "documents").select("doc_id", "text"), path)
+    return _ingested(spark, path)
+
+
 @register(
     "ingest_manifest",
     "SELECT 'csv' AS source_format, 'parquet' AS canonical_format, COUNT(*) AS row_count, 6 AS column_count FROM orders",

@@ -1,8 +1,8 @@
 """Ingest CSV / Parquet into an immutable canonical Parquet version.
 
-``ingest`` reads the source with Spark's readers (CSV: header + schema
-inference + FAILFAST, so a malformed row fails the job), normalizes the
-types to the logical type system (integers -> bigint, timestamps without
+``ingest`` reads the source with Spark's readers (CSV: the dialect is found
+from the head of the file, then schema inference + FAILFAST, so a malformed
+row fails the job), normalizes the types to the logical type system (integers -> bigint, timestamps without
 zone), mints stable column ids into the field metadata and writes the
 canonical copy with ``errorifexists``: an existing target is never
 touched.  Spark's commit protocol only publishes the target when every
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import DatasetSchema, attach, col_of
+from .dialect import read_csv, sniff
 
 SOURCE_FORMATS = ("csv", "parquet")
 
@@ -44,28 +45,21 @@ def read_source(
     spark: SparkSession,
     path: str,
     fmt: str | None = None,
-    delimiter: str = ",",
-    header: bool = True,
-    multi_line: bool = False,
+    delimiter: str | None = None,
+    header: bool | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read a CSV or Parquet source with the strict options.
 
-    Quotes inside a quoted CSV field are doubled.  ``multi_line`` allows line breaks in quoted
-    fields; such a file cannot be split, so it is off by default.
+    What is not given of a CSV's dialect is found from its head (``dialect.sniff``).  A file with
+    line breaks in quoted fields cannot be split; breaks that only occur beyond the head need
+    ``multi_line=True``.
     """
     fmt = fmt or source_format(path)
     if fmt == "csv":
-        return (
-            spark.read.option("header", header)
-            .option("inferSchema", True)
-            .option("mode", "FAILFAST")
-            .option("delimiter", delimiter)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", multi_line)
-            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
-            .csv(path)
-        )
+        found = sniff(spark, path, delimiter)
+        given = {"header": header, "multi_line": multi_line}
+        return read_csv(spark, path, replace(found, **{k: v for k, v in given.items() if v is not None}))
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise IngestionError(f"unsupported source format: {fmt}")
@@ -137,14 +131,14 @@ def ingest(
     source: str,
     target: str,
     fmt: str | None = None,
-    delimiter: str = ",",
-    header: bool = True,
-    multi_line: bool = False,
+    delimiter: str | None = None,
+    header: bool | None = None,
+    multi_line: bool | None = None,
 ) -> tuple[DataFrame, Manifest]:
     """Source file -> canonical Parquet + manifest; returns the canonical frame."""
     fmt = fmt or source_format(source)
     if os.path.abspath(source) == os.path.abspath(target):
-        raise IngestionError("source and canonical target must be different files")
+        raise IngestionError("the canonical copy needs a path of its own")
     try:
         raw = normalize_types(read_source(spark, source, fmt, delimiter, header, multi_line))
     except AnalysisException as exc:

@@ -72,7 +72,7 @@ def analyze(
         return Analysis(result, D.column_summaries(df, [x], schema), checks, {"qq": points, "qq_fit": fit})
     if test_id in ("pearson", "spearman"):
         pairs = H._pairs(df, x, y, schema)[0]
-        return Analysis(result, None, D.notes(pairs, test_id), {"scatter": X.scatter(df, x, y, D.EVIDENCE_LIMIT, schema=schema)})
+        return Analysis(result, None, D.notes(pairs, test_id), {"scatter": D.scatter_evidence(df, x, y, schema)})
     low = H.expected_cells(df, x, y, schema)
     checks = low.select(
         "name", F.col("minimum_expected").alias("statistic"), F.lit(None).cast("double").alias("p_value"), "status", "sample_size", "message"

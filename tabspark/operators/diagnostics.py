@@ -3,8 +3,8 @@
 * ``group_summaries``  -- n, mean, exact median, sample sd per group.
 * ``levene``           -- Brown-Forsythe (median-centred Levene) from group
                           medians and moments of |x - median|.
-* ``shapiro``          -- Shapiro-Wilk per group on a seeded sample of at most
-                          5000 values per group, one ``applyInPandas`` task per group.
+* ``shapiro``          -- Shapiro-Wilk per group on at most 5000 values per group, at
+                          evenly spaced places in file order, one ``applyInPandas`` task per group.
 * ``residual_qq``      -- normal Q-Q of group-centred residuals; above 5000
                           values a systematic sample of the sorted residuals taken
                           through ``value_positions`` (no global sort).
@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dist
+from ..functions import dist, row_order
 from ..functions.ranks import quantiles, value_positions
 from ..schema import DatasetSchema, col_of
-from .explore import qq_fit, qq_points
-from .hypothesis import MAX_GROUPS, AnalyzeError, _run_stage, check_group_count, grouped_values
+from .explore import qq_fit, qq_points, sample_rows
+from .hypothesis import MAX_GROUPS, AnalyzeError, _pairs, _run_stage, check_group_count, grouped_values
 
 SHAPIRO_LIMIT = 5000
 QQ_LIMIT = 5000
@@ -200,7 +200,11 @@ def shapiro(
     limit: int = SHAPIRO_LIMIT,
     seed: int = 42,
 ) -> DataFrame:
-    """Shapiro-Wilk per group (or for the whole column) with pass/warning at alpha."""
+    """Shapiro-Wilk per group (or for the whole column) with pass/warning at alpha.
+
+    More than ``limit`` values: those at evenly spaced places in file order, or a seeded uniform
+    sample where the rows have no file order.
+    """
     alpha = 1 - confidence_level
     schema = schema or DatasetSchema.of(df)
     if group is None:
@@ -208,7 +212,13 @@ def shapiro(
         values = df.select(F.lit(xc.display_name).alias("label"), col_of(xc.physical_name).cast("double").alias("x")).dropna()
     else:
         values = grouped_values(df, x, group, schema)
-    sample = bounded_sample(values, "label", limit, seed).withColumnRenamed("_n", "_total")
+    if row_order.has_address(values):
+        counts = _group_sizes(values, "label").withColumnsRenamed({"label": "_label", "_n": "_total"})
+        sample = row_order.systematic_rows(values, limit, ["label"]).withColumn("_u", F.lit(0.0))
+        # at most MAX_GROUPS rows (checked in _group_sizes): a bounded broadcast
+        sample = sample.join(F.broadcast(counts), F.col("label") == F.col("_label")).drop("_label")
+    else:
+        sample = bounded_sample(values, "label", limit, seed).withColumnRenamed("_n", "_total")
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         label = pdf["label"].iloc[0]
@@ -302,6 +312,16 @@ def paired_differences(df: DataFrame, x: str, y: str, schema: DatasetSchema | No
     return df.select((col_of(a.physical_name).cast("double") - col_of(b.physical_name).cast("double")).alias("d")).dropna()
 
 
+# -- X7 scatter evidence ----------------------------------------------------------------------
+def scatter_evidence(
+    df: DataFrame, x: str, y: str, schema: DatasetSchema | None = None, limit: int = EVIDENCE_LIMIT, seed: int = 42
+) -> DataFrame:
+    """(x, y) of complete rows, at most ``limit``: evenly spaced in file order, or a seeded uniform
+    sample where the rows have no file order."""
+    pairs = _pairs(df, x, y, schema)[0]
+    return row_order.systematic_rows(pairs, limit) if row_order.has_address(pairs) else sample_rows(pairs, limit, seed)
+
+
 # -- X8 notes --------------------------------------------------------------------------------
 # Informational diagnostics attached to the rank and correlation tests.
 NOTES = {

@@ -19,6 +19,7 @@ from typing import Union
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import row_order
 from ..functions.casts import cast_to
 from ..schema import CAST_TARGETS, DatasetColumn, DatasetSchema, SchemaError, col_of
 
@@ -315,8 +316,8 @@ def run(
 ) -> DataFrame:
     """Fold the pipeline over ``df``; optional selection (by id) and a page.
 
-    A page needs an order: Spark has no file order, so ``order_by`` (ids) is
-    required whenever ``limit``/``offset`` is given.
+    A page without ``order_by`` (ids) follows the files of a Parquet scan; where the pipeline loses
+    the rows' addresses (duplicates removed), it needs an order.
     """
     schema = schema or DatasetSchema.of(df)
     pipeline = _as_pipeline(ops)
@@ -330,10 +331,12 @@ def run(
             raise PipelineError("selected_column_ids must not be empty")
         df = df.select(*[col_of(_active(current_schema, i).physical_name) for i in select])
     if limit is not None or offset:
-        if not order_by:
-            raise PipelineError("a page needs an order_by key")
         if offset < 0:
-            raise PipelineError("offset must be >= 0")
+            raise PipelineError(f"a page cannot start at row {offset}")
+        if not order_by and limit is not None and row_order.has_address(df):
+            return row_order.page(df, offset, limit)
+        if not order_by:
+            raise PipelineError("these rows have no file order: name the order of the page")
         keys = [col_of(_active(current_schema, i).physical_name).asc_nulls_last() for i in order_by]
         df = df.orderBy(*keys)
         if offset:

@@ -1,8 +1,10 @@
 """Pages of a version and read-only previews of a transformation.
 
-Spark has no file order, so a page is always taken under an explicit
-order key; ``orderBy(...).offset(o).limit(l)`` plans as a top-k
-(TakeOrderedAndProject) instead of a global sort.
+Without an order key a page follows the files: the rows of a Parquet scan, or what filters and
+projections leave of it, keep their addresses (``functions.row_order``), so a page reads only the
+chunks that hold it.  With an order key, or where the addresses are lost (duplicates removed),
+``orderBy(...).offset(o).limit(l)`` plans as a top-k (TakeOrderedAndProject); all other columns break
+ties, so pages never overlap.
 """
 
 from __future__ import annotations
@@ -10,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
+from ..functions import row_order
 from ..schema import DatasetSchema, col_of
 from . import prepare as P
 
@@ -30,14 +35,24 @@ def _order(keys) -> list[Column]:
     return cols
 
 
-def preview(df: DataFrame, offset: int = 0, limit: int = 50, order_by=None) -> DataFrame:
-    """L1: rows ``offset .. offset+limit`` under ``order_by`` (names or (name, dir))."""
+def _ties(df: DataFrame) -> list[Column]:
+    """Every column that can be ordered; maps and variants cannot."""
+    return [col_of(f.name).asc_nulls_last() for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
+def _check(offset: int, limit: int) -> None:
     if not 1 <= limit <= MAX_PREVIEW_ROWS:
-        raise ValueError("limit must be between 1 and 200")
+        raise ValueError(f"a page has 1 to {MAX_PREVIEW_ROWS} rows, not {limit}")
     if offset < 0:
-        raise ValueError("offset must be >= 0")
-    keys = _order(order_by or [df.columns[0]])
-    out = df.orderBy(*keys)
+        raise ValueError(f"a page cannot start at row {offset}")
+
+
+def preview(df: DataFrame, offset: int = 0, limit: int = 50, order_by=None) -> DataFrame:
+    """L1/L2: rows ``offset .. offset+limit`` in file order or under ``order_by`` (names or (name, dir))."""
+    _check(offset, limit)
+    if not order_by and row_order.has_address(df):
+        return row_order.page(df, offset, limit)
+    out = df.orderBy(*_order(order_by or []), *_ties(df))
     if offset:
         out = out.offset(offset)
     return out.limit(limit)
@@ -61,11 +76,8 @@ def transform_preview(
     order_by=None,
 ) -> tuple[DataFrame, DataFrame, DatasetSchema]:
     """L3: (first ``limit`` output rows, counts row, evolved schema); nothing is written."""
-    if not 1 <= limit <= MAX_PREVIEW_ROWS:
-        raise ValueError("limit must be between 1 and 200")
+    _check(0, limit)
     schema = schema or DatasetSchema.of(df)
     child = P.evolve(schema, ops)
     out = P.run(df, ops, schema)
-    keys = order_by or [c.physical_name for c in child.columns[:1]]
-    rows = out.orderBy(*_order(keys)).limit(limit)
-    return rows, transform_counts(df, ops, schema), child
+    return preview(out, 0, limit, order_by), transform_counts(df, ops, schema), child

@@ -236,6 +236,29 @@ def preview_page(spark, d):
     return P.run(df, [], DatasetSchema.of(df), order_by=["col_o_orderkey"], limit=50, offset=100)
 
 
+@register(
+    "preview_file_order",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders LIMIT 50 OFFSET 7000",
+)
+def preview_file_order(spark, d):
+    """A deep page without an order key."""
+    from ..operators.preview import preview
+
+    return preview(table(spark, d, "orders"), offset=7000, limit=50)
+
+
+@register(
+    "prepared_file_order",
+    "SELECT l_orderkey, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS l_quantity FROM "
+    "(SELECT *, row_number() OVER () AS rn FROM lineitem) WHERE l_quantity > 25 ORDER BY rn LIMIT 200 OFFSET 12345",
+)
+def prepared_file_order(spark, d):
+    """The rows that a filter leaves keep their places through casts and renames."""
+    df = table(spark, d, "lineitem")
+    ops = [P.Filter("col_l_quantity", "gt", 25), P.Rename("col_l_linenumber", "line"), P.Cast("col_l_quantity", "integer")]
+    return P.run(df, ops, DatasetSchema.of(df), select=["col_l_orderkey", "col_l_linenumber", "col_l_quantity"], limit=200, offset=12345)
+
+
 @register(
     "prepared_preview_page",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' "

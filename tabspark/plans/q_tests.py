@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import row_order
 from ..operators import diagnostics as D
 from ..operators import explore as X
 from ..operators import hypothesis as H
@@ -319,12 +320,38 @@ def box_by_group(spark, d):
     return out.select("category", "minimum", _r("q1"), _r("median"), _r("q3"), "maximum", "n")
 
 
-@register("scatter_evidence", "SELECT CAST(c_nationkey AS DOUBLE) AS x, c_acctbal AS y FROM customer")
+def _spaced_sql(rows: str, columns: str, m: int, by: str = "0") -> str:
+    """Rows at m evenly spaced places in file order within each group (all of a smaller group)."""
+    return (
+        f"WITH f AS (SELECT *, row_number() OVER () AS rn FROM {rows} s), "
+        f"t AS (SELECT *, {by} AS grp, row_number() OVER (PARTITION BY {by} ORDER BY rn) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS nn FROM f), "
+        f"p AS (SELECT grp, CASE WHEN j = {m - 1} THEN nn - 1 ELSE CAST(FLOOR(j * (CAST(nn - 1 AS DOUBLE) / {m - 1}.0)) AS BIGINT) END AS pos "
+        f"FROM range(0, {m}) q(j), (SELECT DISTINCT grp, nn FROM t WHERE nn > {m})) "
+        f"SELECT {columns} FROM t WHERE nn <= {m} OR EXISTS (SELECT 1 FROM p WHERE p.grp = t.grp AND p.pos = t.pos)"
+    )
+
+
+_PAIRS_SQL = f"(SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS label FROM {LN} WHERE l_quantity IS NOT NULL)"
+
+
+@register("scatter_evidence", _spaced_sql(_PAIRS_SQL, "x, y", D.EVIDENCE_LIMIT))
 def scatter_evidence(spark, d):
+    """Complete pairs at evenly spaced places in file order."""
+    return D.scatter_evidence(lineitem_nulled(spark, d), "l_quantity", "l_extendedprice")
+
+
+@register("scatter_evidence_small", "SELECT CAST(c_nationkey AS DOUBLE) AS x, c_acctbal AS y FROM customer")
+def scatter_evidence_small(spark, d):
     # 3000 >= customers at sf0.01: the evidence sample is the full set there.
     return X.scatter(table(spark, d, "customer"), "c_nationkey", "c_acctbal", limit=D.EVIDENCE_LIMIT)
 
 
+@register("systematic_groups", _spaced_sql(_PAIRS_SQL, "label, x", D.SHAPIRO_LIMIT, "label"))
+def systematic_groups(spark, d):
+    """The values that the normality check of each group sees."""
+    return row_order.systematic_rows(H.grouped_values(lineitem_nulled(spark, d), "l_quantity", "l_returnflag"), D.SHAPIRO_LIMIT, ["label"])
+
+
 @register(
     "test_notes",
     f"SELECT 'Linearity' AS name, CAST(NULL AS DOUBLE) AS statistic, CAST(NULL AS DOUBLE) AS p_value, 'info' AS status, "

@@ -7,16 +7,16 @@
 * ``before`` -- how many rows of the same group hold a smaller value,
 * ``total``  -- rows in the group.
 
-It never orders all rows in one task.  Rows are first collapsed to value
-counts (map-side combine, so a hot value costs one row), the distinct
-values are cut into range buckets at approximate quantiles of the rows (one sketch, a bounded list
-of numbers; the number of buckets follows from the row count), bucket totals give each bucket its
-offset (a small frame of groups x buckets), and only the values of one
-bucket are ordered together.
+Rows are first collapsed to value counts (map-side combine, so a hot value
+costs one row) and written once: the only scan of the data.  The counts are
+dealt into ranges of about ``RANGE_ROWS`` distinct values by one range
+shuffle, the totals of the ranges give each range its offset, and only the
+values of one range are ordered together.  Counts that fit one range need
+neither.
 
 ``quantiles`` needs no positions: one scan takes counts and an approximate bracket around every
 quantile, a second one counts the rows below each bracket and keeps only the values inside, whose
-exact order gives the exact quantile.
+exact order gives the exact quantile.  A quantile outside its bracket is taken from the positions.
 
 From positions follow midranks (``before + (n + 1) / 2``, ties averaged),
 the tie term ``sum(t^3 - t)`` and exact linear-interpolated quantiles
@@ -27,49 +27,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "_bucket"
-MAX_BUCKETS = 4096
-BUCKET_ROWS = 200_000  # rows of a bucket, about; an upper bound of the distinct values ordered together
-LOCAL_GROUPS = 10_000  # groups whose brackets may be broadcast
-
+from ..session import written
 
-def _edges(df: DataFrame, value: str, n_buckets: int | None = None) -> list[float]:
-    """Approximate cut points of the rows of ``value``: at most MAX_BUCKETS - 1 numbers.
-
-    Edges only balance the buckets -- any edges give the same exact result.  They are quantiles of
-    the rows, so a bucket has at most its share of the rows as distinct values, whatever the skew.
-    """
-    tmp = "_edge_value"
-    fine = n_buckets or MAX_BUCKETS
-    probs = [i / fine for i in range(1, fine)]
-    if not probs:
-        return []
-    numeric = df.select(F.col(value).cast("double").alias(tmp)).where(~F.isnan(tmp))
-    row = numeric.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(tmp, probs, 4 * fine).alias("cuts")).first()
-    cuts = row["cuts"] or []
-    if n_buckets is None:  # far more buckets than a task needs would only make the offsets larger
-        wanted = min(MAX_BUCKETS, max(8, -(-row["n"] // BUCKET_ROWS)))
-        step = fine // wanted
-        cuts = cuts[step - 1 :: step]
-    return sorted({c for c in cuts if c is not None})
-
-
-def _bucketize(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
-    if not edges:
-        return df.withColumn(_B, F.lit(0.0))
-    splits = [float("-inf"), *edges, float("inf")]
-    tmp = "_bucket_input"
-    bucketizer = Bucketizer(splits=splits, inputCol=tmp, outputCol=_B, handleInvalid="keep")
-    return bucketizer.transform(df.withColumn(tmp, F.col(value).cast("double"))).drop(tmp)
-
-
-def bucket_edges(df: DataFrame, value: str, n_buckets: int | None = None) -> list[float]:
-    """Edges for ``value_positions`` (a bounded list of numbers)."""
-    return _edges(df.where(F.col(value).isNotNull()), value, n_buckets)
+RANGE_ROWS = 1_000_000  # distinct values ordered together, about
+LOCAL_GROUPS = 10_000  # groups whose brackets may be broadcast
+ACCURACY = 2000  # of the sketch that gives the brackets
+MARGIN = 4.0 / ACCURACY  # share of the rows on either side of a quantile
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -81,51 +47,40 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
+def kept_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``value_counts``, written: one scan for everything that is taken from them."""
+    return written(value_counts(df, value, by), "value-counts")
+
+
 def value_positions(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str] = (),
-    n_buckets: int | None = None,
-    counts: DataFrame | None = None,
-    edges: list[float] | None = None,
+    df: DataFrame | None, value: str, by: Sequence[str] = (), counts: DataFrame | None = None, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """One row per (group, distinct value): n, before, total (see module doc).
 
-    ``counts`` may be given when the caller already has value counts with an
-    ``n`` column (e.g. weighted pairs); then ``df`` is only used for the edges.
-    ``edges`` (from ``bucket_edges``) lets several passes over the same column
-    share one edge job; any edges give the same exact result.
+    ``counts`` (written value counts with an ``n`` column) may replace the scan of ``df``.
     """
     by = list(by)
-    if edges is None:
-        edges = _edges(df.where(F.col(value).isNotNull()), value, n_buckets)
-    vc = counts if counts is not None else value_counts(df, value, by)
-    vc = _bucketize(vc, value, edges)
-    bucket_totals = vc.groupBy(*by, _B).agg(F.sum("n").alias("_bn"))
-    w_groups = Window.partitionBy(*by).orderBy(_B) if by else Window.orderBy(_B)
-    w_all = Window.partitionBy(*by) if by else Window.partitionBy()
-    offsets = bucket_totals.select(
-        *by,
-        _B,
-        F.coalesce(
-            F.sum("_bn").over(w_groups.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-        F.sum("_bn").over(w_all).alias("total"),
-    )
-    # offsets has (groups x buckets) rows; AQE broadcasts it when its runtime size is small.
-    # Group keys may be NULL (a NULL group is a group), hence the null-safe match.
-    o = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col(_B).alias("_o_b"), "_offset", "total")
-    cond = [F.col(_B) == F.col("_o_b")] + [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by]
-    joined = vc.join(o, cond)
-    w_in = Window.partitionBy(*by, _B).orderBy(value)
-    before_in = F.coalesce(F.sum("n").over(w_in.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return joined.select(
-        *by,
-        value,
-        F.col("n").cast("bigint").alias("n"),
-        (F.col("_offset") + before_in).cast("bigint").alias("before"),
-        F.col("total").cast("bigint").alias("total"),
-    )
+    counts = counts if counts is not None else kept_counts(df, value, by)
+    ranges = -(-counts.count() // range_rows)
+    group = [F.col(c) for c in by] or [F.lit(0)]
+    out = [*by, value, F.col("n").cast("bigint").alias("n")]
+    if ranges <= 1:
+        smaller = F.sum("n").over(Window.partitionBy(*group).orderBy(value)) - F.col("n")
+        total = F.sum("n").over(Window.partitionBy(*group))
+        return counts.select(*out, smaller.cast("bigint").alias("before"), total.cast("bigint").alias("total"))
+    dealt = counts.repartitionByRange(ranges, *by, value).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "value-ranges")
+    # One row a group and range.  Group keys may be NULL (a NULL group is a group).
+    sums = dealt.groupBy(*by, "_range").agg(F.sum("n").alias("_rn"))
+    sums = sums.select(
+        *(F.col(c).alias(f"_o_{c}") for c in by), F.col("_range").alias("_o"),
+        (F.sum("_rn").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_rn")).alias("_offset"),
+        F.sum("_rn").over(Window.partitionBy(*group)).alias("total"),
+    )
+    joined = dealt.join(sums, [F.col("_range") == F.col("_o")] + [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by])
+    within = F.sum("n").over(Window.partitionBy("_range", *by).orderBy(value)) - F.col("n")
+    before = (F.col("_offset") + within).cast("bigint").alias("before")
+    return joined.select(*out, before, F.col("total").cast("bigint").alias("total"))
 
 
 def midrank(positions: DataFrame) -> Column:
@@ -156,6 +111,11 @@ def quantile_exprs(value: str, probs: Sequence[float], names: Sequence[str]) ->
     return out
 
 
+def position_quantiles(positions: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles (per group) from value positions."""
+    return positions.groupBy(*by).agg(*quantile_exprs(value, probs, names))
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -169,58 +129,80 @@ def quantiles(
 
     Scan 1 takes ``aggs``, counts and a sketch; its rows (one per group) are the only data that may
     be broadcast, and only up to LOCAL_GROUPS of them.  Scan 2 keeps a value if it lies inside a
-    bracket and a count if it lies below; brackets hold about eight times 1/accuracy of the rows, or
-    all of them for small groups.  ``counts`` (value counts with a column n) may replace scan 2.
+    bracket and a count if it lies below; brackets hold about 2 * MARGIN of the rows, or all of them
+    for small groups.  Groups with a quantile outside its bracket go through ``value_positions``.
+    ``counts`` (value counts with a column n) may replace scan 2.
     """
+    if len(probs) > 60:
+        raise ValueError("at most 60 quantiles at once")
     names, by = list(names or [f"q{int(round(p * 100))}" for p in probs]), list(by)
-    spark, accuracy = df.sparkSession, 20_000 if by else 100_000
-    margin = 4.0 / accuracy
-    sketch = [c for p in probs for c in (max(0.0, p - margin), min(1.0, p + margin))]
+    spark = df.sparkSession
+    sketch = [min(1.0, max(0.0, c)) for p in probs for c in (p - MARGIN, p + MARGIN)]
     v = F.col(value).cast("double")
     stats = df.groupBy(*by).agg(
         F.count(value).alias("_total"),
         F.min(v).alias("_lo"),
         F.max(v).alias("_hi"),
-        F.percentile_approx(v, sketch, accuracy).alias("_sketch"),
+        F.percentile_approx(v, sketch, ACCURACY).alias("_sketch"),
         *aggs,
     )
     known = stats.limit(LOCAL_GROUPS + 1).collect()
     local = len(known) <= LOCAL_GROUPS
-    stats = spark.createDataFrame(known, stats.schema) if local else stats.checkpoint()
+    stats = spark.createDataFrame(known, stats.schema) if local else written(stats, "quantile-stats")
     ends = F.array(*[F.col("_hi" if i % 2 else "_lo") for i in range(len(sketch))])
     brackets = stats.where(F.col("_total") > 0).select(
         *[F.col(c).alias(f"_b_{c}") for c in by],
         F.lit(0).alias("_one"),
         F.col("_total").alias("_n_all"),
-        F.when(F.col("_total") <= accuracy, ends).otherwise(F.col("_sketch")).alias("_cut"),
+        F.when(F.col("_total") <= ACCURACY, ends).otherwise(F.col("_sketch")).alias("_cut"),
     )
     source = (df.withColumn("n", F.lit(1)) if counts is None else counts).where(F.col(value).isNotNull())
     source = source.select(*by, v.alias("_v"), F.col("n").alias("_n"), F.lit(0).alias("_zero"))
     cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] or [F.col("_zero") == F.col("_one")]
     # Without groups the brackets are one row; with groups their number was just checked.
     met = source.join(F.broadcast(brackets) if local else brackets, cond)
+    # A row shrinks to its value if a bracket holds it, and to the set of brackets that it lies below.
     cut, x = F.col("_cut"), F.col("_v")
+    inside_any, below = F.lit(False), F.lit(0).cast("bigint")
+    for j in range(len(probs)):
+        inside_any = inside_any | ((x >= cut[2 * j]) & (x <= cut[2 * j + 1]))
+        below = below + F.when(x < cut[2 * j], F.lit(1 << j)).otherwise(F.lit(0))
+    small = met.groupBy(*by, F.when(inside_any, x).alias("_x"), below.alias("_below")).agg(F.sum("_n").alias("_n"))
+    sides = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] or [F.col("_zero") == F.col("_one")]
+    small = small.withColumn("_zero", F.lit(0)).join(F.broadcast(brackets) if local else brackets, sides)
     cells = [
-        F.when(x < cut[2 * j], F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("x"))).when(
-            x <= cut[2 * j + 1], F.struct(F.lit(j).alias("j"), x.alias("x"))
+        F.when(F.col("_below").bitwiseAND(F.lit(1 << j)) != 0, F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("x"))).when(
+            (F.col("_x") >= cut[2 * j]) & (F.col("_x") <= cut[2 * j + 1]), F.struct(F.lit(j).alias("j"), F.col("_x").alias("x"))
         )
         for j in range(len(probs))
     ]
-    kept = met.select(*by, "_n_all", "_n", F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    kept = small.select(*by, "_n_all", "_n", F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
     kept = kept.groupBy(*by, "_n_all", "j", "x").agg(F.sum("_n").alias("n"))
     order = Window.partitionBy(*by, "j").orderBy(F.col("x").asc_nulls_first())
     kept = kept.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside, upto = F.col("x").isNotNull(), F.col("before") + F.col("n")
-    found = []
+    found, missed = [], F.lit(False)
     for j, (p, name) in enumerate(zip(probs, names)):
         pos = (F.col("_n_all") - 1).cast("double") * F.lit(float(p))
         at = lambda i, j=j: F.max(F.when((F.col("j") == j) & inside & (F.col("before") <= i) & (i < upto), F.col("x")))
         low, high, frac = at(F.floor(pos)), at(F.ceil(pos)), F.max(pos - F.floor(pos))
-        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-        found.append(F.when(low.isNull() | high.isNull(), missed).otherwise(low + frac * (high - low)).alias(name))
-    picked = kept.groupBy(*by).agg(F.max("_n_all").alias("_seen"), *found)
-    picked = picked.where("_seen > 0").select(*[F.col(c).alias(f"_p_{c}") for c in by], F.lit(0).alias("_two"), *names)
-    back = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in by] or [F.col("_three") == F.col("_two")]
-    out = stats.withColumn("_three", F.lit(0)).join(picked, back, "left")
+        missed = missed | low.isNull() | high.isNull()
+        found.append((low + frac * (high - low)).alias(name))
+    picked = kept.groupBy(*by).agg(F.max("_n_all").alias("_seen"), *found, missed.alias("_missed"))
+    back = lambda left, right: [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)]
+    if local:  # at most LOCAL_GROUPS rows
+        picked = spark.createDataFrame(picked.collect(), picked.schema)
+    else:
+        picked = written(picked, "quantiles")
+    lost = picked.where("_missed or _missed is null").select(*[F.col(c).alias(f"_m_{c}") for c in by])
+    picked = picked.where("not _missed").select(*by, *names)
+    if not lost.isEmpty():
+        rows = df if counts is None else counts
+        rows = rows.join(lost, back(by, [f"_m_{c}" for c in by]), "left_semi") if by else rows
+        rest = kept_counts(rows, value, by) if counts is None else written(rows.select(*by, value, "n"), "value-counts")
+        exact = position_quantiles(value_positions(None, value, by, rest), value, probs, names, by)
+        picked = picked.union(exact.select(*by, *names))
+    picked = picked.select(*[F.col(c).alias(f"_p_{c}") for c in by], F.lit(0).alias("_two"), *names)
+    out = stats.withColumn("_three", F.lit(0)).join(picked, back(by, [f"_p_{c}" for c in by]) or [F.col("_three") == F.col("_two")], "left")
     extra = [c for c in stats.columns if c not in (*by, "_total", "_lo", "_hi", "_sketch")]
     return out.select(*by, *extra, *names)

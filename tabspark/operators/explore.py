@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import quantiles as exact_quantiles
-from ..functions.ranks import value_counts
+from ..functions.ranks import kept_counts, position_quantiles, value_positions
 from ..functions.small import spread
 from ..schema import CATEGORICAL_ROLE, NUMERIC, TEMPORAL, DatasetColumn, DatasetSchema, col_of
 
@@ -71,10 +71,11 @@ def describe(
         (F.avg(x.cast("double")) if numeric else F.lit(None).cast("double")).alias("mean"),
         (F.stddev_samp(x.cast("double")) if numeric else F.lit(None).cast("double")).alias("stddev"),
     ]
-    counts = value_counts(df, name)
+    counts = kept_counts(df, name)  # mode, distinct values and quantiles come from one scan
     quarters, quarter_names = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
     if numeric and quantiles == "exact":
-        base = exact_quantiles(df, name, quarters, quarter_names, aggs=raw[1:], counts=counts).withColumn("column_id", key)
+        exact = position_quantiles(value_positions(None, name, counts=counts), name, quarters, quarter_names)
+        base = df.agg(*raw).join(F.broadcast(exact))  # one row each
     elif numeric:
         sketch = F.percentile_approx(x.cast("double"), quarters, 10000).alias("_q")
         base = df.agg(*raw, sketch).select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(quarter_names)])

@@ -22,7 +22,7 @@ def _midranks(values):
 @given(st.lists(st.integers(min_value=-20, max_value=20), min_size=1, max_size=120))
 def test_midranks_match_brute_force(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    pos = value_positions(df, "x", n_buckets=5)
+    pos = value_positions(df, "x", range_rows=5)
     got = {r.x: r.r for r in pos.select("x", midrank(pos).alias("r")).collect()}
     assert got == pytest.approx(_midranks(values))
 

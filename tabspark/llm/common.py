@@ -64,3 +64,33 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def slices(n: int, size: int) -> Iterator[slice]:
     for start in range(0, n, size):
         yield slice(start, min(n, start + size))
+
+
+BITS = 1 << 20  # of a bitmap of hashes; a fuller one only lets more rows through
+
+
+def bitmap(hashes: DataFrame, bits: int = BITS) -> Column:
+    """The hashes of a one-column table as an array of ``bits`` bits, whatever their number."""
+    h = F.pmod(col_of(hashes.columns[0]), F.lit(bits))
+    rows = hashes.select(h.alias("h")).selectExpr("shiftright(h, 6) AS at", "shiftleft(1L, cast(h % 64 AS int)) AS bit")
+    words = [0] * (bits // 64)  # at most so many rows
+    for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r["at"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def in_bitmap(words: Column, value: Column, bits: int = BITS) -> Column:
+    """Whether a hash may be in the bitmap; one that is in it always is."""
+    h = F.pmod(value, F.lit(bits))
+    return F.getbit(F.get(words, F.call_function("shiftright", h, F.lit(6)).cast("int")), (h % 64).cast("int")) == 1
+
+
+def kept_rows(df: DataFrame, keys: list[Column], others: DataFrame, how: str) -> DataFrame:
+    """The rows of ``df`` whose keys are (``left_semi``) or are not (``left_anti``) rows of ``others``.
+
+    Always a shuffled join, nulls equal; the columns of ``df`` may have any names.
+    """
+    packed = df.select(F.struct("*").alias("row"), *(k.alias(f"left_{i}") for i, k in enumerate(keys)))
+    right = others.toDF(*(f"right_{i}" for i in range(len(keys)))).hint("merge")
+    same = [F.col(f"left_{i}").eqNullSafe(F.col(f"right_{i}")) for i in range(len(keys))]
+    return packed.join(right, same, how).select("row.*")

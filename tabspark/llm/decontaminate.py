@@ -2,34 +2,31 @@
 
 Every benchmark item becomes windows of ``window`` consecutive words (a shorter item is one window).
 A window is the set of its word shingles with their positions.  Exact containment needs all of
-them, so one necessary prefix token is enough: the shingle that is rarest in the corpus.  Windows
-whose rarest shingle never occurs drop out; the others meet documents on that shingle only, pass the
-length and positional bounds, and are verified word by word in the same join, so unverified
-candidates never leave the task that reads the text.
+them, so one necessary prefix token is enough: the shingle that is rarest in the corpus.
 
-Windows are broadcast in blocks of ``block_rows`` at most: a larger benchmark takes more passes, not
-more memory.
+One pass over the texts splits and hashes them, counts their words and keeps the places of benchmark
+shingles (through a bitmap of fixed size, then an exact join).  Rarity and the prefix join work on
+these places only: windows whose rarest shingle never occurs drop out, the others meet documents on
+that shingle and pass the length and positional bounds.  Only documents with a candidate are read
+again, and their words at the candidate places are compared with the window.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ascii_lower_col, col_of, saved, words_col
+from .common import bitmap, col_of, in_bitmap, kept_rows, saved, words_col
 
 WINDOW = 10  # words (fixed by the contract)
 SHINGLE = 4  # words of a prefix token
-BLOCK_ROWS = 100_000  # windows or shingles in one broadcast: some tens of MB
 
 
-def _shingles(words: Column, k: int) -> Column:
-    """Hashes of the k-word shingles at positions 0, 1, ...; empty for fewer words."""
-    n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))
-    return F.when(n >= k, hashes).otherwise(F.array().cast("array<bigint>"))
+def _hashed(hashes: Column, n: Column, k: int, row: Callable[[Column, Column], Column]) -> Column:
+    """``row(position, hash)`` of every k-word shingle of n >= k word hashes."""
+    return F.transform(F.sequence(F.lit(0), n - k), lambda i: row(i, F.xxhash64(*(F.get(hashes, i + j) for j in range(k)))))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -48,15 +45,20 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WIN
     return windows, saved(owners, "window-items")
 
 
-def _blocks(rows: DataFrame, block_rows: int) -> list[DataFrame]:
-    """Parts of ``rows`` (with a column sh) of about block_rows rows; equal sh stay together."""
-    n = -(-rows.count() // block_rows)
-    if n <= 1:
-        return [rows] * n
-    return [rows.filter(F.pmod(F.xxhash64("sh"), F.lit(n)) == i) for i in range(n)]
+def _scan(docs: DataFrame, id_col: str, text_col: str, lengths: list[int], bits: Column) -> DataFrame:
+    """(doc_id, text_hash, n_words, maybe): the places (k, pos, sh) of shingles that may be the benchmark's."""
+    text = col_of(text_col).cast("string")
+    words = docs.select(col_of(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.transform(words_col(text), lambda w: F.xxhash64(w)).alias("wh"))
+    n, hashes = F.size("wh"), F.col("wh")
+    maybe = F.array().cast("array<struct<k:int,pos:int,sh:bigint>>")
+    for k in lengths:
+        places = _hashed(hashes, n, k, lambda i, sh, k=k: F.struct(F.lit(k).alias("k"), i.alias("pos"), sh.alias("sh")))
+        hits = F.filter(places, lambda s: in_bitmap(bits, s.getField("sh")))
+        maybe = F.concat(maybe, F.when(n >= k, hits).otherwise(F.array().cast("array<struct<k:int,pos:int,sh:bigint>>")))
+    return saved(words.select("doc_id", "text_hash", n.cast("long").alias("n_words"), maybe.alias("maybe")), "decontaminate-scan")
 
 
-def occurrences(
+def _occurrences(
     docs: DataFrame,
     items: DataFrame,
     id_col: str = "doc_id",
@@ -65,49 +67,52 @@ def occurrences(
     item_text_col: str = "text",
     window: int = WINDOW,
     shingle: int = SHINGLE,
-    block_rows: int = BLOCK_ROWS,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scan, occurrences, owners), see ``occurrences``; scan has doc_id, text_hash, n_words of every row."""
+    windows, owners = item_windows(items, item_col, item_text_col, window)
+    k_of = F.least(F.col("len"), F.lit(shingle))
+    lengths = sorted(r[0] for r in windows.select(k_of).distinct().collect())  # at most ``shingle`` of them
+    of_k = windows.select("wid", "len", k_of.alias("k"), F.transform("words", lambda w: F.xxhash64(w)).alias("wh"))
+    cut = F.array().cast("array<struct<off:int,sh:bigint>>")
+    for k in lengths:
+        one = _hashed(F.col("wh"), F.col("len"), k, lambda i, sh: F.struct(i.alias("off"), sh.alias("sh")))
+        cut = F.when(F.col("k") == k, one).otherwise(cut)
+    tokens = saved(of_k.select("wid", "len", "k", F.explode(cut).alias("t")).select("wid", "len", "k", "t.off", "t.sh"), "shingles")
+    scan = _scan(docs, id_col, text_col, lengths, bitmap(tokens.select("sh").distinct()))
+    places = scan.select("doc_id", "text_hash", "n_words", F.explode("maybe").alias("m")).select("doc_id", "text_hash", "n_words", "m.*")
+    counts = places.groupBy("k", "sh").agg(F.count(F.lit(1)).alias("n"))
+    # The rarest shingle of each window; a window with an unseen shingle occurs nowhere.
+    ranked = tokens.join(counts, ["k", "sh"], "left").select("wid", "len", "k", "off", "sh", F.coalesce("n", F.lit(0)).alias("n"))
+    prefix = ranked.groupBy("wid", "len", "k").agg(F.min(F.struct("n", "sh", "off")).alias("p")).filter("p.n > 0")
+    prefix = saved(prefix.select("wid", "len", "k", "p.sh", "p.off"), "window-prefixes")
+    start = F.col("pos") - F.col("off")
+    met = places.join(prefix, ["k", "sh"]).filter((start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    met = saved(met.select("doc_id", "text_hash", "wid", "len", start.alias("start")).distinct(), "candidates")
+
+    # The words at the candidate places, from the texts of documents that have any.
+    keys = met.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set(F.struct("start", "len")).alias("at"))
+    keys = saved(keys, "candidate-documents")  # a document has no more places than words and lengths
+    seen = bitmap(keys.select(F.xxhash64("_d", "_h")))
+    text = col_of(text_col).cast("string")
+    again = docs.select(col_of(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    again = again.filter(in_bitmap(seen, F.xxhash64("doc_id", "text_hash")))
+    again = again.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+    again = again.select("doc_id", "text_hash", words_col(F.col("text")).alias("w"), "at")
+    slices = F.transform("at", lambda p: F.struct(p.getField("start").alias("start"), F.slice("w", p.getField("start") + 1, p.getField("len")).alias("words")))
+    shown = again.select("doc_id", "text_hash", F.explode(slices).alias("p")).select("doc_id", "text_hash", "p.start", F.col("p.words").alias("seen"))
+    shown = shown.distinct().withColumnsRenamed({"doc_id": "_d", "text_hash": "_h", "start": "_s"})
+    cases = met.join(windows.select("wid", "words"), "wid")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("start") == F.col("_s")) & (F.col("words") == F.col("seen"))
+    found = cases.join(shown, same).select("doc_id", "text_hash", "start", "len", "wid")
+    return scan, saved(found, "occurrences"), owners
+
+
+def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
     """((doc_id, text_hash, start, len, wid), (wid, item_id)): where benchmark windows occur.
 
     ``start`` counts words from 0.  Repeated documents (same id and text) are one document here.
     """
-    windows, owners = item_windows(items, item_col, item_text_col, window)
-    lengths = [r[0] for r in windows.select(F.least(F.col("len"), F.lit(shingle))).distinct().collect()]  # <= shingle
-    text = col_of(text_col).cast("string")
-    base = docs.select(col_of(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_col(text).alias("w"))
-    found = []
-    for k in sorted(lengths):
-        of_k = windows.filter(F.least(F.col("len"), F.lit(shingle)) == k)
-        tokens = saved(of_k.select("wid", F.posexplode(_shingles(F.col("words"), k)).alias("off", "sh")), "shingles")
-        hashed = base.withColumn("hashes", _shingles(F.col("w"), k))
-        # Outer explodes: else the optimizer repeats the whole array expression in a filter below.
-        counts = []
-        for block in _blocks(tokens.select("sh").distinct(), block_rows):  # block size checked
-            every = hashed.select(F.explode_outer("hashes").alias("sh"))
-            counts.append(every.join(F.broadcast(block), "sh").groupBy("sh").count())
-        if not counts:
-            continue
-        counts = saved(reduce(DataFrame.union, counts), "shingle-counts")
-        # The rarest shingle of each window; a window with an unseen shingle occurs nowhere.
-        ranked = tokens.join(counts, "sh", "left").select("wid", "off", "sh", F.coalesce("count", F.lit(0)).alias("n"))
-        prefix = ranked.groupBy("wid").agg(F.min(F.struct("n", "sh", "off")).alias("p")).filter("p.n > 0")
-        prefix = prefix.select("wid", F.col("p.sh").alias("sh"), F.col("p.off").alias("off"))
-        prefix = saved(prefix.join(windows, "wid"), "window-prefixes")
-        for block in _blocks(prefix, block_rows):  # block size checked
-            places = hashed.select("doc_id", "text_hash", "w", F.posexplode_outer("hashes").alias("pos", "sh"))
-            start = F.col("pos") - F.col("off")
-            met = places.join(
-                F.broadcast(block.withColumnRenamed("sh", "_sh")),
-                (F.col("sh") == F.col("_sh"))
-                & (start >= 0)
-                & (start + F.col("len") <= F.size("w"))
-                & (F.slice("w", start + 1, F.col("len")) == F.col("words")),
-            )
-            found.append(met.select("doc_id", "text_hash", start.alias("start"), "len", "wid"))
-    if not found:
-        none = base.select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("wid"))
-        return none.filter(F.lit(False)), owners
-    return saved(reduce(DataFrame.union, found).distinct(), "occurrences"), owners
+    return _occurrences(docs, items, id_col, text_col, **options)[1:]
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -117,7 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     with a null id still marks words but is not counted or listed.  Repeated rows stay, ids may be
     null, either table may be empty, and only the named columns are read.
     """
-    occ, owners = occurrences(docs, items, id_col, text_col, **options)
+    scan, occ, owners = _occurrences(docs, items, id_col, text_col, **options)
     key = ["doc_id", "text_hash"]
     words = occ.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos"))
     n_hit = words.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
@@ -126,9 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     names = listed.groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias("names"))
     hit = n_hit.join(names.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
     hit = hit.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "n_hit", "names")
-    text = col_of(text_col).cast("string")
-    n_words = F.coalesce(F.regexp_count(ascii_lower_col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    rows = docs.select(col_of(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), n_words.alias("n_words"))
+    rows = scan.select("doc_id", "text_hash", "n_words")
     out = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     names = F.coalesce("names", F.array().cast("array<string>"))
     return out.select(
@@ -144,7 +147,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` (all columns) in which no benchmark window occurs."""
     occ, _ = occurrences(docs, items, id_col, text_col, **options)
-    bad = occ.select(F.col("doc_id").alias("_bad_doc"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = col_of(id_col).eqNullSafe(F.col("_bad_doc")) & (F.xxhash64(col_of(text_col).cast("string")) == F.col("_bad_hash"))
-    # The keys grow with the corpus, so this is always a shuffled join: one plan at every size.
-    return docs.join(bad.hint("merge"), same, "left_anti")
+    bad = occ.select("doc_id", "text_hash").distinct()
+    return kept_rows(docs, [col_of(id_col), F.xxhash64(col_of(text_col).cast("string"))], bad, "left_anti")

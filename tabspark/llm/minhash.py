@@ -10,8 +10,8 @@ has no partner.  Of the others only the rarest lists are merged -- all but the M
 one of which any partner must share -- and the longest lists are skipped and probed in the signatures.
 Pairs of too different sizes or fewer collisions drop out, the rest is confirmed on the full sets.
 
-No group is expanded into pairs.  Each merged list first meets its most central vertex only (as many
-rows as postings); the verified links give components.  Lists that still hold several components are
+No group is expanded into pairs.  Each vertex first meets one vertex only, the most central one of
+most of its merged lists; the verified links give components.  Lists that still hold several components are
 compared in blocks of ``BLOCK`` vertices: a task holds two blocks, compares them by signature, skips
 pairs that are already connected and emits only the links that connect something.
 """
@@ -35,6 +35,7 @@ COORDS, MATCHES = 64, 34
 BLOCK = 256  # vertices of a block
 STAR = 1000  # vertices compared with one copy of a central vertex
 SEED = 42
+BITS = 1 << 22  # of the bitmap of wanted texts
 _CACHE = 500_000  # word hashes kept in a task
 _CHUNK = 4096  # shingles mapped at once, bounds the memory of a long text
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -116,21 +117,41 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, sid binary, sig array<long>")
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The key hashes (id, hash) as BITS bits, whatever their number: at most BITS / 64 rows."""
+    h = F.pmod(F.xxhash64("_id", "_hash"), F.lit(BITS))
+    rows = keys.select(h.alias("h")).selectExpr("shiftright(h, 6) AS at", "shiftleft(1L, cast(h % 64 AS int)) AS bit")
+    words = np.zeros(BITS // 64, np.int64)
+    for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r["at"]] = r["bits"]
+    return words
+
+
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(vid, sig, elements) of the wanted vertices (vid, id, hash, sig), from the texts again."""
-    rows = _rows(df, id_col, text_col)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    """(vid, sig, elements) of the wanted vertices (vid, id, hash, sig), from the texts again.
+
+    A bitmap of fixed size leaves most other texts out before the shuffle; a full one lets all pass.
+    """
     keys = saved(wanted.select("vid", F.col("id").alias("_id"), F.col("hash").alias("_hash")), "minhash-wanted")
-    rows = rows.join(keys, same).select("vid", "text")
+    rows, bits = _rows(df, id_col, text_col), _bitmap(keys)
+    rows = rows.select("doc_id", "text_hash", "text", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(BITS)).alias("h"))
 
     def run(batches):
         shingler = Shingler(shingle)
         for b in batches:
+            h = b.column(3).to_numpy()
+            b = b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
             for part in slices(b.num_rows, 512):
-                sets = [shingler.set_of(t.as_py()).tobytes() for t in b.column(1)[part.start : part.stop]]
-                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], pa.array(sets, pa.binary())], names=["vid", "elements"])
+                sets = [shingler.set_of(t.as_py()).tobytes() for t in b.column(2)[part.start : part.stop]]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[part.start : part.stop], b.column(1)[part.start : part.stop], pa.array(sets, pa.binary())],
+                    names=["doc_id", "text_hash", "elements"],
+                )
 
-    found = rows.mapInArrow(run, "vid long, elements binary").dropDuplicates(["vid"])
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, elements binary")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    found = found.join(keys, same).select("vid", "elements").dropDuplicates(["vid"])
     return saved(found.join(wanted.select("vid", "sig"), "vid"), "minhash-sets")
 
 
@@ -230,9 +251,10 @@ def _cross(postings: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     y = at.select("tok", F.col("block").alias("y"))
     meets = x.join(y, "tok").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     meets = saved(meets, "minhash-meets")
-    full = saved(members.join(sets, "vid").select("block", "vid", "comp", "sig", "elements"), "minhash-members")
-    sides = [full.join(meets.withColumn("block", F.col(s)), "block").select("x", "y", F.lit(i).alias("side"), "vid", "comp", "sig", "elements") for i, s in enumerate("xy")]
-    dealt = sides[0].union(sides[1]).repartition("x", "y").sortWithinPartitions("x", "y", "side")
+    sides = [meets.select("x", "y", F.lit(i).alias("side"), F.col(s).alias("block")) for i, s in enumerate("xy")]
+    seats = members.join(sides[0].union(sides[1]), "block").select("x", "y", "side", "vid", "comp")
+    dealt = seats.join(sets, "vid").select("x", "y", "side", "vid", "comp", "sig", "elements")
+    dealt = dealt.repartition("x", "y").sortWithinPartitions("x", "y", "side")
 
     def run(batches):
         key, blocks = None, ([], [])
@@ -269,7 +291,10 @@ def link_roots(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str, s
     postings = _postings(vertices)
     wanted = vertices.join(postings.select("vid").distinct(), "vid", "left_semi")
     sets = _sets(df, wanted, id_col, text_col, shingle)
-    pairs = postings.filter("vid <> lead").select(F.col("lead").alias("a"), F.col("vid").alias("b")).distinct()
+    # Each vertex meets the centre that it shares the most lists with; the blocks do the rest.
+    met = postings.filter("vid <> lead").groupBy("vid", "lead").agg(F.count(F.lit(1)).alias("c"))
+    best = F.max(F.struct("c", (-F.col("lead")).alias("v")))
+    pairs = met.groupBy(F.col("vid").alias("b")).agg((-best.getField("v")).alias("a")).select("a", "b")
     links = saved(_star(saved(pairs, "minhash-pairs"), sets, percent), "minhash-star")
     first = saved(components(links), "minhash-first")
     more = saved(_cross(postings, first, sets, percent), "minhash-cross")

@@ -51,9 +51,9 @@ def test_equals_brute_force(spark):
     docs, items = case()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"w": F.lit(1), "words": F.lit(2), "text_hash": F.lit("x"), "wid": F.lit(0)})
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("len", F.lit("q"))
-    for rows in (D.BLOCK_ROWS, 17):
-        got = [tuple(r) for r in D.contamination(df, it, block_rows=rows).collect()]
-        assert sorted(got, key=repr) == sorted(brute(docs, items), key=repr)
+    got = [tuple(r) for r in D.contamination(df, it).collect()]
+    assert sorted(got, key=repr) == sorted(brute(docs, items), key=repr)
+    df = df.withColumns({"_bad_doc": F.lit(1), "row": F.lit(2), "left_0": F.lit(3), "right_1": F.lit(4)})
     kept = D.without_contaminated(df, it)
     bad = sum(b[-1] for b in brute(docs, items))
     assert kept.count() == len(docs) - bad and kept.columns == df.columns
@@ -74,3 +74,17 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").cache()
     plan = D.contamination(df, spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_skewed_benchmark_and_long_text(spark):
+    """Windows that share one rarest shingle, and a text of many occurrences."""
+    items = [(i, f"alpha beta gamma delta tail{i}") for i in range(300)]
+    docs = [(1, " ".join(f"alpha beta gamma delta tail{i}" for i in range(300)) * 20), (2, "alpha beta gamma delta none"), (3, "x " * 50_000 + "alpha beta gamma delta tail7")]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(brute(docs, items))
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("d1", "a b c"), ("d2", "b c")], "doc_id string, text string")
+    got = D.contamination(docs, spark.createDataFrame([("i", "a b")], "item_id string, text string")).collect()
+    assert {(r.doc_id, r.n_hit) for r in got} == {("d1", 2), ("d2", 0)}

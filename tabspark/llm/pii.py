@@ -1,15 +1,17 @@
 """Personal data: base patterns plus bootstrapped contextual extraction, DataFrame functions only.
 
 Base spans come from fixed patterns and checks.  They seed the bootstrap: the words around each span
-are lexical patterns, every token and every group of digits beside one of them is an instance, and the
-two form a graph of counted edges.  A few rounds score both sides: a pattern's confidence for a kind is
-the share of its instances that are known to be of that kind, an instance's score is the chance that
-at least one of its confident patterns is right.  Instances that end above the bar are spans of the
-kind too, wherever they stand outside base spans.
-
-The graph is aggregated by (pattern, instance) before any join, so a frequent pattern costs one row
-per distinct instance; rounds are written to the shared folder.  Only patterns of enough seeds can ever count, so tokens
-beside no such pattern are left out before the shuffle, first by a bitmap of fixed size.
+(by their WORD_CHARS nearest characters) are lexical patterns, every token and every group of digits
+beside one of them is an instance, and the two form a graph of counted edges.  A few rounds score both
+sides: a pattern's confidence for a kind is the share of its instances that are known to be of that
+kind, an instance's score is the chance that at least one of its confident patterns is right.
+Instances that end above the bar are spans of the kind too, wherever they stand outside base spans.
+
+A pattern is induced by MIN_SUPPORT distinct seeds.  One scan counts the distinct instances of every
+induced pattern, map-side; patterns of which the seeds are less than OPEN_SHARE (words such as "the",
+which stand beside everything) are never opened, so no row is made for what stands beside them.  The
+graph holds the instances of the opened patterns, aggregated by (pattern, instance) before any join;
+rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_col, col_of, saved
+from .common import ascii_lower_col, bitmap, col_of, in_bitmap, kept_rows, saved
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns in a form without repeated scanning: possessive runs, and starts only
@@ -34,13 +36,14 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 # Instances: every token, and digit groups joined by spaces, brackets and hyphens.
 TOKENS = {
     "token": r"(?<![A-Za-z0-9._%+@/=-])[._%+@/=-]*+[A-Za-z0-9][A-Za-z0-9._%+@/=-]*+",
-    "group": r"(?<![A-Za-z0-9._%+@/=-])[+(]{0,2}+[0-9]++(?:[\x20()-]{1,3}+[0-9]++){1,30}+(?![A-Za-z0-9_%@/=])",
+    "group": r"(?<![A-Za-z0-9._%+@/=-])[+(]{0,2}+[0-9][0-9\x20()-]*+(?:(?<=[\x20()-])|(?!\.?[A-Za-z0-9_%@/=]))",
 }
-BITS = 1 << 20  # of the bitmap of pattern hashes; a fuller one only lets more rows through
+EDGES = {"token": "._%+@/=-", "group": " (-"}  # characters cut off at the end (of a token at either end)
 BLOCK = 64  # tokens whose lengths are summed once
-CONTEXT = 60  # characters on either side that may hold context words
+WORD_CHARS = 40  # nearest characters by which a context word is known
 ROUNDS = 3
 MIN_SUPPORT = 3  # distinct seeds a pattern needs
+OPEN_SHARE = 0.1  # of a pattern's distinct instances that are seeds, for it to be opened
 MIN_CONFIDENCE = 0.6  # of a pattern
 MIN_SCORE = 0.8  # of a discovered instance
 
@@ -70,14 +73,21 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
-def _context(pieces: Column, matches: Column, i: Column, side: int) -> Column:
-    """The text on one side of match ``i``, other matches included: up to CONTEXT characters."""
-    cut = F.right if side < 0 else F.left
-    near = [F.get(pieces, i if side < 0 else i + 1)]
-    for k in (1, 2):
-        near += [F.get(matches, i + side * k), F.get(pieces, i - k if side < 0 else i + 1 + k)]
-    near = [cut(F.coalesce(c, F.lit("")), F.lit(CONTEXT)) for c in near]
-    return cut(F.concat(*(near[::-1] if side < 0 else near)), F.lit(CONTEXT))
+_W = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a character of a context word; = and : are words too
+_LAST, _FIRST = rf"({_W}{{1,{WORD_CHARS}}}|[=:])(?:(?!{_W})[^=:])*+$", rf"^(?:(?!{_W})[^=:])*+({_W}{{1,{WORD_CHARS}}}|[=:])"
+
+
+def _word(text: Column, side: int) -> Column:
+    """The last (-1) or first (1) context word of a text in lower case, null where it has none."""
+    found = F.regexp_extract(ascii_lower_col(text), _LAST if side < 0 else _FIRST, 1)
+    return F.when(text != " ", F.nullif(found, F.lit("")))
+
+
+def _neighbours(pieces: Column, matches: Column, i: Column) -> tuple[Column, Column]:
+    """The words before and after match ``i``: of the piece beside it, else of the match beyond, which has one."""
+    left = F.coalesce(_word(F.get(pieces, i), -1), _word(F.get(matches, i - 1), -1), F.lit("^"))
+    right = F.coalesce(_word(F.get(pieces, i + 1), 1), _word(F.get(matches, i + 1), 1), F.lit("$"))
+    return left, right
 
 
 def _raw_matches(docs: DataFrame) -> DataFrame:
@@ -103,8 +113,8 @@ def _raw_matches(docs: DataFrame) -> DataFrame:
             i.alias("pos"),
             F.length(F.get(piece, i)).alias("gap"),
             m.alias("value"),
-            _context(piece, F.col(f"m_{kind}"), i, -1).alias("before"),
-            _context(piece, F.col(f"m_{kind}"), i, 1).alias("after"),
+            _neighbours(piece, F.col(f"m_{kind}"), i)[0].alias("before"),
+            _neighbours(piece, F.col(f"m_{kind}"), i)[1].alias("after"),
         )
         return F.coalesce(F.transform(f"m_{kind}", one), empty)
 
@@ -118,39 +128,13 @@ def _raw_matches(docs: DataFrame) -> DataFrame:
 
 
 def _patterns(before: Column, after: Column) -> Column:
-    """Lexical patterns of a context: the word on either side, two on the left, and both sides."""
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    low_b, low_a = ascii_lower_col(before), ascii_lower_col(after)
-    left = F.regexp_extract_all(low_b, F.lit(f"{word}+|=|:"), F.lit(0))
-    right = F.regexp_extract_all(low_a, F.lit(f"{word}+|=|:"), F.lit(0))
-    l1 = F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("^"))
-    l2 = F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("^"))
-    r1 = F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("$"))
-    return F.array(
-        F.concat(l1, F.lit(" _")), F.concat(F.lit("_ "), r1), F.concat(l2, F.lit(" "), l1, F.lit(" _")),
-        F.concat(l1, F.lit(" _ "), r1),
-    )
-
+    """Lexical patterns of a place: the word on either side, and both."""
+    return F.array(F.concat(before, F.lit(" _")), F.concat(F.lit("_ "), after), F.concat(before, F.lit(" _ "), after))
 
-def _bitmap(induced: DataFrame) -> Column:
-    """The hashes of the patterns as an array of BITS bits, whatever their number."""
-    h = F.pmod(F.xxhash64("pattern"), F.lit(BITS))
-    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
-    rows = induced.select(h.alias("h")).groupBy(F.expr("h div 64").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
-    words = [0] * (BITS // 64)  # at most so many rows
-    for r in rows:
-        words[r["at"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-
-
-def _tokens(docs: DataFrame, induced: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, value, patterns) of the instances beside induced patterns."""
-    bits, text = _bitmap(induced), F.col("text")
-
-    def known(pattern: Column) -> Column:
-        h = F.pmod(F.xxhash64(pattern), F.lit(BITS))
-        return F.getbit(F.get(bits, F.floor(h / 64).cast("int")), (h % 64).cast("int")) == 1
 
+def _tokens(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, value, patterns) of the instances beside the given patterns."""
+    bits, text = bitmap(patterns.select(F.xxhash64("pattern"))), F.col("text")
     parts = []
     for kind, pattern in TOKENS.items():
         use = F.lit(True) if kind == "token" else text.rlike("[0-9]")
@@ -160,9 +144,13 @@ def _tokens(docs: DataFrame, induced: DataFrame) -> DataFrame:
         total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
         blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("lens") / BLOCK).cast("int")), lambda b: total(F.slice("lens", b * BLOCK + 1, F.lit(BLOCK))))
         cut = cut.withColumn("blocks", blocks)
+        # Each piece and match gives its first and last word once; a token's context are its neighbours'.
+        for name, column, side in (("pl", "p", -1), ("pf", "p", 1), ("ml", "m", -1), ("mf", "m", 1)):
+            cut = cut.withColumn(name, _words(column, side))
+        left = lambda i: F.coalesce(F.get("pl", i), F.get("ml", i - 1), F.lit("^"))
+        right = lambda i: F.coalesce(F.get("pf", i + 1), F.get("mf", i + 1), F.lit("$"))
         one = lambda m, i: F.struct(
-            i.alias("pos"), m.alias("raw"),
-            F.filter(_patterns(_context(F.col("p"), F.col("m"), i, -1), _context(F.col("p"), F.col("m"), i, 1)), known).alias("patterns"),
+            i.alias("pos"), m.alias("raw"), F.filter(_patterns(left(i), right(i)), lambda t: in_bitmap(bits, F.xxhash64(t))).alias("patterns")
         )
         beside = F.filter(F.transform("m", one), lambda t: F.size(t.getField("patterns")) > 0)
 
@@ -173,11 +161,46 @@ def _tokens(docs: DataFrame, induced: DataFrame) -> DataFrame:
             return F.struct((end - F.length(t.getField("raw"))).alias("start"), t.getField("raw").alias("raw"), t.getField("patterns").alias("patterns"))
 
         rows = cut.select("doc_id", "text_hash", F.explode(F.transform(beside, place)).alias("t"))
-        parts.append(rows.select("doc_id", "text_hash", "t.*"))
-    value = F.regexp_replace("raw", "^[._%+@/=-]++|[._%+@/=-]++$", "")
-    skip = F.length(F.regexp_extract("raw", "^[._%+@/=-]*+", 0))
-    rows = parts[0].withColumn("start", F.col("start") + skip).withColumn("raw", value).union(parts[1])
-    return rows.select("doc_id", "text_hash", "start", (F.col("start") + F.length("raw")).alias("end"), F.col("raw").alias("value"), "patterns")
+        rows = rows.select("doc_id", "text_hash", "t.*")
+        if kind == "token":  # without the punctuation around it
+            skip = F.length("raw") - F.length(F.ltrim("raw", F.lit(EDGES[kind])))
+            rows = rows.withColumn("start", F.col("start") + skip).withColumn("raw", F.ltrim("raw", F.lit(EDGES[kind])))
+        parts.append(rows.withColumn("raw", F.rtrim("raw", F.lit(EDGES[kind]))))
+    rows = parts[0].union(parts[1])
+    rows = rows.select("doc_id", "text_hash", "start", (F.col("start") + F.length("raw")).alias("end"), F.col("raw").alias("value"), "patterns")
+    # A plain number is a token and a group.
+    return rows.dropDuplicates(["doc_id", "text_hash", "start", "end"])
+
+
+def _words(column: str, side: int) -> Column:
+    return F.transform(column, lambda t: _word(t, side))
+
+
+def _instances(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, instances): distinct instances of each given pattern, estimated; one row a pattern."""
+    bits, text = bitmap(patterns.select(F.xxhash64("pattern"))), F.col("text")
+    cut = docs.select(F.split(text, TOKENS["token"], -1).alias("p"), F.regexp_extract_all(text, F.lit(TOKENS["token"]), F.lit(0)).alias("m"))
+    cut = cut.select("m", _words("p", -1).alias("pl"), _words("p", 1).alias("pf"), _words("m", -1).alias("ml"), _words("m", 1).alias("mf"))
+    left = lambda i: F.coalesce(F.get("pl", i), F.get("ml", i - 1), F.lit("^"))
+    right = lambda i: F.coalesce(F.get("pf", i + 1), F.get("mf", i + 1), F.lit("$"))
+    one = lambda m, i: F.struct(F.xxhash64(m).alias("inst"), F.transform(_patterns(left(i), right(i)), lambda t: F.xxhash64(t)).alias("hs"))
+    met = F.filter(F.transform("m", one), lambda t: F.exists(t.getField("hs"), lambda h: in_bitmap(bits, h)))
+    rows = cut.select(F.explode(met).alias("t")).select("t.inst", F.explode("t.hs").alias("h")).filter(in_bitmap(bits, F.col("h")))
+    counts = rows.groupBy("h").agg(F.approx_count_distinct("inst").alias("instances"))
+    return patterns.join(counts, F.xxhash64("pattern") == F.col("h")).select("pattern", "instances")
+
+
+def _outside(tokens: DataFrame, base: DataFrame) -> DataFrame:
+    """The tokens that overlap no base span: a running end before and the next start behind each."""
+    rows = tokens.select("doc_id", "text_hash", "start", "end", "value", "patterns", F.lit(False).alias("b"))
+    spans = base.select("doc_id", "text_hash", "start", "end", F.lit(None).cast("string").alias("value"), F.lit(None).cast("array<string>").alias("patterns"), F.lit(True).alias("b"))
+    spans = kept_rows(spans, [F.col("doc_id"), F.col("text_hash")], tokens.select("doc_id", "text_hash").distinct(), "left_semi")
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("start")
+    before = F.max(F.when(F.col("b"), F.col("end"))).over(order)
+    behind = F.min(F.when(F.col("b"), F.col("start"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    all_rows = rows.union(spans).withColumn("before", before).withColumn("behind", behind)
+    free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.col("behind").isNull() | (F.col("behind") >= F.col("end")))
+    return all_rows.filter(~F.col("b") & free).drop("b", "before", "behind")
 
 
 def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -214,20 +237,30 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seeds = saved(base.select(F.col("value").alias("inst"), "kind").distinct(), "pii-seeds")
     beside = base.select(F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern"), F.col("value").alias("inst"), "kind").distinct()
     beside = saved(beside, "pii-beside")
-    induced = beside.groupBy("pattern", "kind").count().filter(F.col("count") >= MIN_SUPPORT).select("pattern").distinct()
-    induced = saved(induced, "pii-induced")
-    taken = base.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("start", "end")).alias("taken"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    tokens = _tokens(docs, induced).join(taken, same, "left")
-    overlaps = F.exists("taken", lambda s: (s.getField("start") < F.col("end")) & (s.getField("end") > F.col("start")))
-    tokens = saved(tokens.filter(~F.coalesce(overlaps, F.lit(False))).drop("taken", "_doc", "_hash"), "pii-tokens")
-
+    induced = beside.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= MIN_SUPPORT)
+    induced = saved(induced.groupBy("pattern").agg(F.max("support").alias("support")), "pii-induced")
+    if induced.isEmpty():
+        return _arrays(base)
+    seen = _instances(docs, induced.select("pattern")).withColumnRenamed("pattern", "_pattern")
+    opened = induced.join(seen, F.col("pattern") == F.col("_pattern"), "left")
+    # What stands beside a pattern only as part of a base span is no token; such a pattern is open.
+    opened = opened.filter(F.col("support") >= OPEN_SHARE * F.coalesce("instances", F.lit(0)))
+    opened = saved(opened.select("pattern"), "pii-opened")
+    if opened.isEmpty():
+        return _arrays(base)
+    tokens = saved(_outside(saved(_tokens(docs, opened), "pii-beside-tokens"), base), "pii-tokens")
     edges = beside.select("pattern", "inst").union(tokens.select(F.explode("patterns").alias("pattern"), F.col("value").alias("inst")))
-    edges = saved(edges.distinct().join(induced, "pattern", "left_semi"), "pii-edges")
+    edges = saved(edges.distinct().join(opened, "pattern", "left_semi"), "pii-edges")
     _, found = score_graph(edges, seeds)
     best = found.filter(F.col("score") >= MIN_SCORE).groupBy("inst").agg(F.max(F.struct("score", "kind")).getField("kind").alias("found"))
     extra = tokens.join(best, F.col("value") == F.col("inst")).select("doc_id", "text_hash", "start", "end", F.col("found").alias("kind"), "value", F.lit(False).alias("base"))
-    spans = base.select("doc_id", "text_hash", "start", "end", "kind", "value", F.lit(True).alias("base")).union(extra)
+    return _arrays(base, extra)
+
+
+def _arrays(base: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    spans = base.select("doc_id", "text_hash", "start", "end", "kind", "value", F.lit(True).alias("base"))
+    if extra is not None:
+        spans = spans.union(extra)
     order = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
     one = F.struct("start", order.alias("rank"), "end", "kind", "value", "base")
     # Repeated rows (same id and text) have the same spans.
@@ -271,7 +304,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Overlapping spans are replaced together, by the first one's kind.  Null texts stay null.
     """
-    text = col_of(text_col)
+    text = F.col("_row").getField(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def put(acc, s):
@@ -283,8 +316,11 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     done = F.aggregate("_spans", start, put)
     clean = F.concat(done.getField("out"), F.substr(text, done.getField("at") + 1, F.length(text)))
-    # The spans grow with the corpus, so this is always a shuffled join: one plan at every size.
+    # The spans grow with the corpus, so this is always a shuffled join: one plan at every size.  The
+    # caller's columns travel in one struct, so they may have any names.
     found = _keyed_spans(df, id_col, text_col).hint("merge")
-    same = col_of(id_col).eqNullSafe(F.col("_pii_doc")) & (_text_hash(text_col) == F.col("_pii_hash"))
-    rows = df.join(found, same, "left").withColumn("_clean", F.when(F.col("_spans").isNull(), text).otherwise(clean))
-    return rows.select(*(F.col("_clean").alias(c) if c == text_col else col_of(c) for c in df.columns))
+    packed = df.select(F.struct("*").alias("_row"), col_of(id_col).alias("_id"), _text_hash(text_col).alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_hash") == F.col("_pii_hash"))
+    rows = packed.join(found, same, "left")
+    new = F.when(F.col("_spans").isNull(), text).otherwise(clean)
+    return rows.select(*(new.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in df.columns))

@@ -12,8 +12,9 @@ Pairs of too different sizes or fewer collisions drop out, the rest is confirmed
 
 No group is expanded into pairs.  Each vertex first meets one vertex only, the most central one of
 most of its merged lists; the verified links give components.  Lists that still hold several components are
-compared in blocks of ``BLOCK`` vertices: a task holds two blocks, compares them by signature, skips
-pairs that are already connected and emits only the links that connect something.
+compared in blocks of ``BLOCK`` vertices: a task holds two blocks and compares them by signature; the
+full sets of vertices with a likely partner follow, pairs that are already connected are skipped, and
+only the links that connect something are emitted.
 """
 
 from __future__ import annotations
@@ -230,6 +231,45 @@ def _block_links(left: list, right: list, percent: int) -> list[tuple[int, int]]
     return out
 
 
+def _likely(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vertices (vid, comp, size, signature) of two blocks have a partner in the other one that
+    is of another component, of a fitting size and agrees in enough coordinates."""
+    parts = [[np.array([r[i] for r in rows]) for i in (1, 2)] + [np.stack([r[3] for r in rows])] for rows in (left, right)]
+    (ca, na, sa), (cb, nb, sb) = parts
+    maybe = (ca[:, None] != cb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
+    for i in np.flatnonzero(maybe.any(axis=1)):
+        some = np.flatnonzero(maybe[i])
+        maybe[i, some] = (sb[some] == sa[i]).sum(axis=1) >= MATCHES
+    return maybe.any(axis=1), maybe.any(axis=0)
+
+
+def _likely_seats(percent: int):
+    """Keeps the rows (x, y, side, vid, comp) of the vertices that have a likely partner in their block pair."""
+
+    def chosen(key, blocks) -> Iterator[pa.RecordBatch]:
+        if all(blocks):
+            rows = []
+            for side, keep in enumerate(_likely(*blocks, percent)):
+                rows += [(*key, side, *blocks[side][i][:2]) for i in np.flatnonzero(keep)]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["x", "y", "side", "vid", "comp"])
+
+    def run(batches):
+        key, blocks = None, ([], [])
+        for b in batches:
+            ids = [b.column(i).to_pylist() for i in range(6)]
+            sigs = _matrix(b.column(6))
+            for i, (x, y, side, vid, comp, size) in enumerate(zip(*ids)):
+                if (x, y) != key:
+                    yield from chosen(key, blocks)
+                    key, blocks = (x, y), ([], [])
+                blocks[side].append((vid, comp, size, sigs[i].copy()))
+        yield from chosen(key, blocks)
+
+    return run
+
+
 def _cross(postings: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that share a list of ``postings`` (tok, vid, lead)."""
     own = postings.join(comps.withColumnRenamed("v", "vid"), "vid", "left").select("tok", "vid", "lead", F.coalesce("root", "vid").alias("comp"))
@@ -253,6 +293,12 @@ def _cross(postings: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     meets = saved(meets, "minhash-meets")
     sides = [meets.select("x", "y", F.lit(i).alias("side"), F.col(s).alias("block")) for i, s in enumerate("xy")]
     seats = members.join(sides[0].union(sides[1]), "block").select("x", "y", "side", "vid", "comp")
+    # By signature first, so that full sets go only where a vertex has a likely partner.
+    short = F.transform("sig", lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    brief = sets.select("vid", short.alias("short"), (F.octet_length("elements") / 8).cast("long").alias("size"))
+    seats = seats.join(brief, "vid").select("x", "y", "side", "vid", "comp", "size", "short")
+    seats = seats.repartition("x", "y").sortWithinPartitions("x", "y", "side")
+    seats = saved(seats.mapInArrow(_likely_seats(percent), "x long, y long, side int, vid long, comp long"), "minhash-seats")
     dealt = seats.join(sets, "vid").select("x", "y", "side", "vid", "comp", "sig", "elements")
     dealt = dealt.repartition("x", "y").sortWithinPartitions("x", "y", "side")
 

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_col, bitmap, col_of, in_bitmap, kept_rows, saved
+from .common import bitmap, col_of, in_bitmap, kept_rows, saved
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns in a form without repeated scanning: possessive runs, and starts only
@@ -32,6 +32,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# A text without these has no match that passes the checks.
+NEEDED = {
+    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]",
+    "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13}",
+    "phone": r"\+[0-9](?:[\x20().-]*+[0-9]){9}",
+}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 # Instances: every token, and digit groups joined by spaces, brackets and hyphens.
 TOKENS = {
@@ -39,6 +46,14 @@ TOKENS = {
     "group": r"(?<![A-Za-z0-9._%+@/=-])[+(]{0,2}+[0-9][0-9\x20()-]*+(?:(?<=[\x20()-])|(?!\.?[A-Za-z0-9_%@/=]))",
 }
 EDGES = {"token": "._%+@/=-", "group": " (-"}  # characters cut off at the end (of a token at either end)
+# What a text is cut into to find the context of its tokens: tokens, and the words between them.
+# The tokens are those of TOKENS, in a form that looks behind only at signs.
+ELEMENT = "|".join((
+    r"[A-Za-z0-9][A-Za-z0-9._%+@/=-]*+",
+    r"[._%+@/=-](?<![._%+@/=-]{2})[._%+@/=-]*+[A-Za-z0-9][A-Za-z0-9._%+@/=-]*+",
+    r"[^\x00-\x7F]++",
+    "[=:]",
+))
 BLOCK = 64  # tokens whose lengths are summed once
 WORD_CHARS = 40  # nearest characters by which a context word is known
 ROUNDS = 3
@@ -74,15 +89,31 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 _W = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a character of a context word; = and : are words too
-_LAST, _FIRST = rf"({_W}{{1,{WORD_CHARS}}}|[=:])(?:(?!{_W})[^=:])*+$", rf"^(?:(?!{_W})[^=:])*+({_W}{{1,{WORD_CHARS}}}|[=:])"
+_FIRST = rf"^(?:(?!{_W})[^=:])*+({_W}{{1,{WORD_CHARS}}}|[=:])"
 
 
 def _word(text: Column, side: int) -> Column:
-    """The last (-1) or first (1) context word of a text in lower case, null where it has none."""
-    found = F.regexp_extract(ascii_lower_col(text), _LAST if side < 0 else _FIRST, 1)
+    """The last (-1) or first (1) context word of a text in lower case, null where it has none.
+
+    The last one is the first of the reversed text: one anchored scan, whatever the length.
+    """
+    turned = F.reverse if side < 0 else lambda c: c
+    found = F.lower(turned(F.regexp_extract(turned(text), _FIRST, 1)))
     return F.when(text != " ", F.nullif(found, F.lit("")))
 
 
+_JOINED = "[._%+@/=:-]"  # in an element of several words
+
+
+def _plain_word(element: Column, side: int) -> Column:
+    """``_word`` of an element that is one word."""
+    return F.lower(F.right(element, F.lit(WORD_CHARS)) if side < 0 else F.left(element, F.lit(WORD_CHARS)))
+
+
+def _element_word(element: Column, side: int) -> Column:
+    return F.when(element.rlike(_JOINED), _word(element, side)).otherwise(_plain_word(element, side))
+
+
 def _neighbours(pieces: Column, matches: Column, i: Column) -> tuple[Column, Column]:
     """The words before and after match ``i``: of the piece beside it, else of the match beyond, which has one."""
     left = F.coalesce(_word(F.get(pieces, i), -1), _word(F.get(matches, i - 1), -1), F.lit("^"))
@@ -91,19 +122,18 @@ def _neighbours(pieces: Column, matches: Column, i: Column) -> tuple[Column, Col
 
 
 def _raw_matches(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text_hash, kind, start, end, value, before, after) of every pattern's matches.
+    """(uid, doc_id, text_hash, kind, start, end, value, before, after) of every pattern's matches
+    in the texts that may hold valid ones.
 
     The pieces between matches give their places: start = lengths of all pieces and matches before.
     """
     text = F.col("text")
-    may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    has_digit = text.rlike("[0-9]")
     kinds = PATTERNS
-    cut = docs.select("*", has_digit.alias("digit"))
+    cut = docs
     for kind, pattern in kinds.items():
-        use = F.col("digit") & may[kind] if kind == "phone" else may.get(kind, F.col("digit"))
+        use = text.rlike(NEEDED[kind])
         cut = cut.withColumn(f"p_{kind}", F.when(use, F.split(text, pattern, -1)))
-        cut = cut.withColumn(f"m_{kind}", F.when(use, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+        cut = cut.withColumn(f"m_{kind}", F.when(F.col(f"p_{kind}").isNotNull(), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     empty = F.array().cast("array<struct<kind:string,pos:int,gap:int,value:string,before:string,after:string>>")
 
     def structs(kind: str) -> Column:
@@ -132,44 +162,83 @@ def _patterns(before: Column, after: Column) -> Column:
     return F.array(F.concat(before, F.lit(" _")), F.concat(F.lit("_ "), after), F.concat(before, F.lit(" _ "), after))
 
 
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda x, y: x + y)
+
+
+def _lengths(cut: DataFrame) -> DataFrame:
+    """Lengths of each piece with its match, and their sums by blocks: ends without a scan per match."""
+    cut = cut.withColumn("lens", F.transform("m", lambda m, i: F.length(F.get("p", i)) + F.length(m)))
+    starts = F.sequence(F.lit(0), F.floor(F.size("lens") / BLOCK).cast("int"))
+    return cut.withColumn("blocks", F.transform(starts, lambda b: _total(F.slice("lens", b * BLOCK + 1, F.lit(BLOCK)))))
+
+
+def _end(pos: Column) -> Column:
+    """Where match ``pos`` ends."""
+    b = F.floor(pos / BLOCK).cast("int")
+    return _total(F.slice("blocks", F.lit(1), b)) + _total(F.slice("lens", b * BLOCK + 1, pos % BLOCK + 1))
+
+
+def _word_bits(patterns: DataFrame) -> Column:
+    """Bitmap of the context words of the patterns."""
+    return bitmap(patterns.select(F.explode(F.split("pattern", " ")).alias("word")).select(F.xxhash64("word")))
+
+
+def _beside(cut: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(the columns of ``cut`` without m, pos, raw, pattern): tokens of the element array ``m`` beside the patterns
+    (and rare others, of the same hash).
+
+    Rows, not array functions: elements meet their neighbours, those beside a word of no pattern go
+    at once, and only rows of the patterns leave the compiled loop.
+    """
+    bits, words = bitmap(patterns.select(F.xxhash64("pattern"))), _word_bits(patterns)
+    others = [c for c in cut.columns if c != "m"]
+    cut = cut.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), "m")).withColumn("behind", F.slice("m", F.lit(2), F.size("m")))
+    rows = cut.select(*others, F.posexplode(F.arrays_zip("m", "before", "behind")).alias("pos", "z"))
+    before, behind = F.col("z.before"), F.col("z.behind")
+    may = before.isNull() | behind.isNull()
+    may = may | in_bitmap(words, F.xxhash64(_plain_word(before, -1))) | in_bitmap(words, F.xxhash64(_plain_word(behind, 1)))
+    may = may | F.concat(before, behind).rlike(_JOINED)
+    rows = rows.filter(F.col("z.m").isNotNull() & may & F.col("z.m").rlike("[A-Za-z0-9]"))
+    left, right = F.coalesce(_element_word(before, -1), F.lit("^")), F.coalesce(_element_word(behind, 1), F.lit("$"))
+    rows = rows.select(*others, "pos", F.col("z.m").alias("raw"), left.alias("left"), right.alias("right"))
+    rows = rows.select(*others, "pos", "raw", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
+    return rows.filter(in_bitmap(bits, F.xxhash64("pattern")))
+
+
+def _elements() -> Column:
+    return F.regexp_extract_all("text", F.lit(ELEMENT), F.lit(0))
+
+
 def _tokens(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, end, value, patterns) of the instances beside the given patterns."""
     bits, text = bitmap(patterns.select(F.xxhash64("pattern"))), F.col("text")
-    parts = []
-    for kind, pattern in TOKENS.items():
-        use = F.lit(True) if kind == "token" else text.rlike("[0-9]")
-        cut = docs.filter(use).withColumn("p", F.split(text, pattern, -1)).withColumn("m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        # Lengths of each piece with its match, and their sums by blocks: starts without a scan per token.
-        cut = cut.withColumn("lens", F.transform("m", lambda m, i: F.length(F.get("p", i)) + F.length(m)))
-        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("lens") / BLOCK).cast("int")), lambda b: total(F.slice("lens", b * BLOCK + 1, F.lit(BLOCK))))
-        cut = cut.withColumn("blocks", blocks)
-        # Each piece and match gives its first and last word once; a token's context are its neighbours'.
-        for name, column, side in (("pl", "p", -1), ("pf", "p", 1), ("ml", "m", -1), ("mf", "m", 1)):
-            cut = cut.withColumn(name, _words(column, side))
-        left = lambda i: F.coalesce(F.get("pl", i), F.get("ml", i - 1), F.lit("^"))
-        right = lambda i: F.coalesce(F.get("pf", i + 1), F.get("mf", i + 1), F.lit("$"))
-        one = lambda m, i: F.struct(
-            i.alias("pos"), m.alias("raw"), F.filter(_patterns(left(i), right(i)), lambda t: in_bitmap(bits, F.xxhash64(t))).alias("patterns")
-        )
-        beside = F.filter(F.transform("m", one), lambda t: F.size(t.getField("patterns")) > 0)
-
-        def place(t: Column) -> Column:
-            i = t.getField("pos")
-            b = F.floor(i / BLOCK).cast("int")
-            end = total(F.slice("blocks", F.lit(1), b)) + total(F.slice("lens", b * BLOCK + 1, i % BLOCK + 1))
-            return F.struct((end - F.length(t.getField("raw"))).alias("start"), t.getField("raw").alias("raw"), t.getField("patterns").alias("patterns"))
-
-        rows = cut.select("doc_id", "text_hash", F.explode(F.transform(beside, place)).alias("t"))
-        rows = rows.select("doc_id", "text_hash", "t.*")
-        if kind == "token":  # without the punctuation around it
-            skip = F.length("raw") - F.length(F.ltrim("raw", F.lit(EDGES[kind])))
-            rows = rows.withColumn("start", F.col("start") + skip).withColumn("raw", F.ltrim("raw", F.lit(EDGES[kind])))
-        parts.append(rows.withColumn("raw", F.rtrim("raw", F.lit(EDGES[kind]))))
-    rows = parts[0].union(parts[1])
-    rows = rows.select("doc_id", "text_hash", "start", (F.col("start") + F.length("raw")).alias("end"), F.col("raw").alias("value"), "patterns")
+    keys = ["doc_id", "text_hash"]
+    # Places are counted only in texts that have such a token.
+    texts = bitmap(_beside(docs.select("text_hash", _elements().alias("m")), patterns).select("text_hash"))
+    cut = docs.filter(in_bitmap(texts, F.col("text_hash")))
+    cut = cut.select(*keys, F.split(text, ELEMENT, -1).alias("p"), _elements().alias("m"))
+    tokens = _beside(_lengths(cut).drop("p"), patterns)
+    tokens = tokens.select(*keys, (_end(F.col("pos")) - F.length("raw")).alias("start"), "raw", "pattern")
+    skip = F.length("raw") - F.length(F.ltrim("raw", F.lit(EDGES["token"])))  # without the punctuation around it
+    tokens = tokens.withColumn("start", F.col("start") + skip).withColumn("raw", F.ltrim("raw", F.lit(EDGES["token"])))
+
+    cut = docs.filter(text.rlike("[0-9]"))
+    cut = cut.select(*keys, F.split(text, TOKENS["group"], -1).alias("p"), F.regexp_extract_all(text, F.lit(TOKENS["group"]), F.lit(0)).alias("m"))
+    # Each piece and match gives its first and last word once; a group's context are its neighbours'.
+    for name, column, side in (("pl", "p", -1), ("pf", "p", 1), ("ml", "m", -1), ("mf", "m", 1)):
+        cut = cut.withColumn(name, _words(column, side))
+    left = lambda i: F.coalesce(F.get("pl", i), F.get("ml", i - 1), F.lit("^"))
+    right = lambda i: F.coalesce(F.get("pf", i + 1), F.get("mf", i + 1), F.lit("$"))
+    one = lambda m, i: F.struct(i.alias("pos"), m.alias("raw"), _patterns(left(i), right(i)).alias("patterns"))
+    rows = _lengths(cut).select(*keys, "lens", "blocks", F.explode(F.transform("m", one)).alias("t"))
+    rows = rows.select(*keys, "lens", "blocks", "t.pos", "t.raw", F.explode("t.patterns").alias("pattern")).filter(in_bitmap(bits, F.xxhash64("pattern")))
+    groups = rows.select(*keys, (_end(F.col("pos")) - F.length("raw")).alias("start"), "raw", "pattern")
+
+    rows = tokens.withColumn("raw", F.rtrim("raw", F.lit(EDGES["token"]))).union(groups.withColumn("raw", F.rtrim("raw", F.lit(EDGES["group"]))))
+    rows = rows.select(*keys, "start", (F.col("start") + F.length("raw")).alias("end"), F.col("raw").alias("value"), "pattern")
     # A plain number is a token and a group.
-    return rows.dropDuplicates(["doc_id", "text_hash", "start", "end"])
+    return rows.groupBy(*keys, "start", "end", "value").agg(F.collect_set("pattern").alias("patterns"))
 
 
 def _words(column: str, side: int) -> Column:
@@ -178,15 +247,8 @@ def _words(column: str, side: int) -> Column:
 
 def _instances(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, instances): distinct instances of each given pattern, estimated; one row a pattern."""
-    bits, text = bitmap(patterns.select(F.xxhash64("pattern"))), F.col("text")
-    cut = docs.select(F.split(text, TOKENS["token"], -1).alias("p"), F.regexp_extract_all(text, F.lit(TOKENS["token"]), F.lit(0)).alias("m"))
-    cut = cut.select("m", _words("p", -1).alias("pl"), _words("p", 1).alias("pf"), _words("m", -1).alias("ml"), _words("m", 1).alias("mf"))
-    left = lambda i: F.coalesce(F.get("pl", i), F.get("ml", i - 1), F.lit("^"))
-    right = lambda i: F.coalesce(F.get("pf", i + 1), F.get("mf", i + 1), F.lit("$"))
-    one = lambda m, i: F.struct(F.xxhash64(m).alias("inst"), F.transform(_patterns(left(i), right(i)), lambda t: F.xxhash64(t)).alias("hs"))
-    met = F.filter(F.transform("m", one), lambda t: F.exists(t.getField("hs"), lambda h: in_bitmap(bits, h)))
-    rows = cut.select(F.explode(met).alias("t")).select("t.inst", F.explode("t.hs").alias("h")).filter(in_bitmap(bits, F.col("h")))
-    counts = rows.groupBy("h").agg(F.approx_count_distinct("inst").alias("instances"))
+    rows = _beside(docs.select(_elements().alias("m")), patterns)
+    counts = rows.groupBy(F.xxhash64("pattern").alias("h")).agg(F.approx_count_distinct(F.xxhash64("raw")).alias("instances"))
     return patterns.join(counts, F.xxhash64("pattern") == F.col("h")).select("pattern", "instances")
 
 

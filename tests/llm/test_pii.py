@@ -95,3 +95,19 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert P.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_elements_are_the_tokens_and_the_words_between(spark):
+    rng = random.Random(8)
+    alphabet = ["a", "Z", "7", ".", "_", "%", "+", "@", "/", "=", "-", ":", " ", ",", "(", "\n", "\u00e9", "\U0001f600"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(500)] + ["-" * 30000, "=" * 5000 + "a", ""]
+    other = r"|[^\x00-\x7F]+|[=:]"
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", F.regexp_extract_all("text", F.lit(P.ELEMENT), F.lit(0)).alias("new"), F.regexp_extract_all("text", F.lit(P.TOKENS["token"] + other), F.lit(0)).alias("old"))
+    assert all(r.new == r.old for r in got.collect())
+
+
+def test_last_word_is_the_first_of_the_reversed_text(spark):
+    rows = [("one two, ", "two"), ("x = ", "="), (" ", None), ("a" * 50 + "B", "a" * 39 + "b"), ("?!", None), ("", None), ("w" + " " * 20000, "w"), ("\u00e9T\u00e9-", "\u00e9t\u00e9")]
+    df = spark.createDataFrame(rows, "text string, want string")
+    assert [r.got for r in df.select(P._word(F.col("text"), -1).alias("got")).collect()] == [w for _, w in rows]

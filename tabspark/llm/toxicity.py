@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, col_of, words_col
 
-MAX_LABELS = 20_000  # labelled rows a model is fitted on, chosen by a hash of their ids
-MAX_TERMS = 1000  # most significant terms that a lexicon keeps (model size)
-MAX_VARIANTS = 20_000  # most frequent seen variants that a model keeps (model size)
+MAX_LABELS = 20_000  # labelled rows a model is fitted on, chosen by a hash of their ids; bounds the lexicon too
 MIN_PRECISION = 0.6  # share of toxic documents that a term needs
 MIN_EVIDENCE = 0.5  # precision from which a matched word counts
 PRIOR = 0.7  # precision of a variant that was never seen
@@ -236,7 +234,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     gain = t * F.log(t / (n * p)) + F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - p)))).otherwise(0)
     significant = vocabulary.filter((t > 0) & (t / n >= MIN_PRECISION)).withColumn("g", gain)
     significant = significant.filter(F.col("g") > math.log(max(n_words, 2) / ERROR_RATE))
-    best = significant.orderBy(F.desc("g"), "word").limit(MAX_TERMS).collect()
+    best = significant.orderBy(F.desc("g"), "word").collect()  # words of the bounded sample
     model = Model(terms=[r["word"] for r in best])
 
     # Seen words that match the lexicon, with their labels.
@@ -256,7 +254,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
         pool = pool.agg(F.sum((2 * t > n).cast("int")).alias("t"), F.count(F.lit(1)).alias("n"))
         for r in pool.collect():  # two rows a term at most
             model.rare[r["term"], r["errors"]] = _rate(r["t"], r["n"], PRIOR, 3)
-        often = seen.filter((F.col("errors") == 0) | (n >= OFTEN)).orderBy(F.desc("n"), "word").limit(MAX_VARIANTS)
+        often = seen.filter((F.col("errors") == 0) | (n >= OFTEN)).orderBy(F.desc("n"), "word")
         for r in often.collect():
             prior = model.rare.get((r["term"], r["errors"]), PRIOR) if r["errors"] else p
             model.precision[r["word"]] = _rate(r["t"], r["n"], prior, 1)

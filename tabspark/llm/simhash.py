@@ -220,7 +220,8 @@ def deduplicate(
     """The rows of ``df`` (all columns) that stay: one of each component, that with the smallest id.
 
     Rows with a null id stay only where no row of the component has an id.  Of rows with the same id
-    and text one stays.
+    and text that stays whose columns come first as JSON text.  Columns may have any names; ids are
+    integers.
     """
     text_hash = F.xxhash64(col_of(text_col).cast("string"))
     rows = df.select(col_of(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), col_of(text_col).cast("binary").alias("_text"))
@@ -240,10 +241,12 @@ def deduplicate(
     repeated = repeated.withColumn("_repeated", F.lit(True))
     keep = keep.join(repeated, F.col("_keep_id").eqNullSafe(F.col("_rep_id")) & (F.col("_keep_hash") == F.col("_rep_hash")), "left")
     keep = saved(keep.select("_keep_id", "_keep_hash", F.coalesce("_repeated", F.lit(False)).alias("_repeated")), "simhash-keep")
-    same = col_of(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (text_hash == F.col("_keep_hash"))
-    single = df.join(keep.filter(~F.col("_repeated")), same, "left_semi")
-    several = df.join(keep.filter("_repeated"), same, "inner").dropDuplicates(["_keep_id", "_keep_hash"])
-    return single.union(several.select(*(col_of(c) for c in df.columns)))
+    # The caller's columns travel in one struct, so they may have any names.
+    packed = df.select(F.struct("*").alias("row"), col_of(id_col).cast("long").alias("id"), text_hash.alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("_keep_id")) & (F.col("hash") == F.col("_keep_hash"))
+    single = packed.join(keep.filter(~F.col("_repeated")), same, "left_semi").select("row.*")
+    several = packed.join(keep.filter("_repeated"), same, "left_semi").groupBy("id", "hash")
+    return single.union(several.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
 
 
 def hex_fingerprint(fp) -> F.Column:

@@ -6,8 +6,12 @@ replaces the old one, a delete takes out what is there.  What changed becomes si
 batch's ledger part, and its partial totals.
 
 A batch is written to a folder of its own attempt and takes effect through one commit file that
-names the attempt and can be created only once, so a repeated batch changes nothing and a failed
-attempt leaves only unread files.  Batches are committed one after the other (one writer).
+names the attempt.  The file is filled under a temporary name and then renamed, never over another,
+so it is whole or absent: a repeated batch changes nothing and a failed attempt leaves only unread
+files.  Batches are committed one after the other (one writer).
+
+The ledger lies in folders by hash of the document, and a batch reads only those of its own documents.
+``compact`` folds the batches so far into one snapshot; what it covers is no longer read.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col_of, words_of
+from .common import bitmap, col_of, in_bitmap, words_of
 from .tokenize import default_path, tokens
 
 KEY = ("doc_id", "source", "lang", "tokenizer")
 GROUP = ("source", "lang", "tokenizer")
-LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, bucket int"
+BUCKETS = 64  # folders of a ledger part
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -31,7 +36,7 @@ def counted(df: DataFrame, tokenizers: dict[str, str], id_col: str = "doc_id", t
     """(doc_id, source, lang, tokenizer, n_tokens) of every row and tokenizer version.
 
     ``tokenizers``: version name -> tokenizer file, or "words" / "space" for the words of the
-    contracts and for white-space runs.  Null and empty texts have no tokens.
+    contracts and for white-space runs.  Null and empty texts have no tokens; ids are integers.
     """
     rows = df.select(
         col_of(id_col).cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), col_of(text_col).cast("string").alias("text")
@@ -52,40 +57,87 @@ def counted(df: DataFrame, tokenizers: dict[str, str], id_col: str = "doc_id", t
     return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 
 
+def _bucket() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+
+
 class TokenRollup:
     """Totals under one folder of a file system that Spark writes to."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path, folder
-
-    def committed(self) -> dict[str, str]:
-        """Attempt folder by batch id."""
-        fs, make, folder = self._fs()
-        if not fs.exists(folder):
-            return {}
+    def _list(self, part: str) -> dict[str, list[str]]:
+        """The lines of every finished file of a folder, by its name."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = make(f"{self.path}/{part}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         out = {}
-        for entry in fs.listStatus(folder):
+        for entry in fs.listStatus(folder) if fs.exists(folder) else ():
+            name = entry.getPath().getName()
+            if name.startswith("."):  # not renamed: of a lost attempt
+                continue
             stream = fs.open(entry.getPath())
             try:
-                batch, attempt = bytes(stream.readAllBytes()).decode().split("\n")
+                out[name] = bytes(stream.readAllBytes()).decode().split("\n")
             finally:
                 stream.close()
-            out[batch] = attempt
         return out
 
+    def _publish(self, part: str, name: str, lines: list[str]) -> None:
+        """Make a file visible whole; fails if there is one of that name."""
+        java = self.spark._jvm.org.apache.hadoop.fs
+        folder = java.Path(f"{self.path}/{part}")
+        conf = self.spark._jsc.hadoopConfiguration()
+        fs = folder.getFileSystem(conf)
+        temporary = java.Path(folder, f".{name}-{uuid.uuid4().hex}")
+        out = fs.create(temporary, False)
+        try:
+            out.write(bytearray("\n".join(lines).encode()))
+        finally:
+            out.close()
+        keep = getattr(java, "Options$Rename").NONE
+        how = self.spark.sparkContext._gateway.new_array(getattr(java, "Options$Rename"), 1)
+        how[0] = keep
+        java.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(temporary), fs.makeQualified(java.Path(folder, name)), how)
+
+    def committed(self) -> dict[str, str]:
+        """Attempt folder by batch id."""
+        return dict(lines for lines in self._list("commits").values())
+
+    def _attempts(self) -> list[str]:
+        """The attempts to read: the newest snapshot, and the batches that it does not cover."""
+        attempts, snapshots = set(self.committed().values()), self._list("snapshots")
+        if snapshots:
+            own, *covered = snapshots[max(snapshots)]
+            attempts = attempts.difference(covered) | {own}
+        return sorted(attempts)
+
     def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/attempts/{a}/{part}" for a in sorted(self.committed().values())]
-        reader = self.spark.read.schema(schema)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        rows = self.spark.createDataFrame([], schema)
+        for a in self._attempts():
+            rows = rows.union(self.spark.read.schema(schema).parquet(f"{self.path}/attempts/{a}/{part}"))
+        return rows
 
-    def ledger(self) -> DataFrame:
-        """Current documents and tokens by document and tokenizer."""
-        now = self._read("ledger", LEDGER).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    def _write(self, attempt: str, ledger: DataFrame) -> None:
+        """The parts of an attempt; the folders of a ledger are split and merged to files of good size."""
+        root = f"{self.path}/attempts/{attempt}"
+        ledger.withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/ledger")
+        rows = self.spark.read.schema(LEDGER).parquet(f"{root}/ledger")
+        rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{root}/totals")
+
+    def compact(self) -> None:
+        """Fold the batches so far into one snapshot; nothing changes in what the rollup says."""
+        covered, attempt = sorted(self.committed().values()), uuid.uuid4().hex
+        self._write(attempt, self.ledger())
+        self._publish("snapshots", f"{len(covered):012d}-{attempt}", [attempt, *covered])
+
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """Current documents and tokens by document and tokenizer, of all folders or the given ones."""
+        rows = self._read("ledger", LEDGER)
+        if buckets is not None:
+            rows = rows.filter(F.col("bucket").isin(buckets))
+        now = rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return now.filter("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
@@ -115,7 +167,11 @@ class TokenRollup:
             F.when(is_("revise"), F.col("n")).cast("long").alias("rev"),
             is_("delete").cast("int").alias("del"),
         )
-        old = self.ledger().select(*KEY, F.col("docs").alias("d0"), F.col("tokens").alias("t0"), zero.alias("d1"), zero.alias("t1"), F.lit(None).cast("long").alias("rev"), F.lit(0).alias("del"))
+        buckets = sorted(r[0] for r in e.select(_bucket()).distinct().collect())  # at most BUCKETS
+        old = self.ledger(buckets)
+        mine = e.select(F.xxhash64("doc_id"))
+        old = old.filter(in_bitmap(bitmap(mine), F.xxhash64("doc_id")))  # before the shuffle
+        old = old.select(*KEY, F.col("docs").alias("d0"), F.col("tokens").alias("t0"), zero.alias("d1"), zero.alias("t1"), F.lit(None).cast("long").alias("rev"), F.lit(0).alias("del"))
         # One shuffle by key: the ledger and the events meet in one aggregate, inserts summed before it.
         folded = old.union(new).groupBy(*KEY).agg(
             F.sum("d0").alias("d0"), F.sum("t0").alias("t0"), F.sum("d1").alias("d1"), F.sum("t1").alias("t1"), F.max("rev").alias("rev"), F.max("del").alias("del")
@@ -137,20 +193,13 @@ class TokenRollup:
         if batch_id in self.committed():
             return False
         attempt = uuid.uuid4().hex
-        root = f"{self.path}/attempts/{attempt}"
-        self.deltas(events).write.parquet(f"{root}/ledger")
-        rows = self.spark.read.schema(LEDGER).parquet(f"{root}/ledger")
-        rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{root}/totals")
-        fs, make, folder = self._fs()
-        name = uuid.uuid5(uuid.NAMESPACE_OID, batch_id).hex
+        self._write(attempt, self.deltas(events))
         try:
-            out = fs.create(make(folder, name), False)  # fails if another attempt was first
-        except Exception:
+            self._publish("commits", uuid.uuid5(uuid.NAMESPACE_OID, batch_id).hex, [batch_id, attempt])
+        except Exception:  # another attempt may have been first
             if batch_id in self.committed():
                 return False
             raise
-        out.write(bytearray(f"{batch_id}\n{attempt}".encode()))
-        out.close()
         return True
 
 

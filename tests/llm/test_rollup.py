@@ -83,6 +83,41 @@ def test_failed_attempt_leaves_no_trace(spark, scratch):
         rollup.commit("", good)
 
 
+def test_half_written_commit_is_not_read(spark, scratch):
+    rollup = TokenRollup(spark, f"{scratch}/r")
+    good = spark.createDataFrame([("insert", 1, "s", "en", "t", 5)], SCHEMA)
+    os.makedirs(f"{scratch}/r/commits")
+    open(f"{scratch}/r/commits/.lost", "w").close()  # the driver went while it filled the file
+    assert rollup.committed() == {} and rollup.commit("b", good) and not rollup.commit("b", good)
+    assert totals(rollup) == {("s", "en", "t"): (1, 5)}
+    name = next(n for n in os.listdir(f"{scratch}/r/commits") if not n.startswith("."))
+    with pytest.raises(Exception, match="exist"):
+        rollup._publish("commits", name, ["b", "other"])
+
+
+def test_compaction_and_buckets(spark, scratch):
+    rollup, brute = TokenRollup(spark, f"{scratch}/r"), Brute()
+
+    def apply(name, events):
+        assert rollup.commit(name, spark.createDataFrame(events, SCHEMA))
+        brute.apply(events)
+        assert totals(rollup) == brute.totals()
+
+    apply("1", [("insert", d, "s", "en", "t", 10 + (d or 0)) for d in [None, *range(40)]])
+    apply("2", [("revise", d, "s", "en", "t", 3) for d in range(0, 40, 2)])
+    rollup.compact()
+    assert totals(rollup) == brute.totals() and len(rollup._attempts()) == 1
+    assert not rollup.commit("1", spark.createDataFrame([("insert", 1, "s", "en", "t", 1)], SCHEMA))  # still known
+    apply("3", [("delete", d, "s", "en", "t", None) for d in [None, 1, 2, 99]])
+    rollup.compact()
+    apply("4", [("revise", 3, "s", "en", "t", 100)])
+    assert len(rollup._attempts()) == 2
+    left = {tuple(r)[:4]: (r.docs, r.tokens) for r in rollup.ledger().collect()}
+    assert left == {k: v for k, v in brute.state.items() if any(v)}
+    some = rollup.ledger([0, 1])
+    assert "bucket" in some._jdf.queryExecution().toString().split("PartitionFilters")[1][:80]
+
+
 def test_counts(spark):
     texts = [None, "", "One two-three", "é " * 5000, "x<|endoftext|>y"]
     df = spark.createDataFrame([(i, t, "s", "en", "clash") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_tokens string")

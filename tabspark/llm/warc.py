@@ -1,6 +1,8 @@
 """Deterministic sharded WARC archives.
 
-Records are sorted by range of page_id, so shard k holds smaller ids than shard k + 1.  Every task
+Records are sorted by range of page_id, so shard k holds no larger ids than shard k + 1.  The borders of
+the shards follow from the payload bytes by page_id alone (exact counts over cells of ids, heavy cells
+cut again), so the same pages give the same files on any cluster and at any partitioning.  Every task
 writes its shard's files under temporary names, rolls to the next file once the compressed size
 passes a limit, renames finished files and returns one manifest row per file.  The manifest is a
 table of the same folder, written last by Spark's commit protocol: files that it does not list are
@@ -18,16 +20,19 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col_of
+from .common import col_of, saved
 
 DATE = "2000-01-01T00:00:00Z"  # records carry no clock
 ROLL_BYTES = 64 << 20  # compressed size at which a file is closed
-SHARD_BYTES = 256 << 20  # payload bytes of a shard, about
+SHARD_BYTES = 64 << 20  # payload bytes of a shard, about
+CELLS = 1 << 12  # into which a range of ids is cut
 MIN_REVISIT = 0  # fixed by the contract
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -95,6 +100,12 @@ def parse_record(data: bytes) -> dict:
     }
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The folder with the file system that Spark takes it to be of."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
 def _folder(path: str) -> tuple[fs.FileSystem, str]:
     """A folder as Spark names it; every task opens it by itself."""
     if "://" in path or path.startswith("file:"):
@@ -137,17 +148,21 @@ class _Shard:
 MANIFEST = "name string, shard int, part int, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
-def plan_records(df: DataFrame, id_col="page_id", url_col="url", payload_col="html", min_revisit: int = MIN_REVISIT) -> DataFrame:
+def payloads(df: DataFrame, id_col="page_id", url_col="url", payload_col="html") -> DataFrame:
+    """(page_id, url, payload, sha1) of every row."""
+    payload = F.coalesce(col_of(payload_col).cast("string").cast("binary"), F.lit(b""))
+    rows = df.select(col_of(id_col).cast("long").alias("page_id"), col_of(url_col).cast("string").alias("url"), payload.alias("payload"))
+    return rows.withColumn("sha1", F.sha1("payload"))
+
+
+def plan_records(rows: DataFrame, keys: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, payload, sha1, tag, refers_to): what the records will hold.
 
     Rows with tag 1 are the records.  Rows with tag 0 say that the records of one page_id and digest
     refer to another page; they sort before those records.  So payloads are shuffled once, by the
-    range sort, and only ids and digests take part in finding the first of equal payloads.
+    range sort, and only ids and digests (``keys``) take part in finding the first of equal payloads.
     """
-    payload = F.coalesce(col_of(payload_col).cast("string").cast("binary"), F.lit(b""))
-    rows = df.select(col_of(id_col).cast("long").alias("page_id"), col_of(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
-    keys = rows.filter(F.length("payload") >= min_revisit).select("page_id", "sha1")
+    keys = keys.filter(F.col("bytes") >= min_revisit).select("page_id", "sha1")
     first = keys.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
     later = keys.distinct().join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
     none = lambda kind: F.lit(None).cast(kind)
@@ -155,35 +170,104 @@ def plan_records(df: DataFrame, id_col="page_id", url_col="url", payload_col="ht
     return refers.union(rows.select("page_id", "url", "payload", "sha1", F.lit(1).alias("tag"), none("long").alias("refers_to")))
 
 
+def _cells(keys: DataFrame, low: int, high: int, width: int) -> list[tuple[int, int]]:
+    """(first id, bytes) of the filled cells of ``width`` ids, from ``low`` to below ``high``, in order."""
+    whole = "decimal(38,0)"  # differences of longs need not be longs
+    cell = F.expr(f"cast((cast(page_id AS {whole}) - cast('{low}' AS {whole})) div cast('{width}' AS {whole}) AS bigint)")
+    rows = keys.filter(F.col("page_id").between(low, high - 1)).groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"))
+    return sorted((low + r["cell"] * width, r["bytes"]) for r in rows.collect())  # at most CELLS rows
+
+
+def shard_borders(keys: DataFrame, shard_bytes: int = SHARD_BYTES, cells: int = CELLS) -> list[tuple[int | None, int, int]]:
+    """(first id, first shard, shards) in order of ids, a null id first, from (page_id, bytes).
+
+    A border's records lie in its shards, those of several in order of the digest: it is a lone id of
+    more than ``shard_bytes``.  Shards are filled with whole cells of ids, from the smallest on; a cell
+    of more bytes is cut again.  There is about one border per shard.
+    """
+    ends = keys.agg(
+        F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))).alias("none")
+    ).first()
+    borders = [(None, 0, max(1, -(-(ends["none"] or 0) // shard_bytes)))]
+    if ends["low"] is None:
+        return borders
+
+    def leaves(low: int, high: int):
+        """(first id, bytes) of cells that fit, or hold one id."""
+        width = -(-(high - low) // cells)
+        for start, size in _cells(keys, low, high, width):
+            if size > shard_bytes and width > 1:
+                yield from leaves(start, min(high, start + width))
+            else:
+                yield start, size
+
+    shard, used = borders[0][1] + borders[0][2], None
+    for start, size in leaves(ends["low"], ends["high"] + 1):
+        if size > shard_bytes:
+            shard += used is not None
+            n = -(-size // shard_bytes)
+            borders.append((start, shard, n))
+            shard, used = shard + n, None
+        elif used is None or used + size > shard_bytes:
+            shard += used is not None
+            borders.append((start, shard, 1))
+            used = size
+        else:
+            used += size
+    return borders
+
+
+def _shard_of(borders: list[tuple[int | None, int, int]]) -> Column:
+    """The shard of a record, by page_id and sha1."""
+    starts = np.array([b[0] for b in borders[1:]], np.int64)
+    first, n = (np.array([b[i] for b in borders], np.int64) for i in (1, 2))
+
+    def run(ids: pd.Series, known: pd.Series, heads: pd.Series) -> pd.Series:
+        at = np.where(known.to_numpy(bool), np.searchsorted(starts, ids.to_numpy(np.int64), side="right"), 0)
+        return pd.Series((first[at] + heads.to_numpy(np.int64) * n[at] // (1 << 28)).astype(np.int32))
+
+    head = F.conv(F.substring("sha1", 1, 7), 16, 10).cast("long")
+    return F.pandas_udf(run, "int")(F.coalesce("page_id", F.lit(0).cast("long")), F.col("page_id").isNotNull(), head)
+
+
 def write_archives(
-    df: DataFrame, path: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, **columns
+    df: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, **columns
 ) -> DataFrame:
     """Write one record per row of ``df`` under ``path`` and return the manifest table.
 
     Null payloads are empty, null ids and urls are written as empty headers, repeated rows are
-    records of their own; an empty table gives an empty manifest.
+    records of their own; an empty table gives an empty manifest.  Ids are integers.  Records of one
+    id are spread by their digests; only rows of one id and payload stay together, in files that roll.
     """
     spark = df.sparkSession
-    records = plan_records(df, min_revisit=min_revisit, **columns)
-    if shards is None:
-        total = df.select(F.sum(F.length(col_of(columns.get("payload_col", "html"))))).first()[0] or 0
-        shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
+    path = _qualified(spark, path)
+    rows = payloads(df, **columns)
+    keys = saved(rows.select("page_id", "sha1", F.octet_length("payload").cast("long").alias("bytes")), "warc-keys")
+    borders = shard_borders(keys, shard_bytes)
+    shards = borders[-1][1] + borders[-1][2]
     store, root = _folder(path)
     store.create_dir(root, recursive=True)
-    ordered = records.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "sha1", "tag", "url")
+    dealt = plan_records(rows, keys, min_revisit).withColumn("shard", _shard_of(borders))
+    ordered = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "sha1", "tag", "url")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        shard, known, target = _Shard(path, TaskContext.get().partitionId(), roll_bytes), None, None
+        shard = known = target = None
         for b in batches:
             for i in range(b.num_rows):
-                page_id, url, payload, sha1, tag, refers = (c[i].as_py() for c in b.columns)
+                page_id, url, payload, sha1, tag, refers, number = (c[i].as_py() for c in b.columns)
+                if shard is None or shard.shard != number:
+                    if shard is not None:
+                        yield from files(shard)
+                    shard, known = _Shard(path, number, roll_bytes), None
                 if tag == 0:
                     known, target = (page_id, sha1), refers
                     continue
                 of = target if known == (page_id, sha1) else None
                 shard.add(page_id, record(page_id, url, payload, digest(payload), of))
+        if shard is not None:
+            yield from files(shard)
+
+    def files(shard):
         shard.close()
         if shard.rows:
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -219,6 +303,7 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per record of the files that the manifest lists, in files' order per task."""
+    path = _qualified(spark, path)
     manifest = read_manifest(spark, path).select("name", "records")
     names = [c.split()[0] for c in RECORDS.split(", ")] + ["payload"] * with_payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]

@@ -16,7 +16,7 @@ def pages(spark):
 def test_round_trip(spark, scratch):
     df = pages(spark)
     path = f"file://{scratch}/a"
-    manifest = W.write_archives(df, path, shards=3, roll_bytes=700)
+    manifest = W.write_archives(df, path, shard_bytes=5000, roll_bytes=700)
     got = [r.asDict() for r in W.read_archives(spark, path, with_payload=True).collect()]
     src = [(r.page_id, (r.html or "").encode()) for r in df.collect()]
     first = {}
@@ -38,8 +38,10 @@ def test_round_trip(spark, scratch):
 
 def test_same_bytes_again_and_leftovers_ignored(spark, scratch):
     df = pages(spark)
-    sha = lambda p: sorted((r.name, r.sha256) for r in W.write_archives(df, p, shards=2, roll_bytes=2000).collect())
-    assert sha(f"{scratch}/a") == sha(f"{scratch}/b")
+    sha = lambda d, p: sorted((r.name, r.sha256) for r in W.write_archives(d, p, shard_bytes=4000, roll_bytes=2000).collect())
+    first = sha(df, f"{scratch}/a")
+    assert len({n.split("-")[1] for n, _ in first}) > 3
+    assert first == sha(df.repartition(7), f"{scratch}/b") == sha(df.orderBy(F.rand(1)).coalesce(1), f"{scratch}/c")
     with open(f"{scratch}/a/part-000009-00000.warc.gz", "wb") as f:
         f.write(b"from a failed attempt")
     assert W.read_archives(spark, f"{scratch}/a").count() == df.count()
@@ -59,3 +61,17 @@ def test_small_payloads_and_empty_table(spark, scratch):
     assert {r.page_id: r.record_type for r in W.read_archives(spark, f"{scratch}/a").collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
     W.write_archives(df.filter("page_id < 0"), f"{scratch}/b")
     assert W.read_archives(spark, f"{scratch}/b").count() == 0
+
+
+def test_borders_hold_ids_and_bytes(spark, scratch):
+    top = 2**63 - 1
+    ids = [None] * 40 + [5] * 50 + list(range(1000, 1100)) + [-top - 1, top, top - 1]
+    df = spark.createDataFrame([(p, f"u{i}", f"{i:0100d}") for i, p in enumerate(ids)], "page_id long, url string, html string")
+    manifest = W.write_archives(df, f"{scratch}/a", shard_bytes=1000).collect()
+    assert max(r.records for r in manifest) <= 25  # ten records a shard; a hot id's are spread by digest
+    assert sorted(map(str, ids)) == sorted(str(r.page_id) for r in W.read_archives(spark, f"{scratch}/a").collect())
+    order = sorted((r.shard, r.part, r.first_id, r.last_id) for r in manifest if r.first_id is not None)
+    assert all(a[3] <= b[2] for a, b in zip(order, order[1:]))
+    keys = df.selectExpr("page_id", "100L AS bytes")
+    assert W.shard_borders(keys, 1000, cells=4) == W.shard_borders(keys.repartition(5), 1000, cells=4)
+    assert W.shard_borders(keys.filter("false"), 1000) == [(None, 0, 1)]

@@ -8,10 +8,13 @@ A *catalog root* is a folder on shared storage holding
 * ``results/``, ``result_rows/`` -- saved analysis/chart/model results keyed by fingerprint, and
                     their payloads as one JSON row per payload row.
 
+* ``claims/``  -- one small file per derived version, version number and saved result (``claims.py``).
+
 A version exists once its row is registered; the row names the folder that holds its data.  Every
-attempt writes a folder of its own and registers last, so an attempt that fails or whose driver is
-lost leaves only an unregistered folder, and repeating an apply returns the same version.  Of two
-concurrent attempts the first registered row counts.
+attempt writes a folder of its own, then claims the version with that folder, then its number, and
+registers last.  Only one attempt can make a claim, so concurrent applies or saves give one version,
+one number and one result; an attempt that fails leaves an unregistered folder, and one whose driver
+is lost after the claim is completed by the next from what the claim says.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import types as T
 
 from ..operators import prepare as P
 from ..schema import DatasetColumn, DatasetSchema, attach, col_of
+from ..session import written
+from .claims import append_rows, claim, read_claim
 from .ingest import Manifest, byte_size, ingest, write_canonical
 
 VERSIONS_SCHEMA = (
@@ -114,7 +119,7 @@ class Catalog:
         return rows.groupBy("version_id").agg(first).select("_row.*")
 
     def _append_version(self, row: tuple) -> None:
-        self.spark.createDataFrame([row], VERSIONS_SCHEMA).write.mode("append").parquet(self.versions_path)
+        append_rows(self.spark.createDataFrame([row], VERSIONS_SCHEMA), self.versions_path)
 
     def version(self, version_id: str) -> dict:
         rows = self.versions().where(F.col("version_id") == version_id).limit(1).collect()
@@ -133,16 +138,37 @@ class Catalog:
         df, manifest = ingest(self.spark, source, path, fmt, **kw)
         # The ingest itself is the operation of version 1: it keeps the source's format.
         op_json = json.dumps({"type": "Ingest", "source_format": manifest.source_format, "canonical_format": manifest.canonical_format})
-        self._register(version_id, uuid.uuid4().hex, dataset_name, 1, None, path, manifest, op_json)
+        self._register(self._row(version_id, uuid.uuid4().hex, dataset_name, None, path, manifest, op_json), 1)
         return version_id
 
-    def _register(self, version_id, dataset_id, name, number, parent, path, manifest: Manifest, op_json) -> None:
-        self._append_version(
-            (
-                version_id, dataset_id, name, number, parent, path, op_json,
-                schema_to_json(manifest.schema), manifest.row_count, manifest.byte_size, _now(),
-            )
-        )
+    @staticmethod
+    def _row(version_id, dataset_id, name, parent, path, manifest: Manifest, op_json) -> dict:
+        """The row of a version but for its number, as JSON can hold it."""
+        return {
+            "version_id": version_id, "dataset_id": dataset_id, "dataset_name": name, "parent_version_id": parent, "data_path": path,
+            "operation": op_json, "schema_json": schema_to_json(manifest.schema), "row_count": manifest.row_count,
+            "byte_size": manifest.byte_size, "created_at": _now().isoformat(),
+        }
+
+    def _register(self, row: dict, number: int) -> None:
+        row = {**row, "version_number": number, "created_at": datetime.fromisoformat(row["created_at"])}
+        self._append_version(tuple(row[c.split(" ")[0]] for c in VERSIONS_SCHEMA.split(", ")))
+
+    def _complete(self, row: dict) -> None:
+        """Number and register a claimed version; repeating it changes nothing.
+
+        Every attempt looks for the number from the parent's on and stops at the first that is free or
+        already this version's, so all find the same one.
+        """
+        taken = self.versions().where((F.col("dataset_id") == row["dataset_id"]) & (F.col("version_id") != row["version_id"]))
+        parent = taken.where(F.col("version_id") == row["parent_version_id"]).select("version_number").first()
+        later = taken.where(F.col("version_number") > parent[0]).agg(F.max("version_number"), F.count_distinct("version_number")).first()
+        # Where others hold all numbers up to the last one, the search starts behind it.
+        full = later[1] > 0 and later[1] == later[0] - parent[0]
+        number = later[0] + 1 if full else parent[0] + 1
+        while claim(self.spark, f"{self.root}/claims/{row['dataset_id']}", f"{number:09d}", row["version_id"]) != row["version_id"]:
+            number += 1
+        self._register(row, number)
 
     @staticmethod
     def idempotency_key(version_id: str, op) -> str:
@@ -152,46 +178,59 @@ class Catalog:
     def apply(self, parent_id: str, op) -> str:
         """Derive a child version from ONE operation; repeats return the same id."""
         child_id = self.idempotency_key(parent_id, op)[:32]
-        existing = self.versions().where(F.col("version_id") == child_id).limit(1).collect()
-        if existing:
+        if not self.versions().where(F.col("version_id") == child_id).isEmpty():
             return child_id
-        parent = self.version(parent_id)
-        df, schema = self.read(parent_id)
-        child_schema = P.evolve(schema, [op])
-        out = P.run(df, [op], schema)
-        path = self._attempt_path(child_id)
-        write_canonical(attach(out, child_schema), path)
-        written = self.spark.read.parquet(path)
-        manifest = Manifest("parquet", "parquet", written.count(), byte_size(self.spark, path), child_schema)
-        number = (
-            self.versions().where(F.col("dataset_id") == parent["dataset_id"]).agg(F.max("version_number")).first()[0]
-        )
-        self._register(child_id, parent["dataset_id"], parent["dataset_name"], int(number) + 1, parent_id,
-                       path, manifest, operation_to_json(op))
+        folder = f"{self.root}/claims/versions"
+        held = read_claim(self.spark, folder, child_id)
+        if held is None:
+            parent = self.version(parent_id)
+            df, schema = self.read(parent_id)
+            child_schema = P.evolve(schema, [op])
+            out = P.run(df, [op], schema)
+            path = self._attempt_path(child_id)
+            write_canonical(attach(out, child_schema), path)
+            count = self.spark.read.parquet(path).count()
+            manifest = Manifest("parquet", "parquet", count, byte_size(self.spark, path), child_schema)
+            row = self._row(child_id, parent["dataset_id"], parent["dataset_name"], parent_id, path, manifest, operation_to_json(op))
+            held = claim(self.spark, folder, child_id, json.dumps(row))
+        self._complete(json.loads(held))
         return child_id
 
-    def history(self, version_id: str) -> DataFrame:
-        """The operations from the root to ``version_id``, oldest first, of any depth.
+    def _ancestors(self, pairs: DataFrame, version_id: str) -> DataFrame:
+        """(version_id, depth) of a version and its ancestors by pointer doubling.
 
-        The chain is walked over the (id, parent) pairs of one dataset -- metadata, one short row per
-        version -- and the rows themselves are then selected on Spark.
+        Round k joins the 2^k nearest with jumps of 2^k, so a chain of n versions takes log2(n) rounds
+        and no pair reaches the driver.  A damaged (cyclic) chain ends with the number of versions.
         """
+        pairs = written(pairs, "lineage-pairs")
+        known = self.spark.createDataFrame([(version_id, 0)], "version_id string, depth int")
+        jumps = pairs.select(F.col("version_id").alias("at"), F.col("parent_version_id").alias("to")).where("to is not null")
+        step, most = 1, pairs.count()
+        while step <= most:
+            further = known.join(jumps, F.col("version_id") == F.col("at")).select(F.col("to").alias("version_id"), (F.col("depth") + step).alias("depth"))
+            further = written(further, "lineage-further")
+            if further.isEmpty():
+                break
+            known = written(known.union(further), "lineage-known")
+            again = jumps.select(F.col("at").alias("mid"), F.col("to").alias("end"))
+            jumps = written(jumps.join(again, F.col("to") == F.col("mid")).select("at", F.col("end").alias("to")), "lineage-jumps")
+            step *= 2
+        return known.groupBy("version_id").agg(F.min("depth").alias("depth"))
+
+    def history(self, version_id: str) -> DataFrame:
+        """The operations from the root to ``version_id``, oldest first, of any depth."""
         own = self.version(version_id)
-        pairs = self.versions().where(F.col("dataset_id") == own["dataset_id"]).select("version_id", "parent_version_id")
-        parent = dict(map(tuple, pairs.collect()))
-        chain, at = [], version_id
-        while at is not None and at in parent:
-            chain.append((at, len(chain)))
-            at = parent.pop(at)
-        depths = self.spark.createDataFrame(chain, "version_id string, depth int")
-        rows = self.versions().join(depths, "version_id").where(F.col("parent_version_id").isNotNull())
+        all_rows = self.versions().where(F.col("dataset_id") == own["dataset_id"])
+        depths = self._ancestors(all_rows.select("version_id", "parent_version_id"), version_id)
+        rows = all_rows.join(depths, "version_id").where(F.col("parent_version_id").isNotNull())
         return rows.select(
             "version_id", "parent_version_id", "version_number", "operation", "row_count", "created_at", "depth"
         ).orderBy("version_number")
 
     # -- saved results ---------------------------------------------------------
     def results(self) -> DataFrame:
-        return self._table(self.results_path, RESULTS_SCHEMA)
+        # A result completed twice has two equal rows.
+        return self._table(self.results_path, RESULTS_SCHEMA).dropDuplicates(["result_id"])
 
     @staticmethod
     def fingerprint(kind: str, version_id: str, configuration: dict) -> str:
@@ -210,22 +249,21 @@ class Catalog:
         ).limit(1).collect()
         if found:
             return found[0]["result_id"]
-        result_id = uuid.uuid4().hex
-        # Payload rows first, one JSON text each; they count once the result itself is registered.
-        rows = payload.select(
-            F.lit(result_id).alias("result_id"), F.monotonically_increasing_id().alias("position"),
-            F.to_json(F.struct(*[col_of(c) for c in payload.columns]), {"ignoreNullFields": "false"}).alias("row"),
-        )
-        rows.write.mode("append").partitionBy("result_id").parquet(f"{self.root}/result_rows")
-        row = self.spark.createDataFrame(
-            [(result_id, version_id, kind, title, fp, json.dumps(configuration, sort_keys=True), payload.schema.json(), _now())],
-            RESULTS_SCHEMA,
-        )
-        # Anti-join on the key so a concurrent save of the same fingerprint is not duplicated.
-        row.join(self.results().select("version_id", "fingerprint"), ["version_id", "fingerprint"], "left_anti") \
-            .select(*[c.split(" ")[0] for c in RESULTS_SCHEMA.split(", ")]) \
-            .write.mode("append").parquet(self.results_path)
-        return result_id
+        folder, name = f"{self.root}/claims/results", hashlib.sha256(f"{version_id}:{fp}".encode()).hexdigest()
+        held = read_claim(self.spark, folder, name)
+        if held is None:
+            result_id = uuid.uuid4().hex
+            # Payload rows first, one JSON text each; they count once the result itself is claimed.
+            rows = payload.select(
+                F.monotonically_increasing_id().alias("position"),
+                F.to_json(F.struct(*[col_of(c) for c in payload.columns]), {"ignoreNullFields": "false"}).alias("row"),
+            )
+            rows.write.parquet(f"{self.root}/result_rows/result_id={result_id}")
+            row = [result_id, version_id, kind, title, fp, json.dumps(configuration, sort_keys=True), payload.schema.json(), _now().isoformat()]
+            held = claim(self.spark, folder, name, json.dumps(row))
+        *row, created = json.loads(held)
+        append_rows(self.spark.createDataFrame([(*row, datetime.fromisoformat(created))], RESULTS_SCHEMA), self.results_path)
+        return row[0]
 
     def result_payload(self, result_id: str) -> DataFrame:
         """The payload of a saved result with its own columns and types, in its saved order."""

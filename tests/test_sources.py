@@ -116,6 +116,45 @@ def test_retry_after_failures(spark, scratch, monkeypatch):
     assert cat.versions().count() == 2 and cat.data_path(v2) == row["data_path"]
 
 
+def test_concurrent_writers_agree(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    cat, v1 = catalog(spark, scratch)
+    _, schema = cat.read(v1)
+    reading = schema.resolve("reading").column_id
+    ops = [P.Deduplicate(), P.Deduplicate(), P.FillNull(reading, 0.0), P.FillNull(reading, 1.0)]
+    payload = X.describe(cat.read(v1)[0], "reading", schema)
+    with ThreadPoolExecutor(8) as pool:
+        ids = list(pool.map(lambda op: Catalog(spark, cat.root).apply(v1, op), ops))
+        saves = list(pool.map(lambda _: Catalog(spark, cat.root).save_result(v1, "analysis", "t", {"a": 1}, payload), range(3)))
+    assert ids[0] == ids[1] and len(set(ids)) == 3
+    assert sorted(r.version_number for r in cat.versions().collect()) == [1, 2, 3, 4]
+    assert len(set(saves)) == 1 and cat.list_results(v1).count() == 1
+    assert cat.result_payload(saves[0]).collect() == payload.collect()
+
+
+def test_claimed_version_is_completed(spark, scratch, monkeypatch):
+    cat, v1 = catalog(spark, scratch)
+    with monkeypatch.context() as m:  # lost after the claim: another version takes the next number meanwhile
+        m.setattr(Catalog, "_append_version", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            cat.apply(v1, P.Deduplicate())
+    _, schema = cat.read(v1)
+    other = cat.apply(v1, P.FillNull(schema.resolve("reading").column_id, 0.0))
+    late = cat.apply(v1, P.Deduplicate())
+    assert cat.version(other)["version_number"] == 3 and cat.version(late)["version_number"] == 2
+    assert len(os.listdir(f"{cat.root}/data")) == 3  # the claimed folder is used, not written again
+
+
+def test_claims(spark, scratch):
+    from tabspark.sources.claims import claim, read_claim
+
+    folder = f"{scratch}/claims"
+    assert read_claim(spark, folder, "a") is None
+    assert claim(spark, folder, "a", "one\n") == "one\n" and claim(spark, folder, "a", "two") == "one\n"
+    assert [n for n in os.listdir(folder) if not n.endswith(".crc")] == ["a"]
+
+
 def test_long_lineage(spark, scratch):
     cat, v1 = catalog(spark, scratch)
     base = cat.version(v1)

@@ -127,3 +127,16 @@ def test_empty_table_null_id_and_bits(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got.collect()) == [(0, 0), (0, 7), (7, 7)]
     with pytest.raises(ValueError):
         S.link_components(empty.selectExpr("doc_id fp"), 5)
+
+
+def test_deduplicate_with_helper_names_and_repeated_ids(spark):
+    from tabspark.llm.simhash import deduplicate
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "b", 1, 1), (1, text, "a", 2, 2), (2, text, "c", 3, 3), (3, "other words here that stand alone", "d", 4, 4), (None, text, "e", 5, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep_id string, _keep_hash long, row long")
+    for parts in (1, 4):  # the same row of equal ids and texts at any partitioning
+        got = deduplicate(df.repartition(parts))
+        assert got.columns == df.columns
+        assert sorted((r.doc_id, r._keep_id) for r in got.collect()) == [(1, "a"), (3, "d")]
+    assert deduplicate(df.filter("false")).count() == 0

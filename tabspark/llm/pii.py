@@ -159,7 +159,17 @@ def _raw_matches(docs: DataFrame) -> DataFrame:
 
 def _patterns(before: Column, after: Column) -> Column:
     """Lexical patterns of a place: the word on either side, and both."""
-    return F.array(F.concat(before, F.lit(" _")), F.concat(F.lit("_ "), after), F.concat(before, F.lit(" _ "), after))
+    return F.array(*_pattern_list(before, after))
+
+
+def _pattern_list(before: Column, after: Column) -> list[Column]:
+    return [F.concat(before, F.lit(" _")), F.concat(F.lit("_ "), after), F.concat(before, F.lit(" _ "), after)]
+
+
+def _wanted(patterns: list[Column], bits: Column) -> Column:
+    """Those of the (different) patterns that may be in the bitmap: no row is made for the others."""
+    some = [F.when(in_bitmap(bits, F.xxhash64(p)), p) for p in patterns]
+    return F.array_except(F.array(*some), F.array(F.lit(None).cast("string")))
 
 
 def _total(lengths: Column) -> Column:
@@ -202,8 +212,7 @@ def _beside(cut: DataFrame, patterns: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("z.m").isNotNull() & may & F.col("z.m").rlike("[A-Za-z0-9]"))
     left, right = F.coalesce(_element_word(before, -1), F.lit("^")), F.coalesce(_element_word(behind, 1), F.lit("$"))
     rows = rows.select(*others, "pos", F.col("z.m").alias("raw"), left.alias("left"), right.alias("right"))
-    rows = rows.select(*others, "pos", "raw", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
-    return rows.filter(in_bitmap(bits, F.xxhash64("pattern")))
+    return rows.select(*others, "pos", "raw", F.explode(_wanted(_pattern_list(F.col("left"), F.col("right")), bits)).alias("pattern"))
 
 
 def _elements() -> Column:

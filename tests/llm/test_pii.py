@@ -111,3 +111,14 @@ def test_last_word_is_the_first_of_the_reversed_text(spark):
     rows = [("one two, ", "two"), ("x = ", "="), (" ", None), ("a" * 50 + "B", "a" * 39 + "b"), ("?!", None), ("", None), ("w" + " " * 20000, "w"), ("\u00e9T\u00e9-", "\u00e9t\u00e9")]
     df = spark.createDataFrame(rows, "text string, want string")
     assert [r.got for r in df.select(P._word(F.col("text"), -1).alias("got")).collect()] == [w for _, w in rows]
+
+
+def test_only_wanted_patterns_become_rows(spark):
+    """The array that is exploded holds the patterns asked for, not all of a place."""
+    from tabspark.llm.common import bitmap
+
+    wanted = spark.createDataFrame([("call _",), ("call _ now",)], "pattern string")
+    bits = bitmap(wanted.select(F.xxhash64("pattern")))
+    places = spark.createDataFrame([("call", "now"), ("call", "then"), ("see", "now"), ("see", "then")], "l string, r string")
+    got = places.select(P._wanted(P._pattern_list(F.col("l"), F.col("r")), bits).alias("p")).collect()
+    assert [sorted(r["p"]) for r in got] == [["call _", "call _ now"], ["call _"], [], []]

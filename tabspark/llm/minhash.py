@@ -1,14 +1,17 @@
-"""MinHash near-duplicates by a signature-coordinate inverted join.
+"""MinHash near-duplicates by an inverted join on signature coordinates.
 
 A text is the set of its distinct word shingles, its signature the least element of the set under each
-of ``COORDS`` orders.  Texts with one set are one vertex.  A vertex is posted under every coordinate
-and value; two sets of similarity 0.85 or more agree in ``MATCHES`` of the 64 coordinates at least,
+of ``COORDS`` orders.  Texts with one set are one vertex.  A vertex is posted under its coordinates
+and their values; two sets of similarity 0.85 or more agree in ``MATCHES`` of the 64 coordinates at least,
 but for a chance below 2e-8 (binomial tail at exactly 0.85, less above).
 
-Counting collisions with prefix and skip merging: a vertex with fewer than MATCHES shared postings
-has no partner.  Of the others only the rarest lists are merged -- all but the MATCHES - 1 longest,
-one of which any partner must share -- and the longest lists are skipped and probed in the signatures.
-Pairs of too different sizes or fewer collisions drop out, the rest is confirmed on the full sets.
+A posting's value is that of ``WIDTH`` neighbouring coordinates together, so texts that have a passage
+in common seldom share a list: two sets of similarity 0.85 share SHARED of the 32 lists at least, but
+for a chance below 2e-8 too.  Counting collisions with prefix and skip merging: a vertex with fewer
+than SHARED shared postings has no partner.  Of the others only the rarest lists are merged -- all but
+the SHARED - 1 longest, one of which any partner must share -- and the longest lists are skipped.
+Pairs of too different sizes or fewer than MATCHES equal coordinates drop out, the rest is confirmed
+on the full sets.
 
 No group is expanded into pairs.  Each vertex first meets one vertex only, the most central one of
 most of its merged lists; the verified links give components.  Lists that still hold several components are
@@ -33,6 +36,7 @@ from .components import components
 SHINGLE = 5  # words (fixed by the contract)
 PERCENT = 85  # similarity that links, in percent (fixed by the contract)
 COORDS, MATCHES = 64, 34
+WIDTH, SHARED = 2, 8  # coordinates of a list; lists that linked vertices share at least
 BLOCK = 256  # vertices of a block
 STAR = 1000  # vertices compared with one copy of a central vertex
 SEED = 42
@@ -320,11 +324,12 @@ def _cross(postings: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
 
 def _postings(vertices: DataFrame) -> DataFrame:
     """(tok, vid, lead): the merged lists of two or more vertices; lead is the most central one."""
-    every = vertices.select("vid", F.explode("sig").alias("tok"))
+    tok = lambda at: F.xxhash64(F.lit(at), *[F.get("sig", F.lit(at + j)) for j in range(WIDTH)])
+    every = vertices.select("vid", F.explode(F.array(*map(tok, range(0, COORDS, WIDTH)))).alias("tok"))
     shared = saved(every.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "minhash-shared")
     lists = every.join(shared, "tok").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("k", "tok"))).alias("t"))
-    lists = lists.filter(F.size("t") >= MATCHES)  # at most COORDS lists a vertex
-    merged = F.slice("t", F.lit(1), F.size("t") - (MATCHES - 1))
+    lists = lists.filter(F.size("t") >= SHARED)  # at most COORDS / WIDTH lists a vertex
+    merged = F.slice("t", F.lit(1), F.size("t") - (SHARED - 1))
     score = F.aggregate("t.k", F.lit(0).cast("long"), lambda x, y: x + y)
     rows = saved(lists.select("vid", score.alias("score"), F.explode(merged).alias("m")).select("vid", "score", "m.tok"), "minhash-merged")
     best = rows.groupBy("tok").agg(F.max(F.struct("score", (-F.col("vid")).alias("v"))).alias("best"), F.count(F.lit(1)).alias("c"))

@@ -102,3 +102,22 @@ def test_no_pair_of_a_group_leaves_the_blocks():
     rows = [(i, i, 500, M.signature(sets[i % 3]), sets[i % 3]) for i in range(90)]
     links = M._block_links(rows[:45], rows[45:], 85)
     assert len(links) == 87 and all(a % 3 == b % 3 for a, b in links)
+
+
+def test_a_vertex_is_posted_under_pairs_of_coordinates(spark, monkeypatch):
+    shared = []
+    real = M.saved
+
+    def saved(df, name):
+        out = real(df, name)
+        if name == "minhash-shared":
+            shared.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "saved", saved)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "x"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 0}
+    assert M.SHARED <= shared[0] <= M.COORDS // 2  # one list a coordinate before

@@ -223,12 +223,16 @@ def _tokens(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, end, value, patterns) of the instances beside the given patterns."""
     bits, text = bitmap(patterns.select(F.xxhash64("pattern"))), F.col("text")
     keys = ["doc_id", "text_hash"]
-    # Places are counted only in texts that have such a token.
-    texts = bitmap(_beside(docs.select("text_hash", _elements().alias("m")), patterns).select("text_hash"))
-    cut = docs.filter(in_bitmap(texts, F.col("text_hash")))
-    cut = cut.select(*keys, F.split(text, ELEMENT, -1).alias("p"), _elements().alias("m"))
-    tokens = _beside(_lengths(cut).drop("p"), patterns)
-    tokens = tokens.select(*keys, (_end(F.col("pos")) - F.length("raw")).alias("start"), "raw", "pattern")
+    # One scan finds the tokens.  Their places are counted afterwards: each text that has some meets them in
+    # one row, so only they become rows, not every element of such a text.
+    hit = F.struct("pos", "raw", "pattern")
+    hits = _beside(docs.select(*keys, _elements().alias("m")), patterns).groupBy(*keys).agg(F.collect_set(hit).alias("hits"))
+    hits = saved(hits.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "hits"), "pii-hits")
+    cut = docs.filter(in_bitmap(bitmap(hits.select("_hash")), F.col("text_hash")))
+    cut = _lengths(cut.select(*keys, F.split(text, ELEMENT, -1).alias("p"), _elements().alias("m"))).select(*keys, "lens", "blocks")
+    cut = cut.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    tokens = cut.select(*keys, "lens", "blocks", F.explode("hits").alias("t"))
+    tokens = tokens.select(*keys, (_end(F.col("t.pos")) - F.length("t.raw")).alias("start"), "t.raw", "t.pattern")
     skip = F.length("raw") - F.length(F.ltrim("raw", F.lit(EDGES["token"])))  # without the punctuation around it
     tokens = tokens.withColumn("start", F.col("start") + skip).withColumn("raw", F.ltrim("raw", F.lit(EDGES["token"])))
 

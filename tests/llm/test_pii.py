@@ -122,3 +122,14 @@ def test_only_wanted_patterns_become_rows(spark):
     places = spark.createDataFrame([("call", "now"), ("call", "then"), ("see", "now"), ("see", "then")], "l string, r string")
     got = places.select(P._wanted(P._pattern_list(F.col("l"), F.col("r")), bits).alias("p")).collect()
     assert [sorted(r["p"]) for r in got] == [["call _", "call _ now"], ["call _"], [], []]
+
+
+def test_only_tokens_beside_patterns_become_rows(spark):
+    """A text's other elements leave no rows where places are counted (they did, by an explode of the whole text)."""
+    text = "plain words " * 300 + "call 99@x now and call abc-7. " + "more = words " * 300
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "call nobody"), (3, None)], "doc_id long, text string")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    tokens = P._tokens(docs, spark.createDataFrame([("call _",)], "pattern string"))
+    assert "posexplode" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+    want = [(d, text.index(v), text.index(v) + len(v), v) for d in (1, None) for v in ("99@x", "abc-7")] + [(2, 5, 11, "nobody")]
+    assert sorted([(r.doc_id, r.start, r.end, r.value) for r in tokens.collect()], key=str) == sorted(want, key=str)

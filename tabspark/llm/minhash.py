@@ -14,10 +14,11 @@ Pairs of too different sizes or fewer than MATCHES equal coordinates drop out, t
 on the full sets.
 
 No group is expanded into pairs.  Each vertex first meets one vertex only, the most central one of
-most of its merged lists; the verified links give components.  Lists that still hold several components are
-compared in blocks of ``BLOCK`` vertices: a task holds two blocks and compares them by signature; the
-full sets of vertices with a likely partner follow, pairs that are already connected are skipped, and
-only the links that connect something are emitted.
+most of its merged lists; the verified links give components.  Of lists that still hold several
+components the vertices travel with short signatures, one row a list: a task compares those of a list
+(longer ones in tiles of ``BLOCK`` vertices, those outside the list's largest component with all others).
+A pair is looked at in the first list that both are in.  The full sets of vertices with a likely partner
+follow, pairs that are already connected are skipped, and only the links that connect something are emitted.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ SHINGLE = 5  # words (fixed by the contract)
 PERCENT = 85  # similarity that links, in percent (fixed by the contract)
 COORDS, MATCHES = 64, 34
 WIDTH, SHARED = 2, 8  # coordinates of a list; lists that linked vertices share at least
-BLOCK = 256  # vertices of a block
+BLOCK = 256  # vertices of a tile, about
+_SHORT = 0x7FFFFFFF  # bits of a coordinate that lists and short signatures have
 STAR = 1000  # vertices compared with one copy of a central vertex
 SEED = 42
 BITS = 1 << 22  # of the bitmap of wanted texts
@@ -215,16 +217,19 @@ class _Union:
         self.up[a] = b
 
 
-def _block_links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
-    """Links of two blocks of (vid, comp, n, sig, elements) that connect different components."""
+def _block_links(left: list, right: list, percent: int, chosen: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of two blocks of (vid, comp, n, sig, elements) that connect different components.
+
+    ``chosen``: which pairs to look at, by default all.
+    """
     if not left or not right:
         return []
     union, out = _Union([r[1] for r in left] + [r[1] for r in right]), []
     sigs, sizes = np.stack([r[3] for r in right]), np.array([r[2] for r in right])
     comps = np.array([r[1] for r in right])
-    for vid, comp, n, sig, elements in left:
+    for i, (vid, comp, n, sig, elements) in enumerate(left):
         maybe = (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-        some = np.flatnonzero(maybe)
+        some = np.flatnonzero(maybe if chosen is None else maybe & chosen[i])
         hits = (sigs[some] == sig).sum(axis=1)
         # The likeliest first: what is connected already needs no check.
         for j in some[np.argsort(-hits, kind="stable")][: int((hits >= MATCHES).sum())].tolist():
@@ -235,96 +240,142 @@ def _block_links(left: list, right: list, percent: int) -> list[tuple[int, int]]
     return out
 
 
-def _likely(left: list, right: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which vertices (vid, comp, size, signature) of two blocks have a partner in the other one that
-    is of another component, of a fitting size and agrees in enough coordinates."""
-    parts = [[np.array([r[i] for r in rows]) for i in (1, 2)] + [np.stack([r[3] for r in rows])] for rows in (left, right)]
-    (ca, na, sa), (cb, nb, sb) = parts
-    maybe = (ca[:, None] != cb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
-    for i in np.flatnonzero(maybe.any(axis=1)):
-        some = np.flatnonzero(maybe[i])
-        maybe[i, some] = (sb[some] == sa[i]).sum(axis=1) >= MATCHES
-    return maybe.any(axis=1), maybe.any(axis=0)
+def _likely(sigs: np.ndarray, lists: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the pairs (left, right) of rows agree in enough coordinates and have ``at`` as their first common list.
 
+    ``sigs``: short signatures; ``lists``: bits of the lists that a row's vertex is compared in.
+    """
+    out = np.zeros(len(left), bool)
+    bits = np.arange(COORDS // WIDTH)
+    for part in slices(len(left), 1 << 14):
+        same = sigs[left[part]] == sigs[right[part]]
+        common = same.reshape(len(same), -1, WIDTH).all(axis=2) & ((lists[left[part]] & lists[right[part]])[:, None] >> bits & 1 == 1)
+        out[part] = (same.sum(axis=1) >= MATCHES) & (common.argmax(axis=1) == at[part])
+    return out
 
-def _likely_seats(percent: int):
-    """Keeps the rows (x, y, side, vid, comp) of the vertices that have a likely partner in their block pair."""
 
-    def chosen(key, blocks) -> Iterator[pa.RecordBatch]:
-        if all(blocks):
-            rows = []
-            for side, keep in enumerate(_likely(*blocks, percent)):
-                rows += [(*key, side, *blocks[side][i][:2]) for i in np.flatnonzero(keep)]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["x", "y", "side", "vid", "comp"])
+_LIST = COORDS // WIDTH - 1  # the bits of a list's key that are its number
+
+
+def _likely_seats(percent: int):
+    """Keeps the rows (tok, x, y, side, vid, comp, lists) of the vertices that have a likely partner in their tiles."""
+    corners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def pairs(start: int, stop: int, one: bool, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = stop - start
+        if one:
+            if n not in corners:
+                corners[n] = np.triu_indices(n, 1)
+            a, b = corners[n]
+            return a + start, b + start
+        k = n - int(sides[start:stop].sum())
+        return np.repeat(np.arange(start, start + k), n - k), np.tile(np.arange(start + k, stop), k)
+
+    def seats(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tok, x, y, side, comp, size, lists = (table.column(c).to_numpy() for c in ("tok", "x", "y", "side", "comp", "size", "lists"))
+        sigs = _matrix(table.column("short").combine_chunks())
+        keep = np.zeros(len(tok), bool)
+        found = [pairs(a, b, x[a] == y[a], side) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        left, right = (np.concatenate(c) for c in zip(*found))
+        maybe = (comp[left] != comp[right]) & (100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right]))
+        left, right = left[maybe], right[maybe]
+        likely = _likely(sigs, lists, left, right, tok[left] & _LIST)
+        keep[left[likely]] = keep[right[likely]] = True
+        rows = table.select(["tok", "x", "y", "side", "vid", "comp", "lists"]).slice(0, len(keep)).filter(pa.array(keep))
+        yield from rows.to_batches()
 
     def run(batches):
-        key, blocks = None, ([], [])
+        rest = None
         for b in batches:
-            ids = [b.column(i).to_pylist() for i in range(6)]
-            sigs = _matrix(b.column(6))
-            for i, (x, y, side, vid, comp, size) in enumerate(zip(*ids)):
-                if (x, y) != key:
-                    yield from chosen(key, blocks)
-                    key, blocks = (x, y), ([], [])
-                blocks[side].append((vid, comp, size, sigs[i].copy()))
-        yield from chosen(key, blocks)
+            table = pa.Table.from_batches([b])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            keys = [table.column(c).to_numpy() for c in ("tok", "x", "y")]
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            if len(new):  # whole groups; the last one may go on
+                yield from seats(table.slice(0, int(new[-1])), np.concatenate(([0], new)))
+                table = table.slice(int(new[-1]))
+            rest = table
+        if rest is not None and rest.num_rows:
+            yield from seats(rest, np.array([0, rest.num_rows]))
 
     return run
 
 
-def _cross(postings: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that share a list of ``postings`` (tok, vid, lead)."""
-    own = postings.join(comps.withColumnRenamed("v", "vid"), "vid", "left").select("tok", "vid", "lead", F.coalesce("root", "vid").alias("comp"))
+def _tile_links(key: tuple, tiles: tuple[list, list], masks: tuple[list, list], percent: int) -> list[tuple[int, int]]:
+    """Links of a tile (key: list, x, y) with another one, or within one (x = y)."""
+    one = key is not None and key[1] == key[2]
+    other = 0 if one else 1
+    if not tiles[0] or not tiles[other]:
+        return []
+    sigs = np.stack([r[3] for r in tiles[0] + tiles[other]]) & _SHORT
+    n, m = len(tiles[0]), len(tiles[other])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n, n + m), indexing="ij"))
+    chosen = _likely(sigs, np.array(masks[0] + masks[other], np.int64), a, b, np.full(len(a), key[0] & _LIST)).reshape(n, m)
+    return _block_links(tiles[0], tiles[other], percent, np.triu(chosen, 1) if one else chosen)
+
+
+def _open_lists(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tok, x, y, side, vid, comp): the vertices of the lists (tok, vid) with several components, by tiles that meet.
+
+    A list of at most BLOCK vertices is one tile that meets itself.  Of a longer one the strays, those outside
+    its largest component, are dealt to tiles that meet every tile, the others to tiles that meet the strays'.
+    """
+    own = postings.join(comps.withColumnRenamed("v", "vid"), "vid", "left").select("tok", "vid", F.coalesce("root", "vid").alias("comp"))
     sizes = own.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("tok").agg(F.max(F.struct("k", "comp")).getField("comp").alias("home"), F.count(F.lit(1)).alias("c"))
-    rows = saved(own.join(mixed.filter("c > 1").select("tok", "home"), "tok"), "minhash-open")
-    # Blocks of vertices of one neighbourhood, those outside the lists' largest components together.
-    stray = F.max((F.col("comp") != F.col("home")).cast("int"))
-    members = rows.groupBy("vid", "comp").agg(F.min("lead").alias("near"), stray.alias("stray"))
-    members = members.repartitionByRange("near", "stray", "vid").sortWithinPartitions("near", "stray", "vid")
-    place = F.monotonically_increasing_id()
-    members = members.select("vid", "comp", "stray", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
-    block = F.shiftleft(F.col("part"), 33) + F.floor(F.col("i") / BLOCK)
-    members = saved(members.select("vid", "comp", block.alias("block")), "minhash-blocks")
-    lists = rows.join(members.select("vid", "block"), "vid")
-    at = lists.groupBy("tok", "block").agg(stray.alias("stray"))
-    at = saved(at, "minhash-list-blocks")
-    x = at.filter("stray = 1").select("tok", F.col("block").alias("x"))
-    y = at.select("tok", F.col("block").alias("y"))
-    meets = x.join(y, "tok").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    meets = saved(meets, "minhash-meets")
-    sides = [meets.select("x", "y", F.lit(i).alias("side"), F.col(s).alias("block")) for i, s in enumerate("xy")]
-    seats = members.join(sides[0].union(sides[1]), "block").select("x", "y", "side", "vid", "comp")
+    home = F.max(F.struct("k", "comp"))
+    mixed = sizes.groupBy("tok").agg(home.alias("home"), F.sum("k").alias("every"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    small = F.col("every") <= BLOCK
+    tiles = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select(
+        "tok", F.when(~small, F.col("home.comp")).alias("home"),
+        F.when(small, 1).otherwise(tiles(F.col("every") - F.col("home.k"))).alias("xs"), F.when(small, 0).otherwise(tiles(F.col("home.k"))).alias("ys"),
+    )
+    rows = own.join(mixed, "tok").withColumn("stray", F.col("home").isNull() | (F.col("home") != F.col("comp")))
+    dealt = lambda n: F.pmod(F.xxhash64("vid"), n).cast("int")
+    mine = F.when(F.col("stray"), dealt(F.col("xs"))).otherwise(F.col("xs") + dealt(F.greatest("ys", F.lit(1))))
+    rows = rows.withColumn("mine", mine)
+    last = F.when(F.col("stray"), F.col("xs") + F.col("ys")).otherwise(F.col("xs")) - 1
+    rows = rows.select("tok", "vid", "comp", "mine", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return rows.select("tok", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("other") < F.col("mine")).cast("int").alias("side"), "vid", "comp")
+
+
+def _cross(postings: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a list of ``postings`` (tok, vid)."""
+    rows = saved(_open_lists(postings, comps), "minhash-open")
+    number = F.col("tok").bitwiseAND(F.lit(_LIST)).cast("int")
+    lists = rows.groupBy("vid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), number)).alias("lists"))
     # By signature first, so that full sets go only where a vertex has a likely partner.
-    short = F.transform("sig", lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    short = F.transform("sig", lambda v: v.bitwiseAND(F.lit(_SHORT)).cast("int"))
     brief = sets.select("vid", short.alias("short"), (F.octet_length("elements") / 8).cast("long").alias("size"))
-    seats = seats.join(brief, "vid").select("x", "y", "side", "vid", "comp", "size", "short")
-    seats = seats.repartition("x", "y").sortWithinPartitions("x", "y", "side")
-    seats = saved(seats.mapInArrow(_likely_seats(percent), "x long, y long, side int, vid long, comp long"), "minhash-seats")
-    dealt = seats.join(sets, "vid").select("x", "y", "side", "vid", "comp", "sig", "elements")
-    dealt = dealt.repartition("x", "y").sortWithinPartitions("x", "y", "side")
+    seats = rows.join(brief.join(lists, "vid"), "vid").select("tok", "x", "y", "side", "vid", "comp", "size", "lists", "short")
+    seats = seats.repartition("tok", "x", "y").sortWithinPartitions("tok", "x", "y", "side")
+    seats = saved(seats.mapInArrow(_likely_seats(percent), "tok long, x int, y int, side int, vid long, comp long, lists long"), "minhash-seats")
+    dealt = seats.join(sets, "vid").select("tok", "x", "y", "side", "vid", "comp", "lists", "sig", "elements")
+    dealt = dealt.repartition("tok", "x", "y").sortWithinPartitions("tok", "x", "y", "side")
 
     def run(batches):
-        key, blocks = None, ([], [])
+        key, tiles, masks = None, ([], []), ([], [])
         for b in batches:
-            ids = [b.column(i).to_pylist() for i in range(5)]
-            sigs = _matrix(b.column(5))
-            for i, (x, y, side, vid, comp) in enumerate(zip(*ids)):
-                if (x, y) != key:
-                    yield from _link_batch(_block_links(*blocks, percent))
-                    key, blocks = (x, y), ([], [])
-                elements = np.frombuffer(b.column(6)[i].as_py(), np.uint64)
-                blocks[side].append((vid, comp, len(elements), sigs[i].copy(), elements))
-        yield from _link_batch(_block_links(*blocks, percent))
+            ids = [b.column(i).to_pylist() for i in range(7)]
+            sigs = _matrix(b.column(7))
+            for i, (tok, x, y, side, vid, comp, mask) in enumerate(zip(*ids)):
+                if (tok, x, y) != key:
+                    yield from _link_batch(_tile_links(key, tiles, masks, percent))
+                    key, tiles, masks = (tok, x, y), ([], []), ([], [])
+                elements = np.frombuffer(b.column(8)[i].as_py(), np.uint64)
+                tiles[side].append((vid, comp, len(elements), sigs[i].copy(), elements))
+                masks[side].append(mask)
+        yield from _link_batch(_tile_links(key, tiles, masks, percent))
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def _postings(vertices: DataFrame) -> DataFrame:
     """(tok, vid, lead): the merged lists of two or more vertices; lead is the most central one."""
-    tok = lambda at: F.xxhash64(F.lit(at), *[F.get("sig", F.lit(at + j)) for j in range(WIDTH)])
+    value = lambda at: F.get("sig", F.lit(at)).bitwiseAND(F.lit(_SHORT))
+    key = lambda at: F.xxhash64(F.lit(at), *[value(at + j) for j in range(WIDTH)])
+    tok = lambda at: key(at).bitwiseAND(F.lit(~_LIST)).bitwiseOR(F.lit(at // WIDTH))  # the last bits number the list
     every = vertices.select("vid", F.explode(F.array(*map(tok, range(0, COORDS, WIDTH)))).alias("tok"))
     shared = saved(every.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "minhash-shared")
     lists = every.join(shared, "tok").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("k", "tok"))).alias("t"))

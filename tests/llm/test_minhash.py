@@ -121,3 +121,24 @@ def test_a_vertex_is_posted_under_pairs_of_coordinates(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(df).collect()}
     assert got == {0: 0, 1: 0}
     assert M.SHARED <= shared[0] <= M.COORDS // 2  # one list a coordinate before
+
+
+def test_open_lists_grow_with_their_vertices(spark):
+    """Many short lists across many vertices leave one row a posting (blocks of vertices met by pairs before)."""
+    from pyspark.sql import Row
+
+    rng = random.Random(9)
+    postings = [Row(tok=32 * t, vid=v, lead=0) for t in range(600) for v in rng.sample(range(3000), 2)]
+    comps = spark.createDataFrame([], "v long, root long")
+    rows = M._open_lists(spark.createDataFrame(postings), comps).collect()
+    assert len(rows) == len(postings) and all(r.x == r.y == r.side == 0 for r in rows)
+    # A long list: all pairs of strays with others meet in some tiles, rows in proportion where strays are few.
+    n = 4 * M.BLOCK
+    long = spark.createDataFrame([Row(tok=32, vid=v, lead=0) for v in range(n)])
+    comps = spark.createDataFrame([(v, 0) for v in range(n - 10)], "v long, root long")
+    rows = M._open_lists(long, comps).collect()
+    assert len(rows) < 1.1 * n
+    seats = {}
+    for r in rows:
+        seats.setdefault(r.vid, set()).add((r.x, r.y))
+    assert all(seats[a] & seats[b] for a in range(n - 10, n) for b in range(n))

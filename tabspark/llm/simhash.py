@@ -154,7 +154,8 @@ def link_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
     keys = _keys(fps)
     shared = keys.groupBy("key").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = saved(keys.join(shared, "key"), "simhash-buckets")
+    # A fingerprint has about ninety keys, but Spark sizes the keys like the fingerprints: never a broadcast.
+    buckets = saved(keys.join(shared.hint("merge"), "key"), "simhash-buckets")
     star = buckets.filter((F.col("fp") != F.col("lead")) & close("fp", "lead"))
     star = saved(star.select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct(), "simhash-star")
     first = components(star)

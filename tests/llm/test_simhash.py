@@ -140,3 +140,13 @@ def test_deduplicate_with_helper_names_and_repeated_ids(spark):
         assert got.columns == df.columns
         assert sorted((r.doc_id, r._keep_id) for r in got.collect()) == [(1, "a"), (3, "d")]
     assert deduplicate(df.filter("false")).count() == 0
+
+
+def test_keys_are_never_broadcast(spark, monkeypatch):
+    """Every fingerprint has about ninety keys; sized like the fingerprints, they went to the driver."""
+    seen, saved = {}, S.saved
+    monkeypatch.setattr(S, "saved", lambda df, name: (seen.setdefault(name, df), saved(df, name))[1])
+    fps = saved(spark.range(1 << 7).select(F.xxhash64("id").alias("fp")), "test-fps")
+    S.link_components(fps)
+    plan = seen["simhash-buckets"]._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -7,10 +7,10 @@ sides: a pattern's confidence for a kind is the share of its instances that are
 kind, an instance's score is the chance that at least one of its confident patterns is right.
 Instances that end above the bar are spans of the kind too, wherever they stand outside base spans.
 
-A pattern is induced by MIN_SUPPORT distinct seeds.  One scan counts the distinct instances of every
-induced pattern, map-side; patterns of which the seeds are less than OPEN_SHARE (words such as "the",
-which stand beside everything) are never opened, so no row is made for what stands beside them.  The
-graph holds the instances of the opened patterns, aggregated by (pattern, instance) before any join;
+A pattern is induced by MIN_SUPPORT distinct seeds.  Patterns of which the seeds are less than OPEN_SHARE
+of the distinct instances (words such as "the", which stand beside everything) are never opened.  Those
+that are far beyond it already in a few texts go first; one scan of all texts then finds the instances of
+all others, which are counted, and those of opened patterns become tokens.  The graph holds the instances of the opened patterns, aggregated by (pattern, instance) before any join;
 rounds are written to the shared folder.
 """
 
@@ -48,17 +48,24 @@ TOKENS = {
 EDGES = {"token": "._%+@/=-", "group": " (-"}  # characters cut off at the end (of a token at either end)
 # What a text is cut into to find the context of its tokens: tokens, and the words between them.
 # The tokens are those of TOKENS, in a form that looks behind only at signs.
+# Characters one by one, not ranges: Java looks a class of single characters up in one table.
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 ELEMENT = "|".join((
-    r"[A-Za-z0-9][A-Za-z0-9._%+@/=-]*+",
-    r"[._%+@/=-](?<![._%+@/=-]{2})[._%+@/=-]*+[A-Za-z0-9][A-Za-z0-9._%+@/=-]*+",
-    r"[^\x00-\x7F]++",
+    rf"[{_ALNUM}][{_ALNUM}._%+@/=-]*",
+    rf"[._%+@/=-](?<![._%+@/=-]{{2}})[._%+@/=-]*+[{_ALNUM}][{_ALNUM}._%+@/=-]*",
+    r"[^\x00-\x7F]+",
     "[=:]",
 ))
+# The same elements; group 1 is the word of those that are one word with or without signs behind it, else empty.
+ONE_WORD = (
+    rf"([{_ALNUM}]++|[^\x00-\x7F]++)(?:(?<=[^\x00-\x7F])|[._%+@/-]*+(?![{_ALNUM}=]))|" + ELEMENT
+)
 BLOCK = 64  # tokens whose lengths are summed once
 WORD_CHARS = 40  # nearest characters by which a context word is known
 ROUNDS = 3
 MIN_SUPPORT = 3  # distinct seeds a pattern needs
 OPEN_SHARE = 0.1  # of a pattern's distinct instances that are seeds, for it to be opened
+LOOK = 16  # patterns far too common are known from one text in so many, before all texts are searched
 MIN_CONFIDENCE = 0.6  # of a pattern
 MIN_SCORE = 0.8  # of a discovered instance
 
@@ -102,16 +109,9 @@ def _word(text: Column, side: int) -> Column:
     return F.when(text != " ", F.nullif(found, F.lit("")))
 
 
-_JOINED = "[._%+@/=:-]"  # in an element of several words
-
-
-def _plain_word(element: Column, side: int) -> Column:
-    """``_word`` of an element that is one word."""
-    return F.lower(F.right(element, F.lit(WORD_CHARS)) if side < 0 else F.left(element, F.lit(WORD_CHARS)))
-
-
-def _element_word(element: Column, side: int) -> Column:
-    return F.when(element.rlike(_JOINED), _word(element, side)).otherwise(_plain_word(element, side))
+def _plain_word(word: Column, side: int) -> Column:
+    """``_word`` of a single word."""
+    return F.lower(F.right(word, F.lit(WORD_CHARS)) if side < 0 else F.left(word, F.lit(WORD_CHARS)))
 
 
 def _neighbours(pieces: Column, matches: Column, i: Column) -> tuple[Column, Column]:
@@ -178,7 +178,8 @@ def _total(lengths: Column) -> Column:
 
 def _lengths(cut: DataFrame) -> DataFrame:
     """Lengths of each piece with its match, and their sums by blocks: ends without a scan per match."""
-    cut = cut.withColumn("lens", F.transform("m", lambda m, i: F.length(F.get("p", i)) + F.length(m)))
+    # Both arrays are arguments, not looked up by place: inlined into a lambda, a split would run once a match.
+    cut = cut.withColumn("lens", F.zip_with(F.slice("p", F.lit(1), F.size("m")), "m", lambda p, m: F.length(p) + F.length(m)))
     starts = F.sequence(F.lit(0), F.floor(F.size("lens") / BLOCK).cast("int"))
     return cut.withColumn("blocks", F.transform(starts, lambda b: _total(F.slice("lens", b * BLOCK + 1, F.lit(BLOCK)))))
 
@@ -189,29 +190,33 @@ def _end(pos: Column) -> Column:
     return _total(F.slice("blocks", F.lit(1), b)) + _total(F.slice("lens", b * BLOCK + 1, pos % BLOCK + 1))
 
 
-def _word_bits(patterns: DataFrame) -> Column:
-    """Bitmap of the context words of the patterns."""
-    return bitmap(patterns.select(F.explode(F.split("pattern", " ")).alias("word")).select(F.xxhash64("word")))
+def _word_bits(patterns: DataFrame) -> tuple[Column, Column]:
+    """Bitmaps of the context words of the patterns: those on the left and those on the right."""
+    w = F.split("pattern", " ")
+    bits = lambda word: bitmap(patterns.select(word.alias("w")).filter("w <> '_'").select(F.xxhash64("w")))
+    return bits(F.get(w, 0)), bits(F.element_at(w, -1))
 
 
-def _beside(cut: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(the columns of ``cut`` without m, pos, raw, pattern): tokens of the element array ``m`` beside the patterns
+def _beside(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(the columns of ``docs`` without text, pos, raw, pattern): tokens of the texts beside the patterns
     (and rare others, of the same hash).
 
-    Rows, not array functions: elements meet their neighbours, those beside a word of no pattern go
+    Rows, not array functions: elements look at their neighbours, those beside a word of no pattern go
     at once, and only rows of the patterns leave the compiled loop.
     """
-    bits, words = bitmap(patterns.select(F.xxhash64("pattern"))), _word_bits(patterns)
-    others = [c for c in cut.columns if c != "m"]
-    cut = cut.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), "m")).withColumn("behind", F.slice("m", F.lit(2), F.size("m")))
-    rows = cut.select(*others, F.posexplode(F.arrays_zip("m", "before", "behind")).alias("pos", "z"))
-    before, behind = F.col("z.before"), F.col("z.behind")
-    may = before.isNull() | behind.isNull()
-    may = may | in_bitmap(words, F.xxhash64(_plain_word(before, -1))) | in_bitmap(words, F.xxhash64(_plain_word(behind, 1)))
-    may = may | F.concat(before, behind).rlike(_JOINED)
-    rows = rows.filter(F.col("z.m").isNotNull() & may & F.col("z.m").rlike("[A-Za-z0-9]"))
-    left, right = F.coalesce(_element_word(before, -1), F.lit("^")), F.coalesce(_element_word(behind, 1), F.lit("$"))
-    rows = rows.select(*others, "pos", F.col("z.m").alias("raw"), left.alias("left"), right.alias("right"))
+    bits = bitmap(patterns.select(F.xxhash64("pattern")))
+    left_bits, right_bits = _word_bits(patterns)
+    others = [c for c in docs.columns if c != "text"]
+    cut = docs.select(*others, _elements().alias("m"), F.regexp_extract_all("text", F.lit(ONE_WORD), F.lit(1)).alias("w"))
+    rows = cut.select(*others, "m", "w", F.posexplode("m").alias("pos", "raw"))
+    before, behind = F.get("w", F.col("pos") - 1), F.get("w", F.col("pos") + 1)
+    # Few and small calls: Java does not compile a method of more than 8000 bytes.
+    may = before.isNull() | behind.isNull() | (before == "") | (behind == "")
+    may = may | in_bitmap(left_bits, F.xxhash64(_plain_word(before, -1))) | in_bitmap(right_bits, F.xxhash64(_plain_word(behind, 1)))
+    rows = rows.filter(may & F.col("raw").rlike("[A-Za-z0-9]"))
+    left = F.when(before == "", _word(F.get("m", F.col("pos") - 1), -1)).otherwise(_plain_word(before, -1))
+    right = F.when(behind == "", _word(F.get("m", F.col("pos") + 1), 1)).otherwise(_plain_word(behind, 1))
+    rows = rows.select(*others, "pos", "raw", F.coalesce(left, F.lit("^")).alias("left"), F.coalesce(right, F.lit("$")).alias("right"))
     return rows.select(*others, "pos", "raw", F.explode(_wanted(_pattern_list(F.col("left"), F.col("right")), bits)).alias("pattern"))
 
 
@@ -219,18 +224,26 @@ def _elements() -> Column:
     return F.regexp_extract_all("text", F.lit(ELEMENT), F.lit(0))
 
 
-def _tokens(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, value, patterns) of the instances beside the given patterns."""
+def _hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, pos, raw, pattern): the elements beside the given patterns, written once."""
+    return saved(_beside(docs.select("doc_id", "text_hash", "text"), patterns), "pii-hits")
+
+
+def _tokens(docs: DataFrame, patterns: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_hash, start, end, value, patterns) of the instances beside the given patterns.
+
+    ``hits``: the elements beside these and other patterns, if they have been found already.
+    """
     bits, text = bitmap(patterns.select(F.xxhash64("pattern"))), F.col("text")
     keys = ["doc_id", "text_hash"]
     # One scan finds the tokens.  Their places are counted afterwards: each text that has some meets them in
     # one row, so only they become rows, not every element of such a text.
-    hit = F.struct("pos", "raw", "pattern")
-    hits = _beside(docs.select(*keys, _elements().alias("m")), patterns).groupBy(*keys).agg(F.collect_set(hit).alias("hits"))
-    hits = saved(hits.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "hits"), "pii-hits")
+    hits = (_hits(docs, patterns) if hits is None else hits).filter(in_bitmap(bits, F.xxhash64("pattern")))
+    hits = hits.groupBy(*keys).agg(F.collect_set(F.struct("pos", "raw", "pattern")).alias("hits"))
+    hits = saved(hits.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "hits"), "pii-hits-by-text")
     cut = docs.filter(in_bitmap(bitmap(hits.select("_hash")), F.col("text_hash")))
     cut = _lengths(cut.select(*keys, F.split(text, ELEMENT, -1).alias("p"), _elements().alias("m"))).select(*keys, "lens", "blocks")
-    cut = cut.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    cut = cut.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     tokens = cut.select(*keys, "lens", "blocks", F.explode("hits").alias("t"))
     tokens = tokens.select(*keys, (_end(F.col("t.pos")) - F.length("t.raw")).alias("start"), "t.raw", "t.pattern")
     skip = F.length("raw") - F.length(F.ltrim("raw", F.lit(EDGES["token"])))  # without the punctuation around it
@@ -258,9 +271,21 @@ def _words(column: str, side: int) -> Column:
     return F.transform(column, lambda t: _word(t, side))
 
 
-def _instances(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, instances): distinct instances of each given pattern, estimated; one row a pattern."""
-    rows = _beside(docs.select(_elements().alias("m")), patterns)
+def _rare(docs: DataFrame, induced: DataFrame) -> DataFrame:
+    """The patterns that may be opened: without those that have too many instances in a few texts alone.
+
+    No pattern has fewer instances in all texts than in some.  The estimates are off by a few hundredths,
+    and a pattern goes only at twice the limit, so it would not be opened by the count over all texts.
+    """
+    some = docs.filter(F.pmod("text_hash", F.lit(LOOK)) == 0)
+    seen = _instances(_beside(some.select("text"), induced), induced.select("pattern"))
+    often = induced.join(seen.withColumnRenamed("pattern", "_pattern"), F.col("pattern") == F.col("_pattern"), "left")
+    often = often.filter(F.col("support") >= OPEN_SHARE / 2 * F.coalesce("instances", F.lit(0)))
+    return saved(often.select("pattern", "support"), "pii-rare")
+
+
+def _instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, instances): distinct instances (``raw`` of the rows) of each given pattern, estimated; one row a pattern."""
     counts = rows.groupBy(F.xxhash64("pattern").alias("h")).agg(F.approx_count_distinct(F.xxhash64("raw")).alias("instances"))
     return patterns.join(counts, F.xxhash64("pattern") == F.col("h")).select("pattern", "instances")
 
@@ -316,14 +341,17 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     induced = saved(induced.groupBy("pattern").agg(F.max("support").alias("support")), "pii-induced")
     if induced.isEmpty():
         return _arrays(base)
-    seen = _instances(docs, induced.select("pattern")).withColumnRenamed("pattern", "_pattern")
-    opened = induced.join(seen, F.col("pattern") == F.col("_pattern"), "left")
+    # One scan of all texts serves the counts and, of the patterns that are opened, the tokens.
+    rare = _rare(docs, induced)
+    hits = _hits(docs, rare)
+    seen = _instances(hits, rare.select("pattern")).withColumnRenamed("pattern", "_pattern")
+    opened = rare.join(seen, F.col("pattern") == F.col("_pattern"), "left")
     # What stands beside a pattern only as part of a base span is no token; such a pattern is open.
     opened = opened.filter(F.col("support") >= OPEN_SHARE * F.coalesce("instances", F.lit(0)))
     opened = saved(opened.select("pattern"), "pii-opened")
     if opened.isEmpty():
         return _arrays(base)
-    tokens = saved(_outside(saved(_tokens(docs, opened), "pii-beside-tokens"), base), "pii-tokens")
+    tokens = saved(_outside(saved(_tokens(docs, opened, hits), "pii-beside-tokens"), base), "pii-tokens")
     edges = beside.select("pattern", "inst").union(tokens.select(F.explode("patterns").alias("pattern"), F.col("value").alias("inst")))
     edges = saved(edges.distinct().join(opened, "pattern", "left_semi"), "pii-edges")
     _, found = score_graph(edges, seeds)

@@ -133,3 +133,34 @@ def test_only_tokens_beside_patterns_become_rows(spark):
     assert "posexplode" not in tokens._jdf.queryExecution().optimizedPlan().toString()
     want = [(d, text.index(v), text.index(v) + len(v), v) for d in (1, None) for v in ("99@x", "abc-7")] + [(2, 5, 11, "nobody")]
     assert sorted([(r.doc_id, r.start, r.end, r.value) for r in tokens.collect()], key=str) == sorted(want, key=str)
+
+
+def test_lengths_cut_a_text_once(spark):
+    """The pieces are an argument of the lambda's function; looked up inside it, the split ran once a match."""
+    docs = spark.createDataFrame([("ab 1 c", 0), ("", 0)], "text string, n int")
+    cut = docs.select(F.split("text", P.ELEMENT, -1).alias("p"), P._elements().alias("m"))
+    lens = P._lengths(cut).select("lens", "blocks")
+    assert not re.search(r"length\((get\()?split\(", lens._jdf.queryExecution().optimizedPlan().toString())
+    assert [(r.lens, r.blocks) for r in lens.collect()] == [([2, 2, 2], [6]), ([], [0])]
+
+
+def test_words_of_elements_stand_beside_them(spark):
+    rng = random.Random(9)
+    alphabet = ["a", "Z", "7", ".", "_", "%", "+", "@", "/", "=", "-", ":", " ", ",", "\u00e9", "\U0001f600"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(500)] + ["-" * 30000, "end. of, text"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(P._elements().alias("m"), F.regexp_extract_all("text", F.lit(P.ONE_WORD), F.lit(1)).alias("w")).collect()
+    for r in got:
+        assert len(r.m) == len(r.w) and all(w in ("", m.rstrip("._%+@/-")) for m, w in zip(r.m, r.w))
+    assert got[-1].w == ["end", "of", "text"]
+
+
+def test_patterns_far_too_common_go_after_few_texts(spark):
+    """Of them no row is made in the scan of all texts (rows of every induced pattern were, to be counted)."""
+    texts = [f"the w{i}x{j} and" for i in range(1200) for j in range(2)] + ["call n1"] * 5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    induced = spark.createDataFrame([("the _", 3), ("call _", 3), ("the _ and", 3), ("_ other", 3)], "pattern string, support long")
+    rare = P._rare(docs, induced)
+    assert sorted(r.pattern for r in rare.collect()) == ["_ other", "call _"]
+    assert {r.pattern: r.instances for r in P._instances(P._hits(docs, rare), rare.select("pattern")).collect()} == {"call _": 1}
